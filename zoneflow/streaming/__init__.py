@@ -1,0 +1 @@
+"""Intentionally empty: the input is a static average-day matrix, so no operator is stateful or windowed in time."""
