@@ -100,10 +100,23 @@ MELT = " UNION ALL ".join(f"SELECT from_zone, to_zone, day, {h} AS hour, SUM(tri
                           for h in range(24))
 
 SIDES = """sides AS (
-  SELECT taz, g15, city, x0 AS x1, y0 AS y1, x0 + 0.0625 AS x2, y0 AS y2 FROM zones
-  UNION ALL SELECT taz, g15, city, x0, y0 + 0.0625, x0 + 0.0625, y0 + 0.0625 FROM zones
-  UNION ALL SELECT taz, g15, city, x0, y0, x0, y0 + 0.0625 FROM zones
-  UNION ALL SELECT taz, g15, city, x0 + 0.0625, y0, x0 + 0.0625, y0 + 0.0625 FROM zones)"""
+  SELECT taz, g250, g33, g15, city, x0 AS x1, y0 AS y1, x0 + 0.0625 AS x2, y0 AS y2 FROM zones
+  UNION ALL SELECT taz, g250, g33, g15, city, x0, y0 + 0.0625, x0 + 0.0625, y0 + 0.0625 FROM zones
+  UNION ALL SELECT taz, g250, g33, g15, city, x0, y0, x0, y0 + 0.0625 FROM zones
+  UNION ALL SELECT taz, g250, g33, g15, city, x0 + 0.0625, y0, x0 + 0.0625, y0 + 0.0625 FROM zones)"""
+
+
+def pieces() -> str:
+    """Connected pieces of each group by transitive closure over zones that share a side."""
+    touching = " UNION ALL ".join(
+        f"""SELECT '{level}' AS level, a.{level} AS group_id, a.taz AS p, b.taz AS r FROM zones a JOIN zones b
+        ON a.{level} = b.{level} AND ((a.x0 = b.x0 AND ABS(a.y0 - b.y0) <= 0.0625) OR (a.y0 = b.y0 AND ABS(a.x0 - b.x0) <= 0.0625))"""
+        for level in ("g250", "g33", "g15", "city"))
+    return "WITH RECURSIVE " + ",".join([ZONES, SIDES, f"near AS ({touching})", """reach AS (
+      SELECT level, group_id, p, r FROM near UNION
+      SELECT reach.level, reach.group_id, reach.p, near.r FROM reach JOIN near
+        ON near.level = reach.level AND near.group_id = reach.group_id AND near.p = reach.r)""",
+      "piece AS (SELECT level, group_id, p, MIN(r) AS piece FROM reach GROUP BY ALL)"]) + "\n"
 
 
 def outline(level: str) -> str:
@@ -234,6 +247,26 @@ def oracle_sql() -> dict[str, str]:
     q["dissolve_boundary"] = base(SIDES) + f"{outline('city')} UNION ALL {outline('g15')}"
     q["zones_reproject"] = base() + "SELECT taz, ROUND(x0, 6) AS lon, ROUND(y0, 6) AS lat FROM zones"
 
+    q["dissolved_polygons"] = pieces() + " UNION ALL ".join(f"""
+      SELECT '{level}' AS level, s.group_id, n_polygons, n_vertices, area
+      FROM (SELECT {level} AS group_id, COUNT(*) * CAST(0.00390625 AS DOUBLE) AS area FROM zones GROUP BY ALL) s
+      JOIN (SELECT group_id, COUNT(DISTINCT piece) AS n_polygons FROM piece WHERE level = '{level}' GROUP BY ALL) USING (group_id)
+      JOIN (SELECT group_id, COUNT(*) AS n_vertices FROM (
+        SELECT {level} AS group_id, x1, y1, x2, y2 FROM sides GROUP BY ALL HAVING COUNT(*) = 1) GROUP BY ALL) USING (group_id)"""
+      for level in ("g250", "g33", "g15", "city"))
+    q["zones_geojson"] = pieces() + """
+      SELECT ROW_NUMBER() OVER (ORDER BY id) - 1 AS idx, id, label, CASE WHEN n > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind,
+             label AS feature_label, n AS n_polygons
+      FROM (SELECT g33 AS id, MIN(name_33) AS label FROM zones GROUP BY g33)
+      JOIN (SELECT group_id AS id, COUNT(DISTINCT piece) AS n FROM piece WHERE level = 'g33' GROUP BY ALL) USING (id)"""
+    corner = ["[' || x0 || ',' || y0 || ']", "[' || x0 + 0.0625 || ',' || y0 || ']", "[' || x0 + 0.0625 || ',' || y0 + 0.0625 || ']",
+              "[' || x0 || ',' || y0 + 0.0625 || ']", "[' || x0 || ',' || y0 || ']"]
+    q["zones_geojson_base"] = base() + f"""
+      SELECT ROW_NUMBER() OVER (ORDER BY taz) - 1 AS idx, taz AS id, zone_name AS label,
+        '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[{",".join(corner)}]]}},"properties":{{"id":"' || taz
+        || '","label":' || COALESCE('"' || zone_name || '"', 'null') || ',"centroid_lat":' || (y0 + 0.03125)
+        || ',"centroid_lon":' || (x0 + 0.03125) || ',"idx":' || (ROW_NUMBER() OVER (ORDER BY taz) - 1) || '}}}}' AS feature
+      FROM zones"""
     q["flow_geometry"] = base(MODE4, CENTERS33, GEOMETRY) + """
       SELECT tag, origin_id, dest_id, trips, ROUND(2 + POW(trips, 1.5) / POW(largest, 1.5) * 12, 6) AS width,
         ROUND(CASE WHEN b < 0 THEN b + 360 ELSE b END, 6) AS bearing,

@@ -39,6 +39,14 @@ def ring_sides(ring: Column) -> Column:
     )
 
 
+def doubled_area(ring: Column) -> Column:
+    """Twice the signed area of a ring, positive if it runs counter-clockwise."""
+    x0, y0 = ring[0][0], ring[0][1]
+    return F.aggregate(
+        ring_sides(ring), F.lit(0.0), lambda acc, s: acc + (s.x1 - x0) * (s.y2 - y0) - (s.x2 - x0) * (s.y1 - y0)
+    )
+
+
 def edges(geometry: Column) -> Column:
     """All ring sides of a geometry as array<struct<x1, y1, x2, y2>>."""
     return F.flatten(F.transform(rings(geometry), ring_sides))

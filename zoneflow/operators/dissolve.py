@@ -52,57 +52,52 @@ def zone_extent(base: DataFrame) -> DataFrame:
     )
 
 
-def boundary_edges(base: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """Directed outline sides of every group: `level, group_id, x1, y1, x2, y2`, the group to their left.
+def group_sides(base: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """Undirected zone sides per group: `level, group_id, x1, y1, x2, y2, n, forward, part, other_part`.
 
-    A side shared by two zones of a group cancels out. Each zone walks its shells counter-clockwise and its holes
-    clockwise. Exact for a clean coverage (zones neither overlap nor leave gaps, and neighbours share their vertices).
+    `n` counts how many zones of the group share the side and `forward` tells whether the first of them walks it from
+    (x1, y1), with shells counter-clockwise and holes clockwise. A part is one polygon of a zone.
     """
-    sides = base.select(*dict.fromkeys(resolve_level(level) for level in levels), _directed_sides().alias("side"))
-    grouped = (
-        sides.unpivot(["side"], [resolve_level(level) for level in levels], "level", "group_id")
-        .where("group_id IS NOT NULL")
-        .select("level", "group_id", F.inline("side"))
+    columns = list(dict.fromkeys(resolve_level(level) for level in levels))
+    tagged = F.flatten(F.transform("geometry", lambda polygon, at: F.transform(polygon, lambda ring, position: F.struct(
+        _snap(ring).alias("ring"), (position == 0).alias("shell"), at.alias("at")
+    ))))
+    rings = base.select(*columns, F.col(BASE_LEVEL).alias("zone"), F.inline(tagged))
+    keep = (geo.doubled_area(F.col("ring")) > 0) == F.col("shell")
+    turned = rings.select(
+        *columns, F.concat_ws("/", "zone", "at").alias("part"), F.when(keep, F.col("ring")).otherwise(F.reverse("ring")).alias("ring")
     )
+    sides = turned.select(*columns, "part", F.inline(geo.ring_sides(F.col("ring")))).where("x1 <> x2 OR y1 <> y2")
+    grouped = sides.unpivot(["part", "x1", "y1", "x2", "y2"], columns, "level", "group_id").where("group_id IS NOT NULL")
     forward = F.struct("x1", "y1") < F.struct("x2", "y2")
-    keyed = grouped.where("x1 <> x2 OR y1 <> y2").select(
-        "level", "group_id", forward.alias("forward"),
-        *[F.when(forward, F.col(f"{axis}{a}")).otherwise(F.col(f"{axis}{b}")).alias(f"{axis}{a}")
-          for a, b in ((1, 2), (2, 1)) for axis in ("x", "y")],
-    )
-    outline = (
-        keyed.groupBy("level", "group_id", "x1", "y1", "x2", "y2")
-        .agg(F.count("*").alias("n"), F.bool_and("forward").alias("forward"))
-        .where("n = 1")
-    )
-    turned = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
-    return outline.select(
-        "level", "group_id", *[F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in turned.items()]
+    ends = [
+        F.when(forward, F.col(f"{axis}{a}")).otherwise(F.col(f"{axis}{b}")).alias(f"{axis}{a}")
+        for a, b in ((1, 2), (2, 1)) for axis in ("x", "y")
+    ]
+    return grouped.select("level", "group_id", "part", forward.alias("forward"), *ends).groupBy(
+        "level", "group_id", "x1", "y1", "x2", "y2"
+    ).agg(
+        F.count("*").alias("n"), F.min_by("forward", "part").alias("forward"),
+        F.min("part").alias("part"), F.max("part").alias("other_part"),
     )
 
 
-def _directed_sides():
-    """Snapped sides of a geometry, shells counter-clockwise and holes clockwise."""
+def _snap(ring):
+    return F.transform(ring, lambda p: F.transform(p, lambda v: F.round(v, SNAP_DECIMALS)))
 
-    def directed(ring, position):
-        snapped = F.transform(ring, lambda p: F.transform(p, lambda v: F.round(v, SNAP_DECIMALS)))
-        x0, y0 = snapped[0][0], snapped[0][1]
-        doubled = F.aggregate(
-            geo.ring_sides(snapped), F.lit(0.0),
-            lambda acc, s: acc + (s.x1 - x0) * (s.y2 - y0) - (s.x2 - x0) * (s.y1 - y0),
-        )
-        keep = (doubled > 0) == (position == 0)
-        return geo.ring_sides(F.when(keep, snapped).otherwise(F.reverse(snapped)))
 
-    return F.flatten(F.flatten(F.transform("geometry", lambda polygon: F.transform(polygon, directed))))
+def boundary_edges(sides: DataFrame) -> DataFrame:
+    """Directed outline of every group: `level, group_id, part, x1, y1, x2, y2`, the group to the left of each side.
+
+    A side shared by two zones of a group cancels out. Exact for a clean coverage: zones neither overlap nor leave gaps,
+    and neighbours share their vertices.
+    """
+    opposite = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
+    ends = [F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in opposite.items()]
+    return sides.where("n = 1").select("level", "group_id", "part", *ends)
 
 
 def boundary_lengths(edges: DataFrame) -> DataFrame:
     """`level, group_id, n_edges, perimeter` (degrees) of directed outline sides."""
     length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
     return edges.groupBy("level", "group_id").agg(F.count("*").alias("n_edges"), F.sum(length).alias("perimeter"))
-
-
-def group_table(base: DataFrame, level: str) -> DataFrame:
-    """Stored form of a group level: `group_id, label, centroid_lat, centroid_lon`."""
-    return zone_table(base, level).select(F.col("id").alias("group_id"), "label", "centroid_lat", "centroid_lon")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
@@ -20,10 +20,12 @@ class ZoneModel:
     """The base zone table (one row per zone, unique `taz`) and how it may be joined.
 
     Every table derived here has at most as many rows as the base table, so one size check decides for all of them:
-    within the bounds they are broadcast, beyond them they are joined by shuffle.
+    within the bounds they are broadcast, beyond them they are joined by shuffle. `tables` holds stored group tables
+    (`group_id, label, centroid_lat, centroid_lon`) of any levels; labels and points of other levels are derived.
     """
 
     base: DataFrame
+    tables: Mapping[str, DataFrame] = field(default_factory=dict)
     broadcast_rows: int = BROADCAST_ROWS
     broadcast_bytes: int = BROADCAST_BYTES
 
@@ -57,6 +59,8 @@ class ZoneModel:
         return reduce(DataFrame.unionByName, [self._labels(level) for level in _distinct(levels)])
 
     def _labels(self, level: str) -> DataFrame:
+        if level in self.tables:
+            return self.tables[level].select(F.lit(level).alias("level"), F.col("group_id").alias("id"), "label")
         rows = self.base.select(
             F.lit(level).alias("level"), F.col(level).alias("id"), F.col(LEVEL_LABEL[level]).alias("label")
         )
@@ -66,13 +70,16 @@ class ZoneModel:
 
     def points(self, levels: Sequence[str]) -> DataFrame:
         """`level, id, label, centroid_lon, centroid_lat` of the given levels."""
-        tables = [
-            zone_table(self.base, level).select(
-                F.lit(level).alias("level"), "id", "label", "centroid_lon", "centroid_lat"
-            )
-            for level in _distinct(levels)
-        ]
-        return reduce(DataFrame.unionByName, tables)
+        return reduce(DataFrame.unionByName, [self._points(level) for level in _distinct(levels)])
+
+    def _points(self, level: str) -> DataFrame:
+        if level in self.tables:
+            rows = self.tables[level].withColumnRenamed("group_id", "id")
+        elif level == BASE_LEVEL and "centroid_lon" in self.base.columns:
+            rows = self.base.select(F.col(BASE_LEVEL).alias("id"), F.col("zone_name").alias("label"), "centroid_lon", "centroid_lat")
+        else:
+            rows = zone_table(self.base, level)
+        return rows.select(F.lit(level).alias("level"), "id", "label", "centroid_lon", "centroid_lat")
 
 
 def _distinct(levels: Sequence[str]) -> list[str]:

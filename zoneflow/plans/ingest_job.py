@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from zoneflow.operators import ingest
-from zoneflow.operators.dissolve import group_table
+from zoneflow.operators.outline import group_tables
 from zoneflow.operators.quality import duplicate_zones, quality_summary
 from zoneflow.params import DAYS, GROUP_LEVELS
 from zoneflow.sources import readers, store
@@ -43,8 +43,8 @@ def ingest_files(
     repeated = [row["taz"] for row in duplicate_zones(base).orderBy("taz").limit(20).collect()]
     if repeated:
         raise ValueError(f"zones occur more than once: {repeated}")
-    for level in GROUP_LEVELS:
-        store.write_zones(group_table(base, level), output, level)
+    for level, table in group_tables(base, GROUP_LEVELS).items():
+        store.write_zones(table, output, level)
 
     od = ingest.build_od_matrix({day: readers.read_od_csv(spark, path, encoding) for day, path in matrices.items()})
     store.write_od(od, output)

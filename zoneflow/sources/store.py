@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zoneflow.functions.geometry import GEOMETRY_TYPE
 from zoneflow.operators.hierarchy import ZoneModel
-from zoneflow.params import BASE_LEVEL, LEVELS, resolve_level
+from zoneflow.params import BASE_LEVEL, GROUP_LEVELS, LEVELS, resolve_level
 
 OD_TABLE = "od_matrix"
+OD_SCHEMA = "from_zone string, to_zone string, hour int, trips double, day string"
+ZONE_SCHEMA = (
+    "taz string, g250 string, g33 string, g15 string, city string, zone_name string, name_250 string, name_33 string, "
+    f"name_15 string, centroid_lat double, centroid_lon double, geometry {GEOMETRY_TYPE}"
+)
+GROUP_SCHEMA = f"group_id string, label string, centroid_lat double, centroid_lon double, geometry {GEOMETRY_TYPE}"
 ZONE_TABLES = {level: "zones" if level == BASE_LEVEL else f"zones_{level.removeprefix('g')}" for level in LEVELS}
 
 
@@ -27,9 +34,7 @@ def write_od(od: DataFrame, folder: str, cluster: bool = True) -> str:
 
 def read_od(spark: SparkSession, folder: str) -> DataFrame:
     """The trips table, also registered as the view `od_matrix`."""
-    od = spark.read.schema("from_zone string, to_zone string, hour int, trips double, day string").parquet(
-        f"{folder}/{OD_TABLE}"
-    ).select("from_zone", "to_zone", "day", "hour", "trips")
+    od = spark.read.schema(OD_SCHEMA).parquet(f"{folder}/{OD_TABLE}").select("from_zone", "to_zone", "day", "hour", "trips")
     od.createOrReplaceTempView(OD_TABLE)
     return od
 
@@ -41,8 +46,10 @@ def write_zones(table: DataFrame, folder: str, level: str = BASE_LEVEL) -> str:
 
 
 def read_zones(spark: SparkSession, folder: str, level: str = BASE_LEVEL) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{ZONE_TABLES[resolve_level(level)]}")
+    level = resolve_level(level)
+    return spark.read.schema(ZONE_SCHEMA if level == BASE_LEVEL else GROUP_SCHEMA).parquet(f"{folder}/{ZONE_TABLES[level]}")
 
 
 def read_zone_model(spark: SparkSession, folder: str) -> ZoneModel:
-    return ZoneModel(read_zones(spark, folder))
+    """Base zones and all group tables."""
+    return ZoneModel(read_zones(spark, folder), {level: read_zones(spark, folder, level) for level in GROUP_LEVELS})
