@@ -40,13 +40,13 @@ def all_flows(
     if pre_aggregate:
         trips = _sum_trips(trips, "from_zone", "to_zone")
 
-    origins = _lookup(zones, query.origin_level, "from_zone", "origin_id", query.origin_ids, query.exclude_origin_ids)
-    dests = _lookup(zones, query.dest_level, "to_zone", "dest_id", query.dest_ids, query.exclude_dest_ids)
+    origins = _lookup(zones, query.origin_level, "origin_id", query.origin_ids, query.exclude_origin_ids)
+    dests = _lookup(zones, query.dest_level, "dest_id", query.dest_ids, query.exclude_dest_ids)
 
-    half = trips.join(zones.hint(origins), "from_zone").select("origin_id", "to_zone", "trips")
+    half = zones.to_groups(trips, "from_zone", origins)
     if not zones.fits and query.origin_level != BASE_LEVEL:
         half = _sum_trips(half, "origin_id", "to_zone")
-    pairs = half.join(zones.hint(dests), "to_zone").select("origin_id", "dest_id", "trips")
+    pairs = zones.to_groups(half, "to_zone", dests)
 
     if query.same_level and not query.include_self_loops:
         pairs = pairs.where("origin_id <> dest_id")
@@ -86,8 +86,8 @@ def is_truncated(od: DataFrame, zones: ZoneModel, query: FlowQuery) -> DataFrame
     return probe.agg((F.count("*") > query.cap).alias("truncated"))
 
 
-def _lookup(zones: ZoneModel, level: str, base: str, group: str, only, without) -> DataFrame:
-    lookup = zones.lookup(level, base, group)
+def _lookup(zones: ZoneModel, level: str, group: str, only, without) -> DataFrame:
+    lookup = zones.lookup(level, "base_id", group)
     if only:
         lookup = lookup.where(F.col(group).isin(list(only)))
     if without:
