@@ -143,7 +143,7 @@ def _trips_by(tag: str, endpoint: str) -> Query:
 
 
 def _outgoing_slices(flows, zones):
-    return breakdown.zone_slices(flows, zones, ["outgoing"], 10, "g33", "g33")
+    return breakdown.slices(flows, zones, ["outgoing"], True, "g33")
 
 
 def _angles(flows, zones):
@@ -161,14 +161,10 @@ def _export_breakdown(flows, zones):
 
 
 def _zones_dissolved(zones):
-    parts = [
-        dissolve.zone_table(zones.base, level).select(
-            F.lit(level).alias("level"), F.col("id").alias("group_id"), "label", "n_zones", "area",
-            F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"),
-        )
-        for level in GROUP_LEVELS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return dissolve.zone_tables(zones.base, GROUP_LEVELS).select(
+        "level", F.col("id").alias("group_id"), "label", "n_zones", "area",
+        F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"),
+    )
 
 
 def _boundary(zones):

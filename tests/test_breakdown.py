@@ -20,24 +20,24 @@ def flows(spark):
 
 
 def test_top_n_folds_the_rest(flows, zones):
-    got = breakdown.zone_slices(flows, zones, ["outgoing"], 5, "g33", "g33").orderBy("ord").collect()
+    got = breakdown.slices(flows, zones, ["outgoing"], True, "g33", top_n=5).orderBy("ord").collect()
     assert [(r["id"], r["trips"], r["n_zones"]) for r in got] == [
         ("Z8", 80.0, 1), ("Z7", 70.0, 1), ("Z6", 60.0, 1), ("Z5", 50.0, 1), ("Z4", 40.0, 1), ("others", 60.0, 3)]
     assert got[0]["label"] == "name Z8" and got[-1]["label"] == "אחרים (3 אזורים)"
 
 
 def test_no_others_row_when_nothing_is_left(flows, zones):
-    assert breakdown.zone_slices(flows, zones, ["outgoing"], 8, "g33", "g33").where("id = 'others'").count() == 0
+    assert breakdown.slices(flows, zones, ["outgoing"], True, "g33", top_n=8).where("id = 'others'").count() == 0
 
 
 def test_a_zone_called_others_stays_a_zone(spark, zones):
     flows = flow_table(spark, [("outgoing", "Z0", "others", 9.0)] + [("outgoing", "Z0", f"Z{i}", 1.0) for i in range(1, 5)])
-    got = {(r["id"], r["trips"], r["ord"]) for r in breakdown.zone_slices(flows, zones, ["outgoing"], 3, "g33", "g33").collect()}
+    got = {(r["id"], r["trips"], r["ord"]) for r in breakdown.slices(flows, zones, ["outgoing"], True, "g33", top_n=3).collect()}
     assert got == {("others", 9.0, 1), ("Z1", 1.0, 2), ("Z2", 1.0, 3), ("others", 2.0, 4)}
 
 
 def test_unknown_zone_is_labelled_with_its_id(flows, zones):
-    row = breakdown.zone_slices(flows, zones, ["incoming"], 5, "g33", "g33").first()
+    row = breakdown.slices(flows, zones, ["incoming"], True, "g33", top_n=5).first()
     assert (row["id"], row["label"]) == ("Q", "Q")
 
 

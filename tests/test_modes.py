@@ -4,7 +4,7 @@ import pytest
 from helpers import as_set, model, od_table, zone
 from pyspark.sql import functions as F
 
-from zoneflow import FlowQuery, flow_rollup, flow_set
+from zoneflow import FlowQuery, ZoneModel, flow_rollup, flow_set
 from zoneflow.functions.scale import top_per_group
 from zoneflow.plans import retail_tables as retail
 from zoneflow.plans.modes import Selection, is_truncated
@@ -84,3 +84,13 @@ def test_salted_ranking_equals_plain_ranking(spark):
         assert as_set(many) == as_set(top_per_group(rows, ["g"], order, 1500))
     finally:
         spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+@pytest.mark.parametrize("params", [
+    {"ids": ["3"], "counterpart_level": "g250"}, {"ids": ["3", "7"]}, {"ids": ["3"], "counterpart_level": "city", "include_self_loops": True},
+    {"ids": ["3"], "direction": "incoming"}, {"mode": 2}, {"mode": 3}, {"mode": 4, "include_self_loops": True},
+])
+def test_fused_and_separate_parts_agree(tables, params):
+    od, zones = tables
+    s = Selection(**{"ids": ["3", "7", "11"], "map_level": "g33", "cap": None, **params})
+    assert as_set(flow_set(od, zones, s)) == as_set(flow_set(od, ZoneModel(zones.base, broadcast_rows=0), s))

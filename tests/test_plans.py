@@ -62,13 +62,16 @@ def test_combined_mode_scans_the_trips_once(tables):
     text = plan(flow_set(*tables, Selection(ids=["3", "7", "11"], map_level="g33", mode=4, cap=20)))
     assert text.count("ReadSchema: struct<from_zone:string") == 1
     assert "WindowGroupLimit" in text
+    both = plan(flow_set(*tables, Selection(ids=["3"], map_level="g33", counterpart_level="g250")))
+    assert both.count("ReadSchema: struct<from_zone:string") == 1
 
 
-def test_no_plan_numbers_or_collects_a_whole_tag(tables):
+def test_breakdown_reads_the_flows_once(tables):
     od, zones = tables
     flows = flow_set(od, zones, Selection(ids=["3", "7", "11"], map_level="g33", mode=4))
-    text = plan(breakdown.zone_slices(flows, zones, ["outgoing", "incoming"], 10, "g33", "g33"))
-    assert "WindowGroupLimit" in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    text = plan(breakdown.export_table(breakdown.slices(flows, zones, breakdown.tabs_of(4), True, "g33")))
+    assert text.count("ReadSchema: struct<from_zone:string") == 1
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_hot_zone_in_the_shuffle_plan(spark, tables):

@@ -58,25 +58,23 @@ def _ring_moments(ring: Column, position: Column) -> Column:
     Vertices are taken relative to the first one, which keeps the products small and exact on grid squares.
     """
     x0, y0 = ring[0][0], ring[0][1]
-    cross = lambda s: (s.x1 - x0) * (s.y2 - y0) - (s.x2 - x0) * (s.y1 - y0)
-    total = F.aggregate(
-        ring_sides(ring),
+    products = F.transform(ring_sides(ring), lambda s: F.struct(
+        ((s.x1 - x0) * (s.y2 - y0) - (s.x2 - x0) * (s.y1 - y0)).alias("cross"),
+        (s.x1 + s.x2 - 2 * x0).alias("x"), (s.y1 + s.y2 - 2 * y0).alias("y"),
+    ))
+    sign = F.when(position == 0, 1.0).otherwise(-1.0)
+    return F.aggregate(
+        products,
         F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
         lambda acc, s: F.struct(
-            (acc.a + cross(s)).alias("a"),
-            (acc.x + cross(s) * (s.x1 + s.x2 - 2 * x0)).alias("x"),
-            (acc.y + cross(s) * (s.y1 + s.y2 - 2 * y0)).alias("y"),
+            (acc.a + s.cross).alias("a"), (acc.x + s.cross * s.x).alias("x"), (acc.y + s.cross * s.y).alias("y")
         ),
         lambda acc: F.struct(
-            (acc.a / 2).alias("area"), (acc.a / 2 * x0 + acc.x / 6).alias("mx"), (acc.a / 2 * y0 + acc.y / 6).alias("my")
+            (sign * F.abs(acc.a) / 2).alias("area"),
+            (sign * F.signum(acc.a) * (acc.a / 2 * x0 + acc.x / 6)).alias("mx"),
+            (sign * F.signum(acc.a) * (acc.a / 2 * y0 + acc.y / 6)).alias("my"),
         ),
     )
-    return F.transform(
-        F.array(total),
-        lambda t: F.struct(*[
-            (t[name] * F.signum(t.area) * F.when(position == 0, 1).otherwise(-1)).alias(name) for name in ("area", "mx", "my")
-        ]),
-    )[0]
 
 
 def moments(geometry: Column) -> Column:

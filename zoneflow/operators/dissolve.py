@@ -14,32 +14,43 @@ from zoneflow.params import BASE_LEVEL, LEVEL_LABEL, resolve_level
 SNAP_DECIMALS = 9
 
 
-def zone_table(base: DataFrame, level: str) -> DataFrame:
-    """`id, label, centroid_lon, centroid_lat, n_zones, area` of a level, one row per zone or group.
+def with_centroids(zones: DataFrame) -> DataFrame:
+    """Add the planar centroid of each zone, in degrees, and its area."""
+    moment, center = F.col("__m"), geo.centroid(F.col("__m"))
+    return zones.withColumn("__m", geo.moments(F.col("geometry"))).withColumns({
+        "centroid_lat": center.lat, "centroid_lon": center.lon, "area": moment.area,
+    }).drop("__m")
+
 
-    The centroid of a group is that of the union of its zones: first moments and areas add up as zones do not overlap,
-    so a group of any size is summed in parts. Centroids are planar, in degrees. Zones without a parent drop out.
+def zone_tables(base: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """`level, id, label, centroid_lon, centroid_lat, n_zones, area`, one row per zone or group of the given levels.
+
+    The centroid of a group is that of the union of its zones: as zones do not overlap, areas and area-weighted centroids
+    add up, so a group of any size is summed in parts. All levels come from one pass. Zones without a parent drop out.
     """
-    level = resolve_level(level)
-    rows = base.select(
-        F.col(level).alias("id"), F.col(LEVEL_LABEL[level]).alias("label"), geo.moments(F.col("geometry")).alias("m")
+    measured = base if "area" in base.columns else with_centroids(base)
+    entries = F.array(*[
+        F.struct(F.lit(level).alias("level"), F.col(level).alias("id"), F.col(LEVEL_LABEL[level]).alias("label"))
+        for level in dict.fromkeys(resolve_level(level) for level in levels)
+    ])
+    rows = measured.select(F.inline(entries), "centroid_lon", "centroid_lat", "area").where("id IS NOT NULL")
+    weight = F.when(F.sum("area") != 0, F.sum("area"))
+    return rows.groupBy("level", "id").agg(
+        F.min("label").alias("label"),
+        *[(F.sum(F.col("area") * F.col(axis)) / weight).alias(axis) for axis in ("centroid_lon", "centroid_lat")],
+        F.count("*").alias("n_zones"), F.sum("area").alias("area"),
     )
-    if level == BASE_LEVEL:
-        summed = rows.select("id", "label", "m", F.lit(1).cast("bigint").alias("n_zones"))
-    else:
-        summed = (
-            rows.where("id IS NOT NULL")
-            .groupBy("id")
-            .agg(
-                F.min("label").alias("label"), F.count("*").alias("n_zones"),
-                *[F.sum(f"m.{name}").alias(name) for name in ("area", "mx", "my")],
-            )
-            .select("id", "label", F.struct("area", "mx", "my").alias("m"), "n_zones")
-        )
-    center = geo.centroid(F.col("m"))
-    return summed.select(
-        "id", "label", center.lon.alias("centroid_lon"), center.lat.alias("centroid_lat"), "n_zones",
-        F.col("m.area").alias("area"),
+
+
+def zone_table(base: DataFrame, level: str) -> DataFrame:
+    """`zone_tables` of one level, without the level column. At the base level no rows move."""
+    level = resolve_level(level)
+    if level != BASE_LEVEL:
+        return zone_tables(base, [level]).drop("level")
+    measured = base if "area" in base.columns else with_centroids(base)
+    return measured.select(
+        F.col(BASE_LEVEL).alias("id"), F.col("zone_name").alias("label"), "centroid_lon", "centroid_lat",
+        F.lit(1).cast("bigint").alias("n_zones"), "area",
     )
 
 

@@ -42,8 +42,13 @@ class ZoneModel:
         column = resolve_level(level)
         return self.base.select(F.col(BASE_LEVEL).alias(base_name), group_key(F.col(column)).alias(group_name))
 
+    def lookup_pair(self, near: str, far: str, near_name: str, far_name: str) -> DataFrame:
+        """Base zone to its groups at two levels."""
+        groups = [group_key(F.col(resolve_level(level))).alias(name) for level, name in ((near, near_name), (far, far_name))]
+        return self.base.select(F.col(BASE_LEVEL).alias("base_id"), *groups)
+
     def to_groups(self, facts: DataFrame, zone: str, lookup: DataFrame) -> DataFrame:
-        """Replace the zone column of a fact table by the group of a lookup (`base_id` and a group column).
+        """Replace the zone column of a fact table by the groups of a lookup (`base_id` and group columns).
 
         Facts of unknown zones drop out. A broadcast lookup is probed by a 64-bit hash of the id, which Spark keeps in its
         long-key hash table; on large facts that halves the time of text keys. Ids are still compared in full, in a form the
@@ -88,8 +93,6 @@ class ZoneModel:
     def _points(self, level: str) -> DataFrame:
         if level in self.tables:
             rows = self.tables[level].withColumnRenamed("group_id", "id")
-        elif level == BASE_LEVEL and "centroid_lon" in self.base.columns:
-            rows = self.base.select(F.col(BASE_LEVEL).alias("id"), F.col("zone_name").alias("label"), "centroid_lon", "centroid_lat")
         else:
             rows = zone_table(self.base, level)
         return rows.select(F.lit(level).alias("level"), "id", "label", "centroid_lon", "centroid_lat")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from zoneflow.functions import geometry as geo
 from zoneflow.functions.ids import normalise_id
+from zoneflow.operators.dissolve import with_centroids
 from zoneflow.params import DAYS, HOURS, LEVEL_SOURCE
 
 HOUR_COLUMNS = [f"h{hour}" for hour in HOURS]
@@ -85,7 +86,7 @@ def clean_level_names(raw: DataFrame) -> DataFrame:
 def build_zones(
     boundaries: DataFrame, zone_names: DataFrame, level_names: Mapping[str, DataFrame | None] | None = None
 ) -> DataFrame:
-    """Base zone table: polygons with names at every level and centroids in degrees.
+    """Base zone table: polygons with names at every level, centroids in degrees and areas.
 
     `level_names` maps g250, g33 and g15 to their cleaned names; a level without names is labelled with its ids. Names are
     unique by id, so no join adds rows; the boundaries must be unique by zone (see `duplicate_zones`).
@@ -97,7 +98,6 @@ def build_zones(
             zones = zones.withColumn(name, F.col(level))
         else:
             zones = zones.join(names.select(F.col("group_id").alias(level), F.col("label").alias(name)), level, "left")
-    center = geo.centroid(geo.moments(F.col("geometry")))
-    return zones.withColumns({"centroid_lat": center.lat, "centroid_lon": center.lon}).select(
-        *LEVEL_SOURCE, "zone_name", *NAMED_LEVELS.values(), "centroid_lat", "centroid_lon", "geometry"
+    return with_centroids(zones).select(
+        *LEVEL_SOURCE, "zone_name", *NAMED_LEVELS.values(), "centroid_lat", "centroid_lon", "area", "geometry"
     )

@@ -38,25 +38,28 @@ def all_flows(
     if pre_aggregate is None:
         pre_aggregate = not zones.fits and query.cells_per_pair >= _PRE_AGGREGATE_CELLS
     if pre_aggregate:
-        trips = _sum_trips(trips, "from_zone", "to_zone")
+        trips = sum_trips(trips, "from_zone", "to_zone")
 
     origins = _lookup(zones, query.origin_level, "origin_id", query.origin_ids, query.exclude_origin_ids)
     dests = _lookup(zones, query.dest_level, "dest_id", query.dest_ids, query.exclude_dest_ids)
 
     half = zones.to_groups(trips, "from_zone", origins)
     if not zones.fits and query.origin_level != BASE_LEVEL:
-        half = _sum_trips(half, "origin_id", "to_zone")
+        half = sum_trips(half, "origin_id", "to_zone")
     pairs = zones.to_groups(half, "to_zone", dests)
 
     if query.same_level and not query.include_self_loops:
         pairs = pairs.where("origin_id <> dest_id")
     if pair_predicate is not None:
         pairs = pairs.where(pair_predicate)
-    flows = _sum_trips(pairs, "origin_id", "dest_id").where(F.col("trips") >= query.min_trips)
-    if not query.same_level and not query.include_self_loops:
-        internal = zones.internal_pairs(query.origin_level, query.dest_level).toDF("origin_id", "dest_id")
-        flows = flows.join(zones.hint(internal), ["origin_id", "dest_id"], "left_anti")
-    return flows
+    flows = sum_trips(pairs, "origin_id", "dest_id").where(F.col("trips") >= query.min_trips)
+    return flows if query.same_level or query.include_self_loops else drop_internal(flows, zones, query)
+
+
+def drop_internal(flows: DataFrame, zones: ZoneModel, query: FlowQuery) -> DataFrame:
+    """Drop whole flows between groups of two levels that share a base zone."""
+    internal = zones.internal_pairs(query.origin_level, query.dest_level).toDF("origin_id", "dest_id")
+    return flows.join(zones.hint(internal), ["origin_id", "dest_id"], "left_anti")
 
 
 def flow_rollup(od: DataFrame, zones: ZoneModel, query: FlowQuery) -> DataFrame:
@@ -95,5 +98,5 @@ def _lookup(zones: ZoneModel, level: str, group: str, only, without) -> DataFram
     return lookup
 
 
-def _sum_trips(df: DataFrame, *keys: str) -> DataFrame:
+def sum_trips(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("trips").alias("trips"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zoneflow.functions.scale import top_per_group
 from zoneflow.operators.hierarchy import ZoneModel
-from zoneflow.operators.rollup import all_flows, flow_order
+from zoneflow.operators.rollup import all_flows, filter_od, flow_order, sum_trips
 from zoneflow.params import API_MIN_TRIPS, FLOW_CAP, FlowQuery, resolve_level
 
 # Names of modes, roles and directions.
@@ -102,30 +103,60 @@ def _tagged(od: DataFrame, zones: ZoneModel, s: Selection) -> DataFrame:
     if s.role == "destination":
         return tagged("incoming", s.query(far, near, dest_ids=ids))
     if s.mode == SINGLE:
-        parts = []
-        if s.wants_outgoing:
-            parts.append(tagged("outgoing", s.query(near, far, origin_ids=ids)))
-        if s.wants_incoming:
-            parts.append(tagged("incoming", s.query(far, near, dest_ids=ids)))
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-    # Modes 2 to 4 ask about disjoint sets of (origin, destination) pairs, so one scan and one roll-up answers them all.
-    starts, ends = F.col("origin_id").isin(ids), F.col("dest_id").isin(ids)
-    tests = {"internal": starts & ends, "outgoing": starts & ~ends, "incoming": ends & ~starts}
+        if s.direction == "both" and zones.fits:
+            return _both_ways(od, zones, s)
+        parts = {
+            "outgoing": s.query(near, far, origin_ids=ids) if s.wants_outgoing else None,
+            "incoming": s.query(far, near, dest_ids=ids) if s.wants_incoming else None,
+        }
+        return reduce(DataFrame.unionByName, [tagged(tag, query) for tag, query in parts.items() if query])
+
+    parts = {
+        "internal": s.query(near, near, origin_ids=ids, dest_ids=ids),
+        "outgoing": s.query(near, near, origin_ids=ids, exclude_dest_ids=ids),
+        "incoming": s.query(near, near, dest_ids=ids, exclude_origin_ids=ids),
+    }
     if s.mode == INTERNAL:
         wanted = ["internal"]
     elif s.mode == EXTERNAL:
         wanted = ["outgoing"] * s.wants_outgoing + ["incoming"] * s.wants_incoming
     else:
-        wanted = ["internal", "outgoing", "incoming"]
-    sides = {
-        ("internal",): {"origin_ids": ids, "dest_ids": ids},
-        ("outgoing",): {"origin_ids": ids, "exclude_dest_ids": ids},
-        ("incoming",): {"dest_ids": ids, "exclude_origin_ids": ids},
-    }
-    if tuple(wanted) in sides:
-        return tagged(wanted[0], s.query(near, near, **sides[tuple(wanted)]))
-    touching = starts != ends if wanted == ["outgoing", "incoming"] else starts | ends
-    flows = all_flows(od, zones, s.query(near, near), pair_predicate=touching)
-    tag = F.when(tests["outgoing"], "outgoing").when(tests["incoming"], "incoming").otherwise("internal")
+        wanted = list(parts)
+    if len(wanted) == 1 or not zones.fits:
+        # Where zones are joined by shuffle, the id filters of each part cut the trips down before they move.
+        return reduce(DataFrame.unionByName, [tagged(tag, parts[tag]) for tag in wanted])
+
+    # The parts are disjoint sets of (origin, destination) pairs, so one scan and one roll-up answers them all.
+    starts, ends = F.col("origin_id").isin(ids), F.col("dest_id").isin(ids)
+    flows = all_flows(od, zones, s.query(near, near), pair_predicate=starts | ends if "internal" in wanted else starts != ends)
+    tag = F.when(starts & ends, "internal").when(starts, "outgoing").otherwise("incoming")
     return flows.select(tag.alias("tag"), "origin_id", "dest_id", "trips")
+
+
+def _both_ways(od: DataFrame, zones: ZoneModel, s: Selection) -> DataFrame:
+    """Mode 1 in both directions from one scan: each trip counts as outgoing, incoming or both."""
+    near, far, ids = s.map_level, s.counterpart_level, list(s.ids)
+    outgoing = s.query(near, far)
+    trips = filter_od(od, outgoing).select("from_zone", "to_zone", "trips")
+    for zone, side in (("from_zone", "from"), ("to_zone", "to")):
+        trips = zones.to_groups(trips, zone, zones.lookup_pair(near, far, f"{side}_near", f"{side}_far"))
+
+    def entry(tag: str, selected: str, origin: str, dest: str):
+        wanted = F.col(selected).isin(ids)
+        if outgoing.same_level and not s.include_self_loops:
+            wanted = wanted & (F.col(origin) != F.col(dest))
+        row = F.struct(F.lit(tag).alias("tag"), F.col(origin).alias("origin_id"), F.col(dest).alias("dest_id"))
+        return F.when(wanted, row)
+
+    entries = F.array(entry("outgoing", "from_near", "from_near", "to_far"), entry("incoming", "to_near", "from_far", "to_near"))
+    touching = trips.where(F.col("from_near").isin(ids) | F.col("to_near").isin(ids))
+    flows = sum_trips(touching.select("trips", F.inline(F.array_compact(entries))), "tag", "origin_id", "dest_id")
+    flows = flows.where(F.col("trips") >= s.min_trips).select("tag", "origin_id", "dest_id", "trips")
+    if outgoing.same_level or s.include_self_loops:
+        return flows
+    pairs = zones.internal_pairs(near, far).toDF("near", "far")
+    internal = pairs.select(F.inline(F.array(
+        F.struct(F.lit("outgoing").alias("tag"), F.col("near").alias("origin_id"), F.col("far").alias("dest_id")),
+        F.struct(F.lit("incoming").alias("tag"), F.col("far").alias("origin_id"), F.col("near").alias("dest_id")),
+    )))
+    return flows.join(zones.hint(internal), ["tag", "origin_id", "dest_id"], "left_anti")

@@ -10,9 +10,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.functions.geometry import centroid, moments
 from zoneflow.functions.scale import scratch_path
 from zoneflow.operators.hierarchy import ZoneModel
+from zoneflow.operators.dissolve import with_centroids
 from zoneflow.operators.outline import group_tables
 from zoneflow.params import GROUP_LEVELS, HOURS
 from zoneflow.sources import store
@@ -78,8 +78,7 @@ def stored_od(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_zones(spark: SparkSession, sf_dir: str) -> ZoneModel:
     """Base zones; group labels are derived from them."""
     folder = scratch_path(spark, "ingested")
-    center = centroid(moments(F.col("geometry")))
-    store.write_zones(zones(spark, sf_dir).withColumns({"centroid_lat": center.lat, "centroid_lon": center.lon}), folder)
+    store.write_zones(with_centroids(zones(spark, sf_dir)), folder)
     return ZoneModel(store.read_zones(spark, folder))
 
 

@@ -12,7 +12,7 @@ OD_TABLE = "od_matrix"
 OD_SCHEMA = "from_zone string, to_zone string, hour int, trips double, day string"
 ZONE_SCHEMA = (
     "taz string, g250 string, g33 string, g15 string, city string, zone_name string, name_250 string, name_33 string, "
-    f"name_15 string, centroid_lat double, centroid_lon double, geometry {GEOMETRY_TYPE}"
+    f"name_15 string, centroid_lat double, centroid_lon double, area double, geometry {GEOMETRY_TYPE}"
 )
 GROUP_SCHEMA = f"group_id string, label string, centroid_lat double, centroid_lon double, geometry {GEOMETRY_TYPE}"
 ZONE_TABLES = {level: "zones" if level == BASE_LEVEL else f"zones_{level.removeprefix('g')}" for level in LEVELS}
