@@ -178,7 +178,7 @@ def test_labels_of_day_and_time(spark):
 
 def test_index_in_one_task_and_in_many_agree(spark):
     df = spark.range(5000).select(F.concat(F.lit("z"), F.col("id") * 7919 % 5003).alias("id"))
-    one, many = (sequential_index(df, ["id"], max_rows=n) for n in (10_000, 100))
+    one, many = (sequential_index(df, "id", max_rows=n) for n in (10_000, 100))
     assert dict(many.dtypes)["idx"] == "bigint" and as_set(one) == as_set(many)
 
 

@@ -46,16 +46,18 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(rank, ranked).where(F.col(rank) <= k)
 
 
-def sequential_index(df: DataFrame, order: Sequence[str], name: str = "idx", max_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """Number rows 0, 1, 2, ... in the given order.
+def sequential_index(df: DataFrame, key: str, name: str = "idx", max_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """Number rows 0, 1, 2, ... in the order of a unique key. Only the keys are sorted; the index is then joined back.
 
-    A table past `max_rows` is sorted by range into many partitions, fixed by a checkpoint, and numbered inside each
+    Past `max_rows` the keys are sorted by range into many partitions, fixed by a checkpoint, and numbered inside each
     partition on top of the row counts of the partitions before it.
     """
-    if df.count() <= max_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
+    keys = df.select(key)
+    if keys.count() <= max_rows:
+        index = keys.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
+        return df.join(F.broadcast(index), key)
     ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    placed = keys.orderBy(key).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("__at", _POSITION_BITS)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (  # one row per partition
@@ -63,11 +65,10 @@ def sequential_index(df: DataFrame, order: Sequence[str], name: str = "idx", max
         .select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
     )
     position = F.col("__at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    return (
-        placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col("__offset") + position)
-        .drop("__at", "__part", "__offset")
+    index = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").select(
+        key, (F.col("__offset") + position).alias(name)
     )
+    return df.join(index, key)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,7 +14,7 @@ def zone_features(zones: DataFrame) -> DataFrame:
 
     A geometry of one polygon becomes a Polygon feature, any other a MultiPolygon.
     """
-    indexed = sequential_index(zones, ["id"])
+    indexed = sequential_index(zones, "id")
     properties = F.struct("id", "label", "centroid_lat", "centroid_lon", "idx")
     single = feature("Polygon", F.col("geometry")[0], properties)
     multi = feature("MultiPolygon", F.col("geometry"), properties)

@@ -5,8 +5,9 @@ Customers act as base zones, suppliers as destinations, shipped quantities as tr
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,30 +66,50 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Ingestion writes the derived tables once per session; queries then scan what was written.
+_written: dict[tuple[SparkSession, str, str], tuple[str, object]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable, read: Callable):
+    """What `read` makes of a folder that `write` fills on first use, and again if the shared folder was cleared."""
+    key = (spark, sf_dir, name)
+    if key in _written:
+        folder, result = _written[key]
+        try:
+            read(folder)
+            return result
+        except AnalysisException:
+            pass
+    folder = scratch_path(spark, name)
+    write(folder)
+    _written[key] = folder, read(folder)
+    return _written[key][1]
 
 
-@lru_cache(maxsize=8)
 def stored_od(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "ingested")
-    store.write_od(od_matrix(spark, sf_dir), folder)
-    return store.read_od(spark, folder)
+    return _once(
+        spark, sf_dir, "od", lambda folder: store.write_od(od_matrix(spark, sf_dir), folder),
+        lambda folder: store.read_od(spark, folder),
+    )
 
 
-@lru_cache(maxsize=8)
 def stored_zones(spark: SparkSession, sf_dir: str) -> ZoneModel:
     """Base zones; group labels are derived from them."""
-    folder = scratch_path(spark, "ingested")
-    store.write_zones(with_centroids(zones(spark, sf_dir)), folder)
-    return ZoneModel(store.read_zones(spark, folder))
+    return _once(
+        spark, sf_dir, "zones", lambda folder: store.write_zones(with_centroids(zones(spark, sf_dir)), folder),
+        lambda folder: ZoneModel(store.read_zones(spark, folder)),
+    )
 
 
-@lru_cache(maxsize=8)
 def stored_levels(spark: SparkSession, sf_dir: str) -> ZoneModel:
     """Base zones and the dissolved tables of all group levels."""
-    model, folder = stored_zones(spark, sf_dir), scratch_path(spark, "ingested")
-    for level, rows in group_tables(model.base, GROUP_LEVELS).items():
-        store.write_zones(rows, folder, level)
-    return ZoneModel(model.base, {level: store.read_zones(spark, folder, level) for level in GROUP_LEVELS})
+
+    def write(folder: str) -> None:
+        base = stored_zones(spark, sf_dir).base
+        store.write_zones(base, folder)
+        for level, rows in group_tables(base, GROUP_LEVELS).items():
+            store.write_zones(rows, folder, level)
+
+    return _once(spark, sf_dir, "levels", write, lambda folder: store.read_zone_model(spark, folder))
 
 
 def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
