@@ -40,13 +40,17 @@ def all_flows(
     if pre_aggregate:
         trips = sum_trips(trips, "from_zone", "to_zone")
 
-    origins = _lookup(zones, query.origin_level, "origin_id", query.origin_ids, query.exclude_origin_ids)
-    dests = _lookup(zones, query.dest_level, "dest_id", query.dest_ids, query.exclude_dest_ids)
-
-    half = zones.to_groups(trips, "from_zone", origins)
-    if not zones.fits and query.origin_level != BASE_LEVEL:
-        half = sum_trips(half, "origin_id", "to_zone")
-    pairs = zones.to_groups(half, "to_zone", dests)
+    sides = [
+        ("from_zone", "origin_id", query.origin_level, query.origin_ids, query.exclude_origin_ids),
+        ("to_zone", "dest_id", query.dest_level, query.dest_ids, query.exclude_dest_ids),
+    ]
+    if query.dest_ids and not query.origin_ids:
+        sides.reverse()  # the side with an id list first: its lookup drops most trips
+    (zone, group, level, *ids), (other_zone, other_group, other_level, *other_ids) = sides
+    half = zones.to_groups(trips, zone, _lookup(zones, level, group, *ids))
+    if not zones.fits and level != BASE_LEVEL:
+        half = sum_trips(half, group, other_zone)
+    pairs = zones.to_groups(half, other_zone, _lookup(zones, other_level, other_group, *other_ids))
 
     if query.same_level and not query.include_self_loops:
         pairs = pairs.where("origin_id <> dest_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from zoneflow.functions.scale import top_per_group
 from zoneflow.operators.hierarchy import ZoneModel
-from zoneflow.operators.rollup import all_flows, filter_od, flow_order, sum_trips
+from zoneflow.operators.rollup import all_flows, flow_order
 from zoneflow.params import API_MIN_TRIPS, FLOW_CAP, FlowQuery, resolve_level
 
 # Names of modes, roles and directions.
@@ -102,9 +102,7 @@ def _tagged(od: DataFrame, zones: ZoneModel, s: Selection) -> DataFrame:
         return tagged("internal", s.query(near, near)).where(F.lit(False))
     if s.role == "destination":
         return tagged("incoming", s.query(far, near, dest_ids=ids))
-    if s.mode == SINGLE:
-        if s.direction == "both" and zones.fits:
-            return _both_ways(od, zones, s)
+    if s.mode == SINGLE:  # levels may differ and a self-loop has both tags; each id-filtered lookup drops most trips early
         parts = {
             "outgoing": s.query(near, far, origin_ids=ids) if s.wants_outgoing else None,
             "incoming": s.query(far, near, dest_ids=ids) if s.wants_incoming else None,
@@ -132,31 +130,3 @@ def _tagged(od: DataFrame, zones: ZoneModel, s: Selection) -> DataFrame:
     tag = F.when(starts & ends, "internal").when(starts, "outgoing").otherwise("incoming")
     return flows.select(tag.alias("tag"), "origin_id", "dest_id", "trips")
 
-
-def _both_ways(od: DataFrame, zones: ZoneModel, s: Selection) -> DataFrame:
-    """Mode 1 in both directions from one scan: each trip counts as outgoing, incoming or both."""
-    near, far, ids = s.map_level, s.counterpart_level, list(s.ids)
-    outgoing = s.query(near, far)
-    trips = filter_od(od, outgoing).select("from_zone", "to_zone", "trips")
-    for zone, side in (("from_zone", "from"), ("to_zone", "to")):
-        trips = zones.to_groups(trips, zone, zones.lookup_pair(near, far, f"{side}_near", f"{side}_far"))
-
-    def entry(tag: str, selected: str, origin: str, dest: str):
-        wanted = F.col(selected).isin(ids)
-        if outgoing.same_level and not s.include_self_loops:
-            wanted = wanted & (F.col(origin) != F.col(dest))
-        row = F.struct(F.lit(tag).alias("tag"), F.col(origin).alias("origin_id"), F.col(dest).alias("dest_id"))
-        return F.when(wanted, row)
-
-    entries = F.array(entry("outgoing", "from_near", "from_near", "to_far"), entry("incoming", "to_near", "from_far", "to_near"))
-    touching = trips.where(F.col("from_near").isin(ids) | F.col("to_near").isin(ids))
-    flows = sum_trips(touching.select("trips", F.inline(F.array_compact(entries))), "tag", "origin_id", "dest_id")
-    flows = flows.where(F.col("trips") >= s.min_trips).select("tag", "origin_id", "dest_id", "trips")
-    if outgoing.same_level or s.include_self_loops:
-        return flows
-    pairs = zones.internal_pairs(near, far).toDF("near", "far")
-    internal = pairs.select(F.inline(F.array(
-        F.struct(F.lit("outgoing").alias("tag"), F.col("near").alias("origin_id"), F.col("far").alias("dest_id")),
-        F.struct(F.lit("incoming").alias("tag"), F.col("far").alias("origin_id"), F.col("near").alias("dest_id")),
-    )))
-    return flows.join(zones.hint(internal), ["tag", "origin_id", "dest_id"], "left_anti")
