@@ -64,6 +64,22 @@ def test_large_zone_tables_are_not_broadcast(spark, tables):
     assert "partial_sum" in text and text.count("keys=[origin_id") >= 2
 
 
+def test_a_selection_in_a_large_zone_table_is_broadcast(spark, tables):
+    od, zones = tables
+    wide = ZoneModel(zones.base, broadcast_rows=200)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for ids in ({"origin_ids": ["3"]}, {"dest_ids": ["3"]}):
+            q = FlowQuery(origin_level="g33", dest_level="g250", cap=None, **ids)
+            df = all_flows(od, wide, q)
+            text = plan(df)
+            assert text.count("BroadcastHashJoin [xxhash64(") == 1 and "SortMergeJoin" in text
+            assert text.rindex("BroadcastHashJoin") > text.index("SortMergeJoin")  # before the trips move
+            assert as_set(df) == as_set(all_flows(od, zones, q))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_combined_mode_scans_the_trips_once(tables):
     text = plan(flow_set(*tables, Selection(ids=["3", "7", "11"], map_level="g33", mode=4, cap=20)))
     assert text.count("ReadSchema: struct<from_zone:string") == 1

@@ -42,14 +42,18 @@ class ZoneModel:
         column = resolve_level(level)
         return self.base.select(F.col(BASE_LEVEL).alias(base_name), group_key(F.col(column)).alias(group_name))
 
-    def to_groups(self, facts: DataFrame, zone: str, lookup: DataFrame) -> DataFrame:
+    def fits_lookup(self, lookup: DataFrame) -> bool:
+        """Whether a part of a lookup, say the zones of some groups, may be broadcast even if the whole may not."""
+        return self.fits or fits_broadcast(lookup, self.broadcast_rows, self.broadcast_bytes)
+
+    def to_groups(self, facts: DataFrame, zone: str, lookup: DataFrame, small: bool) -> DataFrame:
         """Replace the zone column of a fact table by the group of a lookup (`base_id` and a group column).
 
-        Facts of unknown zones drop out. A broadcast lookup is probed by a 64-bit hash of the id, which Spark keeps in its
+        Facts of unknown zones drop out. A `small` lookup is broadcast and probed by a 64-bit hash of the id, which Spark keeps in its
         long-key hash table; on large facts that halves the time of text keys. Ids are still compared in full, in a form the
         optimizer does not turn back into a text key: each starts with the other.
         """
-        if not self.fits:
+        if not small:
             return facts.join(lookup.withColumnRenamed("base_id", zone), zone).drop(zone)
         mine, known = F.col(zone), F.col("base_id")
         same = (F.xxhash64(mine) == F.xxhash64(known)) & F.startswith(mine, known) & F.startswith(known, mine)

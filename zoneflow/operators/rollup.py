@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,32 @@ def filter_od(od: DataFrame, query: FlowQuery) -> DataFrame:
     return od.where(F.col("day") == query.day) if query.day else od
 
 
+@dataclass(frozen=True)
+class _Side:
+    """One end of the trips: the zone column, the group that replaces it, and the ids asked for or left out."""
+
+    zones: ZoneModel
+    zone: str
+    group: str
+    level: str
+    only: Sequence[str]
+    without: Sequence[str]
+
+    @cached_property
+    def lookup(self) -> DataFrame:
+        lookup = self.zones.lookup(self.level, "base_id", self.group)
+        if self.only:
+            lookup = lookup.where(F.col(self.group).isin(list(self.only)))
+        return lookup.where(~F.col(self.group).isin(list(self.without))) if self.without else lookup
+
+    @cached_property
+    def small(self) -> bool:
+        return self.zones.fits_lookup(self.lookup) if self.only else self.zones.fits
+
+    def replace(self, trips: DataFrame) -> DataFrame:
+        return self.zones.to_groups(trips, self.zone, self.lookup, self.small)
+
+
 def all_flows(
     od: DataFrame, zones: ZoneModel, query: FlowQuery, pair_predicate: Column | None = None,
     pre_aggregate: bool | None = None,
@@ -30,27 +60,24 @@ def all_flows(
     """Every flow `origin_id, dest_id, trips` of the query, without cap.
 
     Facts whose zone is unknown drop out. With broadcast lookups this is one scan, one partial and one final
-    aggregation. With lookups that are too large, each join is a shuffle join and trips are summed again as soon as a
-    key is replaced by its group, so what moves shrinks step by step and a hot zone is combined before it moves.
-    `pre_aggregate` forces the summation per zone pair before the first join on or off.
+    aggregation. A lookup that is too large is joined by shuffle; trips are then summed again as soon as a key is replaced
+    by its group, so what moves shrinks step by step and a hot zone is combined before it moves. `pre_aggregate` forces the
+    summation per zone pair before the first join on or off.
     """
     trips = filter_od(od, query).select("from_zone", "to_zone", "trips")
+    first = _Side(zones, "from_zone", "origin_id", query.origin_level, query.origin_ids, query.exclude_origin_ids)
+    second = _Side(zones, "to_zone", "dest_id", query.dest_level, query.dest_ids, query.exclude_dest_ids)
+    if second.only and not first.only:
+        first, second = second, first  # the side with an id list first: its lookup drops most trips
+
     if pre_aggregate is None:
-        pre_aggregate = not zones.fits and query.cells_per_pair >= _PRE_AGGREGATE_CELLS
+        pre_aggregate = not first.small and query.cells_per_pair >= _PRE_AGGREGATE_CELLS
     if pre_aggregate:
         trips = sum_trips(trips, "from_zone", "to_zone")
-
-    sides = [
-        ("from_zone", "origin_id", query.origin_level, query.origin_ids, query.exclude_origin_ids),
-        ("to_zone", "dest_id", query.dest_level, query.dest_ids, query.exclude_dest_ids),
-    ]
-    if query.dest_ids and not query.origin_ids:
-        sides.reverse()  # the side with an id list first: its lookup drops most trips
-    (zone, group, level, *ids), (other_zone, other_group, other_level, *other_ids) = sides
-    half = zones.to_groups(trips, zone, _lookup(zones, level, group, *ids))
-    if not zones.fits and level != BASE_LEVEL:
-        half = sum_trips(half, group, other_zone)
-    pairs = zones.to_groups(half, other_zone, _lookup(zones, other_level, other_group, *other_ids))
+    half = first.replace(trips)
+    if not second.small and first.level != BASE_LEVEL:
+        half = sum_trips(half, first.group, second.zone)
+    pairs = second.replace(half)
 
     if query.same_level and not query.include_self_loops:
         pairs = pairs.where("origin_id <> dest_id")
@@ -93,14 +120,5 @@ def is_truncated(od: DataFrame, zones: ZoneModel, query: FlowQuery) -> DataFrame
     return probe.agg((F.count("*") > query.cap).alias("truncated"))
 
 
-def _lookup(zones: ZoneModel, level: str, group: str, only, without) -> DataFrame:
-    lookup = zones.lookup(level, "base_id", group)
-    if only:
-        lookup = lookup.where(F.col(group).isin(list(only)))
-    if without:
-        lookup = lookup.where(~F.col(group).isin(list(without)))
-    return lookup
-
-
 def sum_trips(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("trips").alias("trips"))
