@@ -28,6 +28,11 @@ from zoneflow.plans import retail_tables as retail  # noqa: E402
 from zoneflow.plans.modes import COMBINED, EXTERNAL, INTERNAL, Selection  # noqa: E402
 from zoneflow.sources import readers, store  # noqa: E402
 
+try:
+    from zoneflow.llm import registry as llm  # noqa: E402
+except ModuleNotFoundError:  # the subpackage is optional
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 PICKED = ("3", "7", "11")
@@ -273,6 +278,7 @@ def _zone_name_list(zones):
 
 def queries() -> dict[str, Query]:
     return {
+        **(llm.queries() if llm else {}),
         "flows_same_level": _flows(level="g33", **MORNING),
         "flows_cross_level": _flows(origin_level="g33", dest_level="city"),
         "flows_with_self_loops": _flows(level="g15", include_self_loops=True, **MORNING),
@@ -327,4 +333,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **(llm.oracle_sql() if llm else {})}
