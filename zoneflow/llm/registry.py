@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import language_id
+from zoneflow.llm import language_id, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op4_toxicity": toxicity.op4_toxicity,
     }
 
 
