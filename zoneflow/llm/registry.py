@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import language_id, toxicity
+from zoneflow.llm import fingerprint, language_id, mixing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_mixing": mixing.op5_mixing,
+        "op9_fingerprint": fingerprint.op9_fingerprint,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": mixing.ORACLE_SQL,
+    }

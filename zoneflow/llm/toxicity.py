@@ -21,7 +21,7 @@ from zoneflow.llm import common
 
 #: Bounds of the training sample: rows of each label and code points of each.
 SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 4000
+SAMPLE_CHARS = 3000
 WINDOW, STRIDE = 64, 48
 WORD_SLOTS, PIECE_BITS = 1 << 18, 17
 WORD_DIM, PIECE_DIM, HIDDEN = 6, 4, 8
@@ -285,8 +285,12 @@ def log_odds(item: np.ndarray, text: np.ndarray, labels: np.ndarray, n: int) ->
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Network | None:
     """Learns from at most `rows` labelled documents of each class, of each the first `chars` code points."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    reach = F.when(F.col("toxic") > 0, 2.0 * rows / counts.get(1, 1)).otherwise(2.0 * rows / counts.get(0, 1))
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).withColumn("rank", rank).where(F.col("rank") <= rows)
+    picked = known.where(place <= reach).withColumn("rank", rank).where(F.col("rank") <= rows)
     heads = docs.select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(chars)).alias("head"))
     sample = heads.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("head").alias("head"), F.max("toxic").alias("toxic"))
     found = sorted(sample.collect(), key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id))
@@ -298,8 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     words = Words(*texts[0])
     network = Network(words, learned)
     network.train(words, learned)
-    share = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    network.calibrate(network.logits(*texts[1]), checked, share)
+    network.calibrate(network.logits(*texts[1]), checked, counts[1] / (counts[0] + counts[1]))
     return network
 
 
