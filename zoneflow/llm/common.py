@@ -97,3 +97,61 @@ def lanes(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     length = np.minimum(offsets[row + 1] - start, width)
     order = np.argsort(-length, kind="stable")
     return row[order], start[order], length[order]
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data | 32, data)
+
+
+#: Odd multiplier of the polynomial hash of a word's bytes.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit values."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def words(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of bytes marked as `inside`, which end where a text does, and the offsets of the texts in them."""
+    follows = np.concatenate([[False], inside[:-1]])[: len(inside)]
+    follows[offsets[:-1][offsets[:-1] < len(data)]] = False
+    starts = np.flatnonzero(inside & ~follows)
+    at = np.concatenate([[0], np.cumsum(inside)])
+    firsts = np.append(at[starts], at[-1])
+    sizes = np.diff(firsts)
+    powers = np.cumprod(np.full(int(sizes.max(initial=0)), BASE, np.uint64))
+    place = np.arange(at[-1]) - np.repeat(firsts[:-1], sizes)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[inside].astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)])
+    return mixed(sums[firsts[1:]] - sums[firsts[:-1]] + sizes.astype(np.uint64)), np.searchsorted(starts, offsets)
+
+
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words that begin at each word; the last size - 1 have none."""
+    n = max(0, len(hashes) - size + 1)
+    total = np.full(n, np.uint64(size), np.uint64)
+    for i in range(size):
+        total = mixed(total * BASE + hashes[i : i + n])
+    return total
+
+
+#: Bits of the filters that `key_filter` makes, whatever the number of keys.
+FILTER_BITS = 23
+
+
+def key_filter(keys: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of fixed size in which the slot of every key (a bigint column) is set; slots shared by chance only let more rows pass."""
+    slot = F.shiftrightunsigned(name, 64 - FILTER_BITS)
+    bits = keys.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))).alias("bits"))
+    found = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for row in bits.collect():
+        found[row.word] = row.bits
+    return found.view(np.uint64)
+
+
+def in_filter(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import fingerprint, language_id, mixing, toxicity
+from zoneflow.llm import decontamination, fingerprint, language_id, mixing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.op1_language_id,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_mixing": mixing.op5_mixing,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op9_fingerprint": fingerprint.op9_fingerprint,
     }
 
@@ -21,4 +22,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.ORACLE_SQL,
+        "op6_decontamination": decontamination.ORACLE_SQL,
     }
