@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import decontamination, fingerprint, language_id, mixing, toxicity
+from zoneflow.llm import decontamination, fingerprint, language_id, mixing, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_mixing": mixing.op5_mixing,
         "op6_decontamination": decontamination.op6_decontamination,
+        "op7_pii": pii.op7_pii,
         "op9_fingerprint": fingerprint.op9_fingerprint,
     }
 
