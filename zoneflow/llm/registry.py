@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import decontamination, fingerprint, language_id, mixing, near_duplicates, pii, toxicity
+from zoneflow.llm import decontamination, fingerprint, language_id, mixing, near_duplicates, pii, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_pii": pii.op7_pii,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_near_duplicates": near_duplicates.op10_near_duplicates,
     }
