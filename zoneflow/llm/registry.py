@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import decontamination, fingerprint, language_id, mixing, near_duplicates, pii, suffix_dedup, toxicity
+from zoneflow.llm import decontamination, fingerprint, html_text, language_id, mixing, near_duplicates, pii, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_html_text": html_text.op2_html_text,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_mixing": mixing.op5_mixing,
         "op6_decontamination": decontamination.op6_decontamination,
