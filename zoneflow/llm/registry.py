@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import decontamination, fingerprint, html_text, language_id, mixing, near_duplicates, pii, suffix_dedup, toxicity
+from zoneflow.llm import decontamination, fingerprint, html_text, language_id, license_scan, mixing, near_duplicates, pii, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_html_text": html_text.op2_html_text,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_mixing": mixing.op5_mixing,
         "op6_decontamination": decontamination.op6_decontamination,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": license_scan.ORACLE_SQL,
         "op5_mixing": mixing.ORACLE_SQL,
         "op6_decontamination": decontamination.ORACLE_SQL,
     }
