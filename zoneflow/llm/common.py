@@ -47,6 +47,16 @@ def restored(kind: type, fields: dict) -> object:
     return made
 
 
+#: Rows of a few bytes each up to which a table is sent to every executor.
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Checkpoints narrow rows; marked for broadcast if they were counted to be few."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def is_held_out(doc_id: Column) -> Column:
     """One fold of five by the id; a row without id is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

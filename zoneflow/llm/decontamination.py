@@ -155,6 +155,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose id no contaminated text has."""
+    found = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(common.small(found), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 

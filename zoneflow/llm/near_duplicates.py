@@ -8,7 +8,7 @@ so that no link between components is lost and no group is expanded into all its
 A pair at the least similarity of 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 
 Results: null and wordless texts have no shingles and stand alone. A text of fewer words than a shingle is one shingle. Rows that
-share an id are compared as rows of their own; repeated rows are copies. Of a null id the component may be null. Extra columns are
+share an id are compared as rows of their own; repeated rows are copies. A null id is smaller than no other: its row is kept, with the smallest other id of its component. Extra columns are
 ignored.
 """
 
@@ -207,9 +207,17 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int = PERCENT) -> Da
     named = rooted.join(least, "root").select("name", "component_id")
     found = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", "name").join(named, "name", "left").select(
-        "doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept")
+        "doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept")
     )
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int, percent: int = PERCENT) -> DataFrame:
+    """The row of the smallest id of each component, with all columns of docs; of rows equal in id and text one."""
+    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    stay = docs.join(common.small(kept), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    digest = "near_digest"
+    return stay.withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest]).drop(digest)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4)

@@ -159,9 +159,7 @@ def span_text(spans) -> F.Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in `text` replaced by its kind in brackets, and `n_chars` brought up to date."""
-    added = common.checkpointed(added_spans(common.checkpointed(scan(docs))))
-    if added.count() <= 10_000:
-        added = F.broadcast(added)
+    added = common.small(added_spans(common.checkpointed(scan(docs))))
     names = docs.columns
     keyed = docs.withColumn("pii_mark", F.xxhash64("doc_id", "text"))
     marked = keyed.join(added.select(F.col("mark").alias("pii_mark"), F.col("added").alias("pii_added")), "pii_mark", "left").drop("pii_mark")

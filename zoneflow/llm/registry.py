@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from zoneflow.llm import decontamination, fingerprint, html_text, language_id, license_scan, mixing, near_duplicates, pii, suffix_dedup, toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_near_duplicates": near_duplicates.op10_near_duplicates,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -323,6 +323,18 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     return docs.mapInArrow(score, f"{schema}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, network: Network | None) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(network) if network else None)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = common.restored(Network, shared.value) if shared.value else None
+        for batch in common.blocks(batches, "text"):
+            yield batch.filter(pa.array(model.predict(*common.utf8(batch["text"])) < 0.5)) if model else batch
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     network = fit(docs, labels.where(~common.is_held_out(F.col("doc_id"))))
