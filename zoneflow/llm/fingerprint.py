@@ -6,7 +6,7 @@ shingles.
 
 Results: null counts as an empty text; texts without words have an empty sketch, resemble another such text fully (1) and any
 other not at all (0). Repeated rows keep their own results; of rows that share an id, the next document is that of the next larger
-id, and within an id the rows follow in the order of their texts. A null id comes first. Extra columns are ignored.
+id, and within an id the rows follow in a hash order of their texts. A null id comes first. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,18 +81,23 @@ def next_rows(rows: DataFrame, order: list[str], key: str) -> DataFrame:
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited form, and their likeness."""
+    """Fingerprints of every text and of its edited form, and their likeness.
+
+    Texts are dealt by row once; what a document takes from the next one is sent to it as a head and a sketch."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("*", F.char_length("text").cast("bigint").alias("n_chars"), F.struct(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha")).alias("row"))
-    rows = with_sketch(rows, "text", "sketch")
+    rows = rows.withColumn("key", F.xxhash64("doc_id", F.sha2("text", 256)))
     # rows equal in id and text are one link of the chain
-    links = rows.groupBy(F.xxhash64("row").alias("key"), F.col("row.id").alias("id"), F.col("row.sha").alias("sha")).agg(F.first("n_chars").alias("n"))
-    chain = next_rows(links, ["id", "sha"], "key")
-    before = chain.select(F.col("next_key").alias("key"), F.col("key").alias("before"), (F.col("n") / 2).cast("int").alias("wanted"))
-    keyed = rows.withColumn("key", F.xxhash64("row"))
-    heads = keyed.dropDuplicates(["key"]).join(before, "key").select(F.col("before").alias("key"), F.left("text", F.col("wanted")).alias("head"), F.col("sketch").alias("next_sketch"))
-    both = keyed.join(heads, "key")
-    edited = both.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), F.col("head")))
+    links = rows.groupBy("key", F.col("doc_id").alias("id")).agg(F.first(F.char_length("text")).alias("n"))
+    chain = next_rows(links, ["id", "key"], "key")
+    before = chain.select(F.col("next_key").alias("key"), F.col("key").alias("before"), F.floor(F.col("n") / 2).cast("int").alias("wanted"))
+    dealt = rows.repartition("key")
+    following = dealt.join(before, "key")
+    following = with_sketch(following.withColumn("head", F.left("text", F.col("wanted"))), "text", "next_sketch")
+    # the id goes along so that both uses of the dealt texts ask for the same columns and share one exchange
+    heads = following.groupBy(F.col("before").alias("key")).agg(F.first(F.struct("doc_id", "head", "next_sketch")).alias("f")).select("key", "f.head", "f.next_sketch")
+    n = F.char_length("text")
+    both = with_sketch(dealt.join(heads, "key").withColumn("n_chars", n.cast("bigint")), "text", "sketch")
+    edited = both.withColumn("edited", F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.col("head")))
     return with_sketch(edited, "edited", "edited_sketch")
 
 
