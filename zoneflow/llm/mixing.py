@@ -2,7 +2,7 @@
 
 A document of source s is wanted `rate(s)` times on average: the target weight of s times all characters, over the characters
 of s. Its number of copies is the quantile of the Poisson distribution of that mean at a position hashed from seed, id and
-text. The copies of all sources are then spread in one hash order over the whole corpus.
+text. The copies of all sources are then dealt by a hash over the whole corpus.
 
 Results: a null source is a source of its own; a null or empty text counts as one character more than it has, as does any
 other, so that no source is without size; a null id hashes as an empty one. Rows equal in id and text get the same number of
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from zoneflow.llm import common
 
+#: Numbers in all quantile tables together up to which they are sent to every executor.
+BROADCAST_NUMBERS = 1_000_000
 #: Sampling temperature: the target weight of a source is its share of the corpus to this power.
 POWER = 0.5
 SEED = 5
@@ -49,6 +51,9 @@ def quantile_tables(rates: DataFrame) -> DataFrame:
 def replicate(docs: DataFrame, tables: DataFrame) -> DataFrame:
     """Copies of each document, without order."""
     docs = docs.drop("copy", "shuffle_key", "mix_below")
+    tables = common.checkpointed(tables)
+    if (tables.agg(F.sum(F.size("mix_below"))).first()[0] or 0) <= BROADCAST_NUMBERS:
+        tables = F.broadcast(tables)
     known = docs.join(tables, docs["source"].eqNullSafe(tables[KEY]), "left").drop(KEY)
     at = position(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     copies = F.size(F.filter("mix_below", lambda below: below <= F.col("mix_at")))
@@ -57,10 +62,10 @@ def replicate(docs: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, power: float = POWER) -> DataFrame:
-    """Replicated documents in a global hash order, given by shuffle_key."""
+    """Replicated documents, dealt over all partitions by a hash, shuffle_key, and in its order within each."""
     copies = replicate(docs, quantile_tables(source_rates(docs, power)))
     key = F.md5(F.concat_ws(":", F.lit(SEED + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy"))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
