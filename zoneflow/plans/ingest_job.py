@@ -15,10 +15,10 @@ from zoneflow.sources import readers, store
 
 def load_zones(
     spark: SparkSession, boundaries: str, zone_names: str, level_names: Mapping[str, str] | None = None,
-    epsg: int = 4326, layout: str = "lines", encoding: str = "UTF-8",
+    epsg: int = 4326, layout: str = "lines", encoding: str = "UTF-8", boundary_encoding: str = "UTF-8",
 ) -> DataFrame:
     """Base zone table from its raw files."""
-    polygons = ingest.clean_boundaries(readers.read_boundaries(spark, boundaries, layout), epsg)
+    polygons = ingest.clean_boundaries(readers.read_boundaries(spark, boundaries, layout, boundary_encoding), epsg)
     names = ingest.clean_zone_names(readers.read_zone_names(spark, zone_names, encoding))
     levels = {}
     for level in ingest.NAMED_LEVELS:
@@ -29,7 +29,7 @@ def load_zones(
 
 def ingest_files(
     spark: SparkSession, matrices: Mapping[str, str], boundaries: str, zone_names: str, output: str,
-    level_names: Mapping[str, str] | None = None, epsg: int = 4326, layout: str = "lines", encoding: str = "UTF-8",
+    level_names: Mapping[str, str] | None = None, epsg: int = 4326, layout: str = "lines", encoding: str = "UTF-8", boundary_encoding: str = "UTF-8",
 ) -> DataFrame:
     """Run the whole ingestion and return its one-row quality summary.
 
@@ -37,7 +37,7 @@ def ingest_files(
     """
     if set(matrices) != set(DAYS):
         raise ValueError(f"need one matrix for each of {list(DAYS)}")
-    zones = load_zones(spark, boundaries, zone_names, level_names, epsg, layout, encoding)
+    zones = load_zones(spark, boundaries, zone_names, level_names, epsg, layout, encoding, boundary_encoding)
     store.write_zones(zones, output)
     base = store.read_zones(spark, output)
     repeated = [row["taz"] for row in duplicate_zones(base).orderBy("taz").limit(20).collect()]

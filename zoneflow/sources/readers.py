@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,17 @@ from zoneflow.params import LEVEL_SOURCE
 NAME_ID_AT, NAME_TEXT_AT = 0, 6
 
 
+# The encodings that Spark reads whatever its settings.
+STANDARD_ENCODINGS = ("US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32")
+LEGACY_CHARSETS = "spark.sql.legacy.javaCharsets"
+
+
+def require_encoding(spark: SparkSession, encoding: str) -> None:
+    """Raises where this session would not read an encoding such as iso-8859-8 or cp1255."""
+    if encoding.upper() not in STANDARD_ENCODINGS and str(spark.conf.get(LEGACY_CHARSETS, "false")).lower() != "true":
+        raise ValueError(f"encoding {encoding!r} needs the setting {LEGACY_CHARSETS}=true; without it Spark reads {', '.join(STANDARD_ENCODINGS)} only")
+
+
 def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
     """Column names of a CSV; only the first line is read."""
     return spark.read.option("header", True).option("encoding", encoding).csv(path).columns
@@ -22,14 +35,28 @@ def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
 def read_od_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Wide trip matrix of one day type: text zone ids and double hours, columns in any order and case.
 
-    A cell that is no number fails the read.
+    Files of one folder may order their columns differently: the first line of each is read, and files of equal headers are read
+    together. A cell that is no number fails the read, as does a header that differs from the one a file is read by.
     """
-    header = _header(spark, path, encoding)
-    require_columns([name.lower() for name in header], ["fromzone", "tozone", *HOUR_COLUMNS], path)
+    require_encoding(spark, encoding)
+    files = spark.read.option("header", True).option("encoding", encoding).csv(path).inputFiles() or [path]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        groups.setdefault(tuple(_header(spark, file, encoding)), []).append(file)
+    if len(groups) > 1:
+        groups.pop((), None)  # files without a line
+    return reduce(DataFrame.unionByName, [_od_files(spark, paths, header, encoding) for header, paths in groups.items()])
+
+
+def _od_files(spark: SparkSession, paths: list[str], header: tuple[str, ...], encoding: str) -> DataFrame:
+    """Files of one header; the names that matter come in lower case."""
+    wanted = ["fromzone", "tozone", *HOUR_COLUMNS]
+    require_columns([name.lower() for name in header], wanted, paths[0])
     kinds = {name: T.DoubleType() for name in HOUR_COLUMNS}
     schema = T.StructType([T.StructField(name, kinds.get(name.lower(), T.StringType())) for name in header])
     reader = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("encoding", encoding)
-    return reader.csv(path)
+    first = {name.lower(): name for name in reversed(header)}
+    return reader.option("enforceSchema", False).csv(paths).select(*[F.col(f"`{first[name]}`").alias(name) for name in wanted])
 
 
 def _source_order() -> Column:
@@ -38,6 +65,7 @@ def _source_order() -> Column:
 
 
 def _read_sheet(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    require_encoding(spark, encoding)
     return spark.read.option("header", True).option("encoding", encoding).option("quote", '"').csv(path)
 
 
@@ -70,9 +98,11 @@ def read_level_names(spark: SparkSession, path: str | None, encoding: str = "UTF
     )
 
 
-def read_boundaries(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+def read_boundaries(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
     """Zone polygons from GeoJSON: the five level columns as text and `geometry` as a multipolygon array.
 
+    A coordinate that is no number, or a geometry that is neither Polygon nor MultiPolygon, fails the read.
+
     `layout="lines"` reads one feature per line and splits large files. `layout="collection"` reads FeatureCollection
     documents; such a document is one record, so a large zone set should come as lines or as many documents.
     """
@@ -82,17 +112,19 @@ def read_boundaries(spark: SparkSession, path: str, layout: str = "lines") -> Da
             T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType()),
         ])),
     ])
+    require_encoding(spark, encoding)
     if layout == "lines":
-        features = spark.read.schema(feature).option("mode", "FAILFAST").json(path)
+        features = spark.read.schema(feature).options(mode="FAILFAST", encoding=encoding, lineSep="\n").json(path)
     elif layout == "collection":
         document = T.StructType([T.StructField("features", T.ArrayType(feature))])
-        features = spark.read.schema(document).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        features = spark.read.schema(document).options(multiLine=True, mode="FAILFAST", encoding=encoding).json(path)
         features = features.select(F.inline("features"))
     else:
         raise ValueError(f"invalid layout {layout!r}")
-    polygon = F.from_json("geometry.coordinates", "array<array<array<double>>>")
-    multi = F.from_json("geometry.coordinates", GEOMETRY_TYPE)
-    shape = F.when(F.col("geometry.type") == "Polygon", F.array(polygon)).when(
-        F.col("geometry.type") == "MultiPolygon", multi
-    )
+    strict = {"mode": "FAILFAST"}
+    kind, shapes = F.col("geometry.type"), F.col("geometry.coordinates")
+    polygon = F.from_json(shapes, "array<array<array<double>>>", strict)
+    multi = F.from_json(shapes, GEOMETRY_TYPE, strict)
+    refused = F.raise_error(F.concat(F.lit("neither Polygon nor MultiPolygon: "), kind))
+    shape = F.when(kind == "Polygon", F.array(polygon)).when(kind == "MultiPolygon", multi).when(kind.isNotNull(), refused)
     return features.select("properties.*", shape.alias("geometry"))
