@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zoneflow.functions import geometry as geo
+from zoneflow.functions.scale import ensure_checkpoint_dir
 from zoneflow.params import BASE_LEVEL, LEVEL_LABEL, resolve_level
 
 # Decimals to which vertices snap before shared sides are matched.
 SNAP_DECIMALS = 9
+# Distance up to which a vertex lies on a side: two units of the snapped grid.
+SNAP = 2e-9
 
 
 def with_centroids(zones: DataFrame) -> DataFrame:
@@ -80,12 +83,26 @@ def group_sides(base: DataFrame, levels: Sequence[str]) -> DataFrame:
     )
     sides = turned.select(*columns, "part", F.inline(geo.ring_sides(F.col("ring")))).where("x1 <> x2 OR y1 <> y2")
     grouped = sides.unpivot(["part", "x1", "y1", "x2", "y2"], columns, "level", "group_id").where("group_id IS NOT NULL")
+    ensure_checkpoint_dir(base.sparkSession)
+    matched = _matched(grouped).checkpoint()
+    alone = matched.where("n = 1").select("level", "group_id", "part", *_directed())
+    return matched.where("n > 1").unionByName(_matched(_split(alone)))
+
+
+def _directed() -> list[Column]:
+    """Ends of an undirected side in the direction that its part walks it."""
+    opposite = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
+    return [F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in opposite.items()]
+
+
+def _matched(directed: DataFrame) -> DataFrame:
+    """Directed sides brought together with their equals in the group, whatever their direction."""
     forward = F.struct("x1", "y1") < F.struct("x2", "y2")
     ends = [
         F.when(forward, F.col(f"{axis}{a}")).otherwise(F.col(f"{axis}{b}")).alias(f"{axis}{a}")
         for a, b in ((1, 2), (2, 1)) for axis in ("x", "y")
     ]
-    return grouped.select("level", "group_id", "part", forward.alias("forward"), *ends).groupBy(
+    return directed.select("level", "group_id", "part", forward.alias("forward"), *ends).groupBy(
         "level", "group_id", "x1", "y1", "x2", "y2"
     ).agg(
         F.count("*").alias("n"), F.min_by("forward", "part").alias("forward"),
@@ -93,6 +110,62 @@ def group_sides(base: DataFrame, levels: Sequence[str]) -> DataFrame:
     )
 
 
+def _split(sides: DataFrame) -> DataFrame:
+    """Cuts directed sides at the vertices of their group that lie on them.
+
+    Neighbours that do not share every vertex leave sides that match none; the vertices that cut them are ends of such sides. Both
+    are dealt into cells of a grid as wide as an average side, so only what is near is compared.
+    """
+    key, group = ["level", "group_id", "part", "x1", "y1", "x2", "y2"], ["level", "group_id"]
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    cell = sides.agg(F.avg(length)).first()[0]
+    if not cell:
+        return sides
+    at = lambda value: F.floor(value / cell).cast("bigint")
+    points = sides.select(*group, F.col("x1").alias("x"), F.col("y1").alias("y")).union(sides.select(*group, "x2", "y2")).distinct()
+    points = points.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
+
+    low, high, slack = F.least("x1", "x2"), F.greatest("x1", "x2"), F.lit(SNAP)
+    columns = sides.select(*key, F.explode(F.sequence(at(low - slack), at(high + slack))).alias("cx"))
+    slope = F.when(F.abs(F.col("x2") - F.col("x1")) > slack, (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    from_x, to_x = F.greatest(low, F.col("cx") * cell) - F.col("x1"), F.least(high, (F.col("cx") + 1) * cell) - F.col("x1")
+    reach = [F.coalesce(F.col("y1") + x * slope, F.col(y)) for x, y in ((from_x, "y1"), (to_x, "y2"))]
+    cells = columns.select(*key, "cx", F.explode(F.sequence(at(F.least(*reach) - slack), at(F.greatest(*reach) + slack))).alias("cy"))
+
+    _require_no_crossing(cells, slack)
+    along = ((F.col("x") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y") - F.col("y1")) * (F.col("y2") - F.col("y1"))) / length
+    beside = F.abs((F.col("x") - F.col("x1")) * (F.col("y2") - F.col("y1")) - (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1"))) / length
+    on = (beside <= slack) & (along > slack) & (along < length - slack)
+    hits = cells.join(points, [*group, "cx", "cy"]).where(on)
+    cuts = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(along.alias("t"), "x", "y"))).alias("cuts"))
+    none = F.expr("cast(array() as array<struct<t:double,x:double,y:double>>)")
+    ends = [F.struct(F.lit(0.0).alias("t"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]
+    path = F.concat(F.array(ends[0]), F.coalesce("cuts", none), F.array(ends[1]))
+    steps = F.zip_with(F.slice(path, F.lit(1), F.size(path) - 1), F.slice(path, F.lit(2), F.size(path) - 1), lambda a, b: F.struct(
+        a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
+    ))
+    return sides.join(cuts, key, "left").select(*group, "part", F.inline(steps))
+
+
+def _require_no_crossing(cells: DataFrame, slack: Column) -> None:
+    """Raises if two sides of a group that share a grid cell cross each other."""
+    ends = ("x1", "y1", "x2", "y2")
+    other = cells.select("level", "group_id", "cx", "cy", *[F.col(c).alias(f"o{c}") for c in ends])
+
+    def side_of(a: str, x: str, y: str) -> Column:
+        """Distance of a point from a side, positive to its left."""
+        dx, dy = F.col(f"{a}x2") - F.col(f"{a}x1"), F.col(f"{a}y2") - F.col(f"{a}y1")
+        return (dx * (F.col(y) - F.col(f"{a}y1")) - dy * (F.col(x) - F.col(f"{a}x1"))) / F.sqrt(dx * dx + dy * dy)
+
+    def apart(a: Column, b: Column) -> Column:
+        return (F.least(a, b) < -slack) & (F.greatest(a, b) > slack)
+
+    crossing = apart(side_of("", "ox1", "oy1"), side_of("", "ox2", "oy2")) & apart(side_of("o", "x1", "y1"), side_of("o", "x2", "y2"))
+    found = cells.join(other, ["level", "group_id", "cx", "cy"]).where(crossing).select("level", "group_id", *ends).head()
+    if found:
+        raise ValueError(f"zones of a group overlap: a boundary crosses another one at {tuple(found)}")
+
+
 def _snap(ring):
     return F.transform(ring, lambda p: F.transform(p, lambda v: F.round(v, SNAP_DECIMALS)))
 
@@ -100,12 +173,10 @@ def _snap(ring):
 def boundary_edges(sides: DataFrame) -> DataFrame:
     """Directed outline of every group: `level, group_id, part, x1, y1, x2, y2`, the group to the left of each side.
 
-    A side shared by two zones of a group cancels out. Exact for a clean coverage: zones neither overlap nor leave gaps,
-    and neighbours share their vertices.
+    A side shared by two zones of a group cancels out. Exact for zones that do not overlap; neighbours need not share their
+    vertices.
     """
-    opposite = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
-    ends = [F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in opposite.items()]
-    return sides.where("n = 1").select("level", "group_id", "part", *ends)
+    return sides.where("n = 1").select("level", "group_id", "part", *_directed())
 
 
 def boundary_lengths(edges: DataFrame) -> DataFrame:
