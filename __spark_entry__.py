@@ -23,7 +23,7 @@ from zoneflow.functions.flows import plain_count, rounded_count  # noqa: E402
 from zoneflow.functions.scale import scratch_path  # noqa: E402
 from zoneflow.operators import breakdown, dissolve, export, flowmap, ingest, quality, zonemap  # noqa: E402
 from zoneflow.operators.rollup import ranked_flows  # noqa: E402
-from zoneflow.params import DAYS, GROUP_LEVELS, LEVEL_SOURCE  # noqa: E402
+from zoneflow.params import DAYS, FLOW_CAP, GROUP_LEVELS, LEVEL_SOURCE  # noqa: E402
 from zoneflow.plans import retail_tables as retail  # noqa: E402
 from zoneflow.plans.modes import COMBINED, EXTERNAL, INTERNAL, Selection  # noqa: E402
 from zoneflow.sources import readers, store  # noqa: E402
@@ -85,10 +85,12 @@ def _on_both(derive: Callable) -> Query:
 
 
 def _od_ingest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide CSV files of the three day types, read back and melted."""
+    """Wide CSV files of the three day types, in two column orders, read back and melted."""
     folder, od = scratch_path(spark, "od_wide"), retail.stored_od(spark, sf_dir)
     for day in DAYS:
-        retail.od_wide(od, day).write.option("header", True).csv(f"{folder}/{day}")
+        wide, odd = retail.od_wide(od, day), F.pmod(F.xxhash64("fromZone"), F.lit(2)) == 1
+        for rows, names in ((wide.where(~odd), wide.columns), (wide.where(odd), wide.columns[::-1])):
+            rows.select(*names).write.mode("append").option("header", True).csv(f"{folder}/{day}")
     return ingest.build_od_matrix({day: readers.read_od_csv(spark, f"{folder}/{day}") for day in DAYS})
 
 
@@ -173,7 +175,7 @@ def _zones_dissolved(zones):
 
 
 def _boundary(zones):
-    return dissolve.boundary_lengths(dissolve.boundary_edges(dissolve.group_sides(zones.base, ["city", "g15"])))
+    return dissolve.boundary_lengths(dissolve.boundary_edges(dissolve.group_sides(zones.base, GROUP_LEVELS)))
 
 
 def _dissolved_polygons(zones):
@@ -254,8 +256,8 @@ def _flow_display_round(flows, zones):
 
 
 def _flows_labelled(od, zones):
-    top = flow_rollup(od, zones, FlowQuery(level="taz", cap=200))
-    return flowmap.label_flows(top, zones, "taz").select("origin_id", "origin_label", "dest_id", "dest_label", "trips")
+    every = flow_rollup(od, zones, FlowQuery(level="taz"))
+    return flowmap.label_flows(every, zones, "taz").select("origin_id", "origin_label", "dest_id", "dest_label", "trips")
 
 
 def _captions(flows, zones):
@@ -265,6 +267,13 @@ def _captions(flows, zones):
 SUMMARY_SELECTION = Selection(**GROUP, mode=COMBINED, include_self_loops=True, cap=20, **MORNING)
 
 
+ALL_DAYS_SELECTION = Selection(**GROUP, mode=COMBINED, include_self_loops=True, day=None)
+
+
+def _export_summary_all_days(flows, zones):
+    return export.summary_table(flows, zones, ALL_DAYS_SELECTION)
+
+
 def _export_summary(flows, zones):
     return export.summary_table(flows, zones, SUMMARY_SELECTION)
 
@@ -288,15 +297,15 @@ def queries() -> dict[str, Query]:
         "flows_include_ids": _flows(level="g33", origin_ids=PICKED, dest_ids=["1", "2", "5"], **MORNING),
         "flows_exclude_ids": _flows(level="g33", origin_ids=PICKED, exclude_dest_ids=PICKED, **MORNING),
         "flows_min_trips": _flows(origin_level="taz", dest_level="g33", min_trips=100),
-        "flows_topk": _on_both(lambda od, zones: ranked_flows(od, zones, FlowQuery(level="taz"))),
+        "flows_topk": _on_both(lambda od, zones: ranked_flows(od, zones, FlowQuery(level="taz", cap=FLOW_CAP))),
         "internal_pairs": _on_zones(lambda zones: zones.internal_pairs("g33", "city")),
         "level_lookup": _on_zones(lambda zones: zones.lookups()),
         "od_ingest_long": _od_ingest_long,
         "od_roundtrip": _od_roundtrip,
         "zones_base": _zones_base,
         "zone_level_names": _zone_level_names,
-        "quality_summary": _on_both(quality.quality_summary),
-        "quality_missing_zones": _on_both(quality.first_unmatched),
+        "quality_summary": _on_both(lambda od, zones: quality.quality_summary(retail.with_unknown_zones(od), zones)),
+        "quality_missing_zones": _on_both(lambda od, zones: quality.first_unmatched(retail.with_unknown_zones(od), zones)),
         "od_metadata": _on_both(lambda od, zones: quality.od_metadata(od)),
         "mode1_single_zone": _mode(ids=["3"], map_level="g33", counterpart_level="g250", day=None),
         "mode2_internal": _mode(**GROUP, mode=INTERNAL, include_self_loops=True),
@@ -326,6 +335,7 @@ def queries() -> dict[str, Query]:
         "flows_labelled": _on_both(_flows_labelled),
         "export_flows": _on_flows(lambda flows, zones: export.flow_table(flows, zones, COMBINED_MORNING).drop("tag")),
         "export_summary": _on_flows(_export_summary, SUMMARY_SELECTION, with_flag=True),
+        "export_summary_all_days": _on_flows(_export_summary_all_days, ALL_DAYS_SELECTION, with_flag=True),
         "export_breakdown": _on_flows(_export_breakdown),
         "zone_name_list": _on_zones(_zone_name_list),
         "zone_search": _on_zones(lambda zones: export.search_zones(zones, "taz", "00012", ["12"])),

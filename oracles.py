@@ -15,7 +15,7 @@ zones AS (
          CAST(34 AS DOUBLE) + (c_custkey % 40) * CAST(0.0625 AS DOUBLE) AS x0,
          CAST(29.5 AS DOUBLE) + (c_custkey // 40) * CAST(0.0625 AS DOUBLE) AS y0
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE c_custkey % 101 <> 100)"""
+)"""
 
 OD = """
 od AS (
@@ -52,16 +52,20 @@ def top(body: str, n: int) -> str:
     return f"SELECT * FROM ({body}) ORDER BY trips DESC, origin_id, dest_id LIMIT {n}"
 
 
+def limited(body: str, cap: int | None) -> str:
+    return body if cap is None else top(body, cap)
+
+
 IN_O, IN_D = f"o.g33 IN {PICKED}", f"d.g33 IN {PICKED}"
 OUT_O, OUT_D = f"o.g33 NOT IN {PICKED}", f"d.g33 NOT IN {PICKED}"
 DIFFER = "o.g33 <> d.g33"
 
 
-def mode4(time: str, loops: bool = True, cap: int = 5000) -> str:
+def mode4(time: str, loops: bool = True, cap: int | None = None) -> str:
     extra = "" if loops else f" AND {DIFFER}"
     parts = {"internal": f"{IN_O} AND {IN_D}{extra}", "outgoing": f"{IN_O} AND {OUT_D}", "incoming": f"{OUT_O} AND {IN_D}"}
     return "\nUNION ALL\n".join(
-        f"({tagged(tag, top(flows('g33', 'g33', f'{time} AND {where}'), cap))})" for tag, where in parts.items()
+        f"({tagged(tag, limited(flows('g33', 'g33', f'{time} AND {where}'), cap))})" for tag, where in parts.items()
     )
 
 
@@ -130,13 +134,14 @@ def dissolved(level: str, label: str) -> str:
       ROUND(AVG(y0 + 0.03125), 6) AS centroid_lat FROM zones GROUP BY {level}"""
 
 
-def summary(cap: int) -> str:
+def summary(cap: int | None, time: str = MORNING, day: str = texts.DAY_LABELS["weekday"], hours: str = "7–10") -> str:
+    warning = f"(SELECT CASE WHEN MAX(n) > {cap} THEN 'הנתונים גדולים מ-{cap} שורות — מוצגות {cap} הגדולות בלבד' END FROM uncut)" if cap else "NULL"
     rows = [
-        (texts.KEY_DAY, f"'{texts.DAY_LABELS['weekday']}'"), (texts.KEY_HOURS, "'7–10'"), (texts.KEY_MIN_TRIPS, "'1'"),
+        (texts.KEY_DAY, f"'{day}'"), (texts.KEY_HOURS, f"'{hours}'"), (texts.KEY_MIN_TRIPS, "'1'"),
         (texts.KEY_SELF_LOOPS, f"'{texts.YES}'"), (texts.KEY_LEVEL, "'TAZ_33'"),
         (texts.KEY_FLOWS, "(SELECT CAST(COUNT(*) AS VARCHAR) FROM m4)"),
         (texts.KEY_TRIPS, "(SELECT CAST(CAST(SUM(FLOOR(trips + 0.5)) AS BIGINT) AS VARCHAR) FROM m4)"),
-        (texts.KEY_WARNING, f"(SELECT CASE WHEN MAX(n) > {cap} THEN '{texts.TRUNCATED_WARNING}' END FROM uncut)"),
+        (texts.KEY_WARNING, warning),
         (texts.KEY_ZONES, "(SELECT label FROM names WHERE id = '3')"), ("", "(SELECT label FROM names WHERE id = '7')"),
         ("", "(SELECT label FROM names WHERE id = '11')"),
     ]
@@ -144,7 +149,7 @@ def summary(cap: int) -> str:
         f"SELECT CAST({i} AS BIGINT) AS ord, '{key}' AS key, {value} AS value" for i, (key, value) in enumerate(rows, 1)
     )
     return (
-        base(f"m4 AS ({mode4(MORNING, cap=cap)})", NAMES33, f"every AS ({mode4(MORNING, cap=10**9)})",
+        base(f"m4 AS ({mode4(time, cap=cap)})", NAMES33, f"every AS ({mode4(time, cap=None)})",
              "uncut AS (SELECT tag, COUNT(*) AS n FROM every GROUP BY tag)")
         + f"SELECT * FROM ({body}) WHERE value IS NOT NULL"
     )
@@ -168,14 +173,14 @@ def oracle_sql() -> dict[str, str]:
     m4_all = base(MODE4)
     q: dict[str, str] = {}
     q["flows_same_level"] = base() + flows("g33", "g33", f"{MORNING} AND {DIFFER}")
-    q["flows_cross_level"] = base() + top(flows("g33", "city", anti=True), 5000)
+    q["flows_cross_level"] = base() + flows("g33", "city", anti=True)
     q["flows_with_self_loops"] = base() + flows("g15", "g15", MORNING)
     q["flows_hour_range"] = base() + flows("g33", "g33", f"hour BETWEEN 22 AND 23 AND {DIFFER}")
     q["flows_day_filter"] = base() + flows("g33", "g33", f"day = 'saturday' AND {DIFFER}")
-    q["flows_all_days"] = base() + top(flows("g250", "g250", "o.g250 <> d.g250"), 5000)
+    q["flows_all_days"] = base() + flows("g250", "g250", "o.g250 <> d.g250")
     q["flows_include_ids"] = base() + flows("g33", "g33", f"{MORNING} AND {DIFFER} AND {IN_O} AND d.g33 IN ('1', '2', '5')")
     q["flows_exclude_ids"] = base() + flows("g33", "g33", f"{MORNING} AND {DIFFER} AND {IN_O} AND {OUT_D}")
-    q["flows_min_trips"] = base() + top(flows("taz", "g33", having=100, anti=True), 5000)
+    q["flows_min_trips"] = base() + flows("taz", "g33", having=100, anti=True)
     q["flows_topk"] = base(f"f AS ({flows('taz', 'taz', 'o.taz <> d.taz')})") + """
       SELECT origin_id, dest_id, trips, ROW_NUMBER() OVER (ORDER BY trips DESC, origin_id, dest_id) AS rnk,
              (SELECT COUNT(*) FROM f) > 5000 AS truncated FROM f QUALIFY rnk <= 5000"""
@@ -192,13 +197,15 @@ def oracle_sql() -> dict[str, str]:
       "QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY src) = 1)") + """
       SELECT DISTINCT g33 AS group_id, clean.name AS label FROM zones LEFT JOIN clean ON clean.id = g33"""
     ids = "(SELECT from_zone AS id FROM od UNION SELECT to_zone FROM od)"
-    q["quality_summary"] = base() + f"""SELECT (SELECT COUNT(*) FROM od) AS n_rows, (SELECT COUNT(DISTINCT day) FROM od) AS n_days,
-      (SELECT STRING_AGG(DISTINCT day, ',' ORDER BY day) FROM od) AS days, (SELECT MIN(trips) FROM od) AS min_trips,
-      (SELECT MAX(trips) FROM od) AS max_trips, (SELECT COUNT(*) FROM {ids}) AS n_od_zones, (SELECT COUNT(*) FROM zones) AS n_zones,
+    unknown = "od2 AS (SELECT * FROM od UNION ALL SELECT from_zone, 'X' || to_zone, day, hour, trips FROM od WHERE hour = 0)"
+    ids = "(SELECT from_zone AS id FROM od2 UNION SELECT to_zone FROM od2)"
+    q["quality_summary"] = base(unknown) + f"""SELECT (SELECT COUNT(*) FROM od2) AS n_rows, (SELECT COUNT(DISTINCT day) FROM od2) AS n_days,
+      (SELECT STRING_AGG(DISTINCT day, ',' ORDER BY day) FROM od2) AS days, (SELECT MIN(trips) FROM od2) AS min_trips,
+      (SELECT MAX(trips) FROM od2) AS max_trips, (SELECT COUNT(*) FROM {ids}) AS n_od_zones, (SELECT COUNT(*) FROM zones) AS n_zones,
       (SELECT COUNT(*) FROM {ids} WHERE id NOT IN (SELECT taz FROM zones)) AS n_missing,
       (SELECT COUNT(*) FROM zones WHERE zone_name IS NULL) AS n_unnamed"""
-    q["quality_missing_zones"] = base() + """SELECT zone_id FROM (
-      (SELECT from_zone AS zone_id FROM od UNION SELECT to_zone FROM od) EXCEPT SELECT taz FROM zones) ORDER BY zone_id LIMIT 20"""
+    q["quality_missing_zones"] = base(unknown) + """SELECT zone_id FROM (
+      (SELECT from_zone AS zone_id FROM od2 UNION SELECT to_zone FROM od2) EXCEPT SELECT taz FROM zones) ORDER BY zone_id LIMIT 20"""
     q["od_metadata"] = base() + """SELECT CAST(3 AS BIGINT) AS n_days, 'weekday,friday,saturday' AS days, CAST(0 AS BIGINT) AS hour_min,
       CAST(23 AS BIGINT) AS hour_max, CAST(1 AS DOUBLE) AS trips_min, MAX(trips) AS trips_max, MIN(trips) AS trips_lowest,
       CAST(5 AS BIGINT) AS n_levels FROM od"""
@@ -244,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
       MAX(y0 + 0.0625) AS max_lat FROM zones"""
     q["zones_dissolved"] = base() + " UNION ALL ".join(
         dissolved(*x) for x in (("g250", "name_250"), ("g33", "name_33"), ("g15", "name_15"), ("city", "city")))
-    q["dissolve_boundary"] = base(SIDES) + f"{outline('city')} UNION ALL {outline('g15')}"
+    q["dissolve_boundary"] = base(SIDES) + " UNION ALL ".join(outline(level) for level in ("city", "g15", "g33", "g250"))
     q["zones_reproject"] = base() + "SELECT taz, ROUND(x0, 6) AS lon, ROUND(y0, 6) AS lat FROM zones"
 
     q["dissolved_polygons"] = pieces() + " UNION ALL ".join(f"""
@@ -286,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT id, label, ROUND(lon, 6) AS centroid_lon, ROUND(lat, 6) AS centroid_lat FROM centers
       WHERE id IN {PICKED} OR id IN (SELECT origin_id FROM m3 WHERE tag <> 'internal')
          OR id IN (SELECT dest_id FROM m3 WHERE tag <> 'internal')"""
-    q["flows_labelled"] = base(f"f AS ({top(flows('taz', 'taz', 'o.taz <> d.taz'), 200)})") + """
+    q["flows_labelled"] = base(f"f AS ({flows('taz', 'taz', 'o.taz <> d.taz')})") + """
       SELECT origin_id, COALESCE(o.zone_name, origin_id) AS origin_label, dest_id, COALESCE(d.zone_name, dest_id) AS dest_label, trips
       FROM f LEFT JOIN zones o ON o.taz = origin_id LEFT JOIN zones d ON d.taz = dest_id"""
     q["export_flows"] = base(MODE4, NAMES33) + f"""
@@ -295,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
           ELSE CASE WHEN origin_id = dest_id THEN '{texts.INTRA_ZONE}' ELSE '{texts.INTER_SELECTED}' END END AS type
       FROM m4 LEFT JOIN names o ON o.id = origin_id LEFT JOIN names d ON d.id = dest_id"""
     q["export_summary"] = summary(20)
+    q["export_summary_all_days"] = summary(None, "TRUE", "כל הימים", "0–24")
     q["zone_name_list"] = name_list()
     q["zone_search"] = base() + """SELECT taz AS id, zone_name AS label FROM zones
       WHERE (LOWER(zone_name) LIKE '%00012%' OR LOWER(taz) LIKE '%00012%') AND taz <> '12' ORDER BY taz LIMIT 8"""

@@ -27,7 +27,7 @@ def test_empty_selection_has_no_flows(tables):
 def test_known_sizes(tables):
     got = {r["tag"]: (r["n"], r["t"]) for r in run(tables, mode=4).groupBy("tag").agg(
         F.count("*").alias("n"), F.sum("trips").alias("t")).collect()}
-    assert got == {"internal": (9, 21973.0), "outgoing": (63, 135693.0), "incoming": (66, 125673.0)}
+    assert got == {"internal": (9, 21973.0), "outgoing": (63, 135693.0), "incoming": (66, 127049.0)}
 
 
 def test_combined_is_internal_plus_external(tables):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -15,11 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
-# Rows up to which one task may number a whole table.
-SINGLE_TASK_ROWS = 100_000
-
-_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
-_SALTS = 256
+_SALTS = 64
 _POSITION_BITS = 33  # layout of monotonically_increasing_id: partition number above, row position below
 
 
@@ -34,28 +27,23 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rnk") -> DataFrame:
     """First `k` rows of each group under a total order, with their rank.
 
-    No task sees more than a bounded share of a hot group: up to the optimizer's threshold Spark itself keeps only `k`
-    rows per group and task before the shuffle; above it, a salted ranking does the same in two steps.
+    Shares of a group are ranked first, so that no task sees the whole of a hot one; the last ranking sees the `k` first rows
+    of each share.
     """
-    if k > int(df.sparkSession.conf.get(_LIMIT_KEY, "1000")):
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS))
-        salted = df.withColumn("__salt", salt)
-        first = F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))
-        df = salted.withColumn("__first", first).where(F.col("__first") <= k).drop("__salt", "__first")
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+    first = F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))
+    df = salted.withColumn("__first", first).where(F.col("__first") <= k).drop("__salt", "__first")
     ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(rank, ranked).where(F.col(rank) <= k)
 
 
-def sequential_index(df: DataFrame, key: str, name: str = "idx", max_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def sequential_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Number rows 0, 1, 2, ... in the order of a unique key. Only the keys are sorted; the index is then joined back.
 
-    Past `max_rows` the keys are sorted by range into many partitions, fixed by a checkpoint, and numbered inside each
-    partition on top of the row counts of the partitions before it.
+    The keys are sorted by range into many partitions, fixed by a checkpoint, and numbered inside each partition on top of
+    the row counts of the partitions before it.
     """
     keys = df.select(key)
-    if keys.count() <= max_rows:
-        index = keys.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
-        return df.join(F.broadcast(index), key)
     ensure_checkpoint_dir(df.sparkSession)
     placed = keys.orderBy(key).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("__at", _POSITION_BITS)
@@ -72,19 +60,8 @@ def sequential_index(df: DataFrame, key: str, name: str = "idx", max_rows: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a temporary one in local mode where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark not in _local_dirs:
-        _local_dirs[spark] = tempfile.mkdtemp(prefix="zoneflow-")
-        atexit.register(shutil.rmtree, _local_dirs[spark], ignore_errors=True)
-    return _local_dirs[spark]
-
-
-_local_dirs: dict[SparkSession, str] = {}
+    """Folder every executor can reach: `spark.checkpoint.dir`, or one below the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

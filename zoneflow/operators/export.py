@@ -35,19 +35,26 @@ def flow_table(flows: DataFrame, zones: ZoneModel, selection: Selection) -> Data
 
 def sorted_flow_table(table: DataFrame) -> DataFrame:
     """Export order: by rounded trips, then outgoing, incoming, internal, then ids."""
-    position = F.create_map(*[F.lit(x) for item in _TAG_POSITION.items() for x in item])[F.col("tag")]
-    return table.orderBy(F.desc("trips"), position, "origin_id", "dest_id")
+    return table.orderBy(F.desc("trips"), tag_position(), "origin_id", "dest_id")
+
+
+def tag_position() -> Column:
+    return F.create_map(*[F.lit(x) for item in _TAG_POSITION.items() for x in item])[F.col("tag")]
 
 
 def export_name(selection: Selection) -> str:
     level = LEVEL_SOURCE[selection.map_level]
-    return f"od_flows_{level}_{selection.day}_{selection.hour_min}-{selection.hour_max}"
+    return f"od_flows_{level}_{selection.day or 'all'}_{selection.hour_min}-{selection.hour_max}"
 
 
 def filter_line(selection: Selection) -> Column:
     """Day and time of the filters in one line."""
     span = time_label(F.lit(selection.hour_min), F.lit(selection.hour_max))
-    return F.concat(day_label(F.lit(selection.day)), F.lit(" · "), span)
+    return F.concat(day_text(selection), F.lit(" · "), span)
+
+
+def day_text(selection: Selection) -> Column:
+    return day_label(F.lit(selection.day)) if selection.day else F.lit(texts.ALL_DAYS)
 
 
 def legend_line(selection: Selection) -> str:
@@ -73,25 +80,24 @@ def summary_table(flagged: DataFrame, zones: ZoneModel, selection: Selection) ->
         F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("cut"),
     )
     text = [
-        (texts.KEY_DAY, day_label(F.lit(selection.day))),
+        (texts.KEY_DAY, day_text(selection)),
         (texts.KEY_HOURS, F.lit(hour_label(selection.hour_min, selection.hour_max))),
         (texts.KEY_MIN_TRIPS, F.lit(number_text(selection.min_trips))),
         (texts.KEY_SELF_LOOPS, F.lit(texts.YES if selection.include_self_loops else texts.NO)),
         (texts.KEY_LEVEL, F.lit(LEVEL_SOURCE[selection.map_level])),
         (texts.KEY_FLOWS, F.col("n").cast("string")),
         (texts.KEY_TRIPS, F.col("total").cast("string")),
-        (texts.KEY_WARNING, F.when(F.col("cut"), texts.TRUNCATED_WARNING)),
+        (texts.KEY_WARNING, F.when(F.col("cut"), texts.truncated_warning(selection.cap or 0))),
     ]
     rows = [
         F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(key).alias("key"), value.alias("value"))
         for i, (key, value) in enumerate(text, 1)
     ]
-    head = facts.select(F.inline(F.array(*rows))).where("value IS NOT NULL")
+    head = facts.select(F.inline(F.array(*rows))).where(F.col("value").isNotNull() | (F.col("key") != texts.KEY_WARNING))
     if not selection.ids:
         return head
 
     ids = list(selection.ids)
-    position = F.array_position(F.array(*map(F.lit, ids)), F.col("id"))
     known = zones.labels([selection.map_level]).where(F.col("id").isin(ids)).agg(
         F.map_from_entries(F.collect_list(F.struct("id", F.coalesce("label", "id")))).alias("names")
     )  # one entry per selected zone

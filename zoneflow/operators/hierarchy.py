@@ -19,8 +19,8 @@ from zoneflow.params import BASE_LEVEL, LEVEL_LABEL, LEVELS, resolve_level
 class ZoneModel:
     """The base zone table (one row per zone, unique `taz`) and how it may be joined.
 
-    Every table derived here has at most as many rows as the base table, so one size check decides for all of them:
-    within the bounds they are broadcast, beyond them they are joined by shuffle. `tables` holds stored group tables
+    A table derived here joins two levels at most, so it has at most twice the rows of the base table. One check against half of the
+    bounds decides for all of them: within they are broadcast, beyond they are joined by shuffle. `tables` holds stored group tables
     (`group_id, label, centroid_lat, centroid_lon`) of any levels; labels and points of other levels are derived.
     """
 
@@ -32,7 +32,7 @@ class ZoneModel:
     @cached_property
     def fits(self) -> bool:
         texts = [*LEVELS, *(c for c in LEVEL_LABEL.values() if c not in LEVELS)]
-        return fits_broadcast(self.base.select(*texts), self.broadcast_rows, self.broadcast_bytes)
+        return fits_broadcast(self.base.select(*texts), self.broadcast_rows // 2, self.broadcast_bytes // 2)
 
     def hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.fits else df

@@ -90,7 +90,7 @@ class FlowQuery:
     exclude_origin_ids: Sequence[str] | str | None = field(default=())
     exclude_dest_ids: Sequence[str] | str | None = field(default=())
     include_self_loops: bool = False
-    cap: int | None = FLOW_CAP
+    cap: int | None = None
 
     def __post_init__(self) -> None:
         origin, dest = self.origin_level or self.level, self.dest_level or self.level

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from zoneflow.functions.scale import top_per_group
 from zoneflow.operators.hierarchy import ZoneModel
 from zoneflow.operators.rollup import all_flows, flow_order
-from zoneflow.params import API_MIN_TRIPS, FLOW_CAP, FlowQuery, resolve_level
+from zoneflow.params import API_MIN_TRIPS, FlowQuery, resolve_level
 
 # Names of modes, roles and directions.
 SINGLE, INTERNAL, EXTERNAL, COMBINED = 1, 2, 3, 4
@@ -40,7 +40,7 @@ class Selection:
     hour_max: int = 24
     min_trips: float = API_MIN_TRIPS
     include_self_loops: bool = False
-    cap: int | None = FLOW_CAP
+    cap: int | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "ids", tuple(dict.fromkeys(str(i) for i in self.ids)))
@@ -73,7 +73,7 @@ class Selection:
 
 
 def flow_set(od: DataFrame, zones: ZoneModel, selection: Selection, with_flag: bool = False) -> DataFrame:
-    """Flows `tag, origin_id, dest_id, trips` of a selection, at most `cap` per tag.
+    """Flows `tag, origin_id, dest_id, trips` of a selection: all of them, or the `cap` largest of each tag if a cap is given.
 
     With `with_flag` each row also tells whether its tag was cut (`truncated`). An empty selection has no flows. In mode
     1 with both directions and self-loops kept, a self-loop is an outgoing and an incoming flow.
@@ -120,8 +120,7 @@ def _tagged(od: DataFrame, zones: ZoneModel, s: Selection) -> DataFrame:
         wanted = ["outgoing"] * s.wants_outgoing + ["incoming"] * s.wants_incoming
     else:
         wanted = list(parts)
-    if len(wanted) == 1 or not zones.fits:
-        # Where zones are joined by shuffle, the id filters of each part cut the trips down before they move.
+    if len(wanted) == 1:
         return reduce(DataFrame.unionByName, [tagged(tag, parts[tag]) for tag in wanted])
 
     # The parts are disjoint sets of (origin, destination) pairs, so one scan and one roll-up answers them all.

@@ -9,7 +9,7 @@ from zoneflow.operators.hierarchy import ZoneModel
 from zoneflow.params import BASE_LEVEL, GROUP_LEVELS, LEVELS, resolve_level
 
 OD_TABLE = "od_matrix"
-OD_SCHEMA = "from_zone string, to_zone string, hour int, trips double, day string"
+OD_SCHEMA = "from_zone string, to_zone string, trips double, day string, hour int"
 ZONE_SCHEMA = (
     "taz string, g250 string, g33 string, g15 string, city string, zone_name string, name_250 string, name_33 string, "
     f"name_15 string, centroid_lat double, centroid_lon double, area double, geometry {GEOMETRY_TYPE}"
@@ -19,16 +19,16 @@ ZONE_TABLES = {level: "zones" if level == BASE_LEVEL else f"zones_{level.removep
 
 
 def write_od(od: DataFrame, folder: str, cluster: bool = True) -> str:
-    """Write the trips table, one partition folder per day type.
+    """Write the trips table, one partition folder per day type and hour: 72 at most.
 
-    With `cluster`, rows are range-partitioned by day and zone pair first: files hold narrow ranges of origins, so a query
-    about some origins skips most of them, and a hot origin spreads over as many tasks as its pairs and hours fill.
+    With `cluster`, rows are range-partitioned by day, hour and zone pair first, so that a task writes to few folders, files hold
+    narrow ranges of origins, and a hot origin spreads over as many tasks as its pairs fill.
     """
     path = f"{folder}/{OD_TABLE}"
     if cluster:
-        keys = ["day", "from_zone", "to_zone", "hour"]
+        keys = ["day", "hour", "from_zone", "to_zone"]
         od = od.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    od.write.mode("overwrite").partitionBy("day").parquet(path)
+    od.write.mode("overwrite").partitionBy("day", "hour").parquet(path)
     return path
 
 
