@@ -25,8 +25,8 @@ from zoneflow.operators import breakdown, dissolve, export, flowmap, ingest, qua
 from zoneflow.operators.rollup import ranked_flows  # noqa: E402
 from zoneflow.params import DAYS, FLOW_CAP, GROUP_LEVELS, LEVEL_SOURCE  # noqa: E402
 from zoneflow.plans import retail_tables as retail  # noqa: E402
-from zoneflow.plans.modes import COMBINED, EXTERNAL, INTERNAL, Selection  # noqa: E402
-from zoneflow.sources import readers, store  # noqa: E402
+from zoneflow.plans.modes import COMBINED, EXTERNAL, INTERNAL, SINGLE, Selection  # noqa: E402
+from zoneflow.sources import readers, sinks, store  # noqa: E402
 
 try:
     from zoneflow.llm import registry as llm  # noqa: E402
@@ -252,6 +252,76 @@ def _flow_display_round(flows, zones):
     return flows.select("tag", "origin_id", "dest_id", plain_count(trips).alias("plain"), rounded_count(trips).alias("rounded"))
 
 
+def _flow_arrows(flows, zones):
+    """Arrow points parsed back from their text."""
+    features = flowmap.arrow_features(flowmap.flow_geometry(flows, zones, "g33"))
+    parsed = F.from_json("feature", "geometry struct<type: string, coordinates: array<double>>, properties struct<bearing: double>")
+    at = F.col("f.geometry.coordinates")
+    return features.withColumn("f", parsed).select(
+        "tag", "origin_id", "dest_id", F.col("f.geometry.type").alias("kind"), F.round(at[0], 6).alias("lon"), F.round(at[1], 6).alias("lat"),
+        F.round("f.properties.bearing", 6).alias("bearing"),
+    )
+
+
+def _zone_label_points(flows, zones):
+    features = flowmap.label_points(flowmap.relevant_zones(flows, zones, PICKED, "g33"))
+    parsed = F.from_json("feature", "geometry struct<type: string, coordinates: array<double>>, properties struct<label: string>")
+    at = F.col("f.geometry.coordinates")
+    return features.withColumn("f", parsed).select(
+        "id", F.col("f.geometry.type").alias("kind"), F.col("f.properties.label").alias("label"), F.round(at[0], 6).alias("lon"), F.round(at[1], 6).alias("lat")
+    )
+
+
+def _tabs(mode: int, **params) -> Query:
+    """All slices of the tabs that a selection shows."""
+    selection = Selection(**GROUP, mode=mode, include_self_loops=True, **MORNING, **params)
+    tabs = breakdown.tabs_of(mode, selection.role, selection.direction)
+
+    def derive(flows, zones):
+        return breakdown.slices(flows, zones, tabs, True, "g33").select("tab", "id", "label", "trips", "n_zones")
+
+    return _on_flows(derive, selection)
+
+
+# --- sinks: written, read back -------------------------------------------------------------------------------------
+
+
+def _sink_flows(flows, zones):
+    folder = scratch_path(flows.sparkSession, "flows")
+    sinks.write_flows(flows, folder)
+    return flows.sparkSession.read.schema("tag string, origin_id string, dest_id string, trips double").json(folder)
+
+
+def _sink_flow_export(flows, zones):
+    spark, folder = flows.sparkSession, scratch_path(flows.sparkSession, "flow_export")
+    flagged = flows.withColumn("truncated", F.lit(False))
+    sinks.write_flow_export(export.flow_table(flows, zones, COMBINED_MORNING), export.summary_table(flagged, zones, COMBINED_MORNING), folder)
+    schema = "origin_id string, origin_name string, dest_id string, dest_name string, trips bigint, type string"
+    rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/flows")
+    summary = spark.read.schema("key string, value string").option("header", True).csv(f"{folder}/summary")
+    total = summary.agg(F.count("*").alias("n_summary"))
+    return rows.join(F.broadcast(total))
+
+
+def _sink_breakdown(flows, zones):
+    spark, folder = flows.sparkSession, scratch_path(flows.sparkSession, "breakdown_export")
+    rows = breakdown.slices(flows, zones, breakdown.tabs_of(COMBINED), True, "g33")
+    sinks.write_breakdown_export(breakdown.export_table(rows), folder)
+    read = spark.read.schema("id string, label string, trips bigint, pct double, tab string").option("header", True).csv(folder)
+    return read.select("tab", F.coalesce("id", F.lit("")).alias("id"), "label", "trips", "pct")
+
+
+def _sink_features(zones):
+    spark, folder = zones.base.sparkSession, scratch_path(zones.base.sparkSession, "features")
+    sinks.write_features(_zones_geojson_base(zones), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "feature")
+
+
+def _filter_line(flows, zones):
+    count = flows.agg(F.count("*").alias("n_flows"))
+    return count.select("n_flows", export.filter_line(COMBINED_MORNING).alias("line"), export.filter_line(ALL_DAYS_SELECTION).alias("every"))
+
+
 # --- exports -----------------------------------------------------------------------------------------------------
 
 
@@ -337,6 +407,17 @@ def queries() -> dict[str, Query]:
         "export_summary": _on_flows(_export_summary, SUMMARY_SELECTION, with_flag=True),
         "export_summary_all_days": _on_flows(_export_summary_all_days, ALL_DAYS_SELECTION, with_flag=True),
         "export_breakdown": _on_flows(_export_breakdown),
+        "breakdown_tabs_internal": _tabs(INTERNAL),
+        "breakdown_tabs_external": _tabs(EXTERNAL),
+        "breakdown_tabs_single": _tabs(SINGLE),
+        "breakdown_tabs_destination": _tabs(SINGLE, role="destination"),
+        "flow_arrows": _on_flows(_flow_arrows, model=retail.stored_levels),
+        "zone_label_points": _on_flows(_zone_label_points, Selection(**GROUP, mode=EXTERNAL), model=retail.stored_levels),
+        "sink_flows": _on_flows(_sink_flows),
+        "sink_flow_export": _on_flows(_sink_flow_export),
+        "sink_breakdown": _on_flows(_sink_breakdown),
+        "sink_features": _on_zones(_sink_features),
+        "filter_line": _on_flows(_filter_line),
         "zone_name_list": _on_zones(_zone_name_list),
         "zone_search": _on_zones(lambda zones: export.search_zones(zones, "taz", "00012", ["12"])),
     }

@@ -301,6 +301,30 @@ def oracle_sql() -> dict[str, str]:
         CASE tag WHEN 'outgoing' THEN '{texts.TAG_LABELS["outgoing"]}' WHEN 'incoming' THEN '{texts.TAG_LABELS["incoming"]}'
           ELSE CASE WHEN origin_id = dest_id THEN '{texts.INTRA_ZONE}' ELSE '{texts.INTER_SELECTED}' END END AS type
       FROM m4 LEFT JOIN names o ON o.id = origin_id LEFT JOIN names d ON d.id = dest_id"""
+    q["sink_flows"] = m4_all + "SELECT * FROM m4"
+    q["sink_flow_export"] = q["export_flows"].replace("SELECT origin_id, o.label", "SELECT CAST(10 AS BIGINT) AS n_summary, origin_id, o.label")
+    q["sink_breakdown"] = q["export_breakdown"]
+    q["sink_features"] = base() + "SELECT feature FROM (" + q["zones_geojson_base"].removeprefix(base()) + ")"
+    q["filter_line"] = m4_all + """SELECT COUNT(*) AS n_flows, 'יום חול · ‪7–10‬' AS line, 'כל הימים · סה"כ יומי' AS every FROM m4"""
+    q["flow_arrows"] = base(MODE4, CENTERS33, GEOMETRY) + """
+      SELECT tag, origin_id, dest_id, 'Point' AS kind, ROUND(0.25 * x1 + 0.75 * x2, 6) AS lon, ROUND(0.25 * y1 + 0.75 * y2, 6) AS lat,
+        ROUND(CASE WHEN b < 0 THEN b + 360 ELSE b END, 6) AS bearing
+      FROM (SELECT *, DEGREES(ATAN2(SIN(RADIANS(x2 - x1)) * COS(RADIANS(y2)), COS(RADIANS(y1)) * SIN(RADIANS(y2))
+              - SIN(RADIANS(y1)) * COS(RADIANS(y2)) * COS(RADIANS(x2 - x1)))) AS b FROM geo)"""
+    q["zone_label_points"] = "SELECT id, 'Point' AS kind, label, centroid_lon AS lon, centroid_lat AS lat FROM (" + q["relevant_zones"] + ")"
+    loops = {"outgoing": f"{IN_O} AND {OUT_D}", "incoming": f"{OUT_O} AND {IN_D}", "internal": f"{IN_O} AND {IN_D}"}
+    whole = {"outgoing": IN_O, "incoming": IN_D}
+    for name, tabs in {
+        "internal": {"origin": ("origin_id", loops["internal"]), "dest": ("dest_id", loops["internal"])},
+        "external": {"outgoing": ("dest_id", loops["outgoing"]), "incoming": ("origin_id", loops["incoming"])},
+        "single": {"outgoing": ("dest_id", whole["outgoing"]), "incoming": ("origin_id", whole["incoming"])},
+        "destination": {"incoming": ("origin_id", whole["incoming"])},
+    }.items():
+        rows = " UNION ALL ".join(
+            f"SELECT '{tab}' AS tab, {end} AS id, SUM(trips) AS trips FROM ({flows('g33', 'g33', f'{MORNING} AND {where}')}) GROUP BY ALL"
+            for tab, (end, where) in tabs.items()
+        )
+        q[f"breakdown_tabs_{name}"] = base(NAMES33, f"tab_rows AS ({rows})", SLICES) + "SELECT tab, id, label, trips, n_zones FROM slices"
     q["export_summary"] = summary(20)
     q["export_summary_all_days"] = summary(None, "TRUE", "כל הימים", "0–24")
     q["zone_name_list"] = name_list()

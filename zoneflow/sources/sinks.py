@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zoneflow.operators.export import sorted_flow_table
+
 
 def write_features(features: DataFrame, path: str) -> None:
     """GeoJSON features, one per line."""
@@ -17,8 +19,9 @@ def write_flows(flows: DataFrame, path: str) -> None:
 
 
 def write_flow_export(table: DataFrame, summary: DataFrame, folder: str) -> None:
-    """Labelled flows and their summary as CSV."""
-    table.write.mode("overwrite").option("header", True).csv(f"{folder}/flows")
+    """Labelled flows, in export order, and their summary as CSV."""
+    ordered = sorted_flow_table(table).drop("tag") if "tag" in table.columns else table
+    ordered.write.mode("overwrite").option("header", True).csv(f"{folder}/flows")
     summary.orderBy("ord").select("key", "value").write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
 
 
