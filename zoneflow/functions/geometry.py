@@ -47,11 +47,6 @@ def doubled_area(ring: Column) -> Column:
     )
 
 
-def edges(geometry: Column) -> Column:
-    """All ring sides of a geometry as array<struct<x1, y1, x2, y2>>."""
-    return F.flatten(F.transform(rings(geometry), ring_sides))
-
-
 def _ring_moments(ring: Column, position: Column) -> Column:
     """Area and first moments of one ring, positive for a shell and negative for a hole whatever its winding.
 

@@ -96,10 +96,11 @@ def relevant_zones(
     ends = placed.select(F.explode(F.array(
         F.struct(F.col("origin_level").alias("level"), F.col("origin_id").alias("id")),
         F.struct(F.col("dest_level").alias("level"), F.col("dest_id").alias("id")),
-    )).alias("e")).select("e.*").distinct().withColumn("__end", F.lit(True))
+    )).alias("e")).select("e.*")
     points = zones.points([near, far])
     chosen = (F.col("level") == near) & F.col("id").isin(list(selected_ids))
-    return points.join(ends, ["level", "id"], "left").where(chosen | F.col("__end").isNotNull()).select(
+    wanted = ends.union(points.where(chosen).select("level", "id"))
+    return points.join(wanted, ["level", "id"], "left_semi").select(
         "level", "id", F.coalesce("label", "id").alias("label"), "centroid_lon", "centroid_lat"
     )
 
