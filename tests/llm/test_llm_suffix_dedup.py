@@ -67,7 +67,7 @@ def test_suffix_array_and_common_prefixes():
     for letters in ("ab", "abcdefgh"):
         text = "".join(draw.choices(letters, k=300)) + "ab" * 40
         data = np.frombuffer(text.encode(), np.uint8)
-        order = suffix_dedup.suffix_array(data)
+        order, close = suffix_dedup.suffix_array(data)
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
         starts = np.array([0, 100, 150, 290])
         shared = suffix_dedup.common_prefixes(data, order, starts, np.diff(np.append(starts, len(text))), 20)
@@ -75,6 +75,7 @@ def test_suffix_array_and_common_prefixes():
             a, b = text[order[k] :], text[order[k - 1] :]
             n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert shared[k] == min(n, 20)
+            assert close[order[k]] == (n >= suffix_dedup.CLOSE)
 
 
 def test_awkward_rows(spark):

@@ -28,6 +28,7 @@ REACH = SPAN - GRAM
 #: Stretches of one anchor that go to one shard, and bytes that a shard sorts at once.
 SHARD_ROWS = 20_000
 SHARD_BYTES = 8 << 20
+CLOSE = 32
 PLACE_BITS = np.uint64(28)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -82,23 +83,30 @@ def pairs_named(text: np.ndarray, key: np.ndarray, content: np.ndarray) -> np.nd
     return common.mixed(common.mixed(key.astype(np.uint64) * common.BASE + text) + content.astype(np.uint64) * common.BASE)
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes in order. The rank of a suffix is that of the first of its group of equal beginnings.
+def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and for each suffix whether it shares CLOSE bytes with the one before it.
 
-    Larsson and Sadakane: only groups that are not yet single are sorted again, by the ranks as many bytes further on as are sorted."""
+    Larsson and Sadakane: the rank of a suffix is that of the first of its group of equal beginnings, eight bytes at first. Only groups
+    that are not yet single are sorted again, by the ranks as many bytes further on as are sorted."""
     n = len(data)
-    order = np.argsort(data, kind="stable")
-    heads = np.concatenate([[True], data[order][1:] != data[order][:-1]]) if n else np.zeros(0, bool)
+    word = np.ndarray((n,), ">u8", data.tobytes() + bytes(8), 0, (1,)).astype(np.uint64)
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    heads = np.concatenate([[True], word[1:] != word[:-1]]) if n else np.zeros(0, bool)
     rank = np.zeros(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    width, slots = 1, np.arange(n)
+    width, slots = 8, np.arange(n)
+    close = np.zeros(n, bool)
     while len(slots):
+        if width == CLOSE:
+            close = np.concatenate([[False], rank[order[1:]] == rank[order[:-1]]])
         alone = heads & np.append(heads[1:], True)
         slots, heads = slots[~alone], heads[~alone]
         if not len(slots):
             break
         at = order[slots]
-        after = np.where(at + width < n, rank[np.minimum(at + width, n - 1)] + 1, 0)
+        # of suffixes that end within the sorted bytes the shorter comes first
+        after = np.where(at + width < n, rank[np.minimum(at + width, n - 1)] + width + 1, n - at)
         pair = rank[at] << 32 | after
         by = np.argsort(pair, kind="stable")
         at, pair = at[by], pair[by]
@@ -106,7 +114,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         heads = np.concatenate([[True], pair[1:] != pair[:-1]])
         rank[at] = slots[np.maximum.accumulate(np.where(heads, np.arange(len(heads)), 0))]
         width *= 2
-    return order
+    found = np.zeros(n, bool)
+    found[order] = close
+    return order, found
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
@@ -132,8 +142,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, siz
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
     """For each byte of pieces: whether the SPAN bytes from it on stand in a piece with a smaller rank_of."""
-    order = suffix_array(data)
-    shared = common_prefixes(data, order, starts, sizes, SPAN)
+    order, close = suffix_array(data)
+    # windows are longer than CLOSE, so only runs of such places need exact prefixes
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], close.view(np.int8), [0]])))
+    shared = common_prefixes(data, order, edges[::2], edges[1::2] - edges[::2], SPAN)
     piece = np.repeat(np.arange(len(starts)), sizes)
     whole = (np.arange(len(data)) - starts[piece] <= sizes[piece] - SPAN)[order]
     group = np.cumsum(shared < SPAN)
@@ -303,7 +315,7 @@ def removed(docs: DataFrame, flags: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
-    found = common.checkpointed(judged(anchors(keyed)))
+    found = common.stored(judged(anchors(keyed)), "stretches")
     dealt = keyed.repartition("doc")
     stretches = contents(dealt, found.where("not held").select("doc", "key", "content", "n"))
     partly = sharded(stretches).union(merged(stretches)).where("mask <> 0")
