@@ -12,7 +12,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Ties every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Root of every node (`node`, `root`) of the edges' first two columns, the smallest node of its component being the root."""
     a, b = edges.columns[:2]
     edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    edges, before = common.checkpointed(edges), None
+    edges, before = common.compact(edges), None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
-        before, edges = now, common.checkpointed(small_star(large_star(edges)))
+        before, edges = now, common.compact(small_star(common.compact(large_star(edges))))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

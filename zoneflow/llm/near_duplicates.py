@@ -1,9 +1,10 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, components by large-star and small-star.
 
 Documents with equal shingle sets are one class, and only classes are compared. In a first round each class of a band's bucket is
-paired with the bucket's first one. Pairs whose signatures agree are confirmed on their full sets, and components are formed.
-Buckets that still hold several components are then compared in blocks, whatever lies outside of their main component against all,
-so that no link between components is lost and no group is expanded into all its pairs.
+paired with the bucket's most central one. Pairs whose signatures agree are confirmed on their full sets, and components are formed.
+In buckets that still hold several components, whatever lies outside of the main one is then compared in blocks, with each
+other and with the whole main component, of which one link is enough. No link between components is lost, and no group is
+expanded into all its pairs.
 
 A pair at the least similarity of 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 
@@ -31,7 +32,7 @@ PERCENT = 80
 #: Least share of equal minima of a pair that goes on to the full sets: 4.5 deviations below 0.8.
 SIGNATURE = 0.64
 #: Classes of a block in the second round.
-BLOCK = 256
+BLOCK = 64
 SEED = 11
 
 
@@ -113,7 +114,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """key and node of every class in each of its bands."""
+    """key, band and node of every class in each of its bands."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +123,19 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
             for i in range(ROWS):
                 keys = common.mixed(keys * common.BASE + minima[:, :, i])
             nodes = np.repeat(batch["node"].to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], ["key", "node"])
+            bands = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(bands), pa.array(nodes)], ["key", "band", "node"])
 
-    return classes.select("node", "signature").mapInArrow(deal, "key bigint, node bigint")
+    return classes.select("node", "signature").mapInArrow(deal, "key bigint, band int, node bigint")
+
+
+def stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every class with the most central one, b, of each of its buckets.
+
+    Central is what meets the most others in all its bands: of an original and its copies, each changed elsewhere, the original."""
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    centre = buckets.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
+    return buckets.join(centre, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -139,9 +150,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     signed = pairs.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("sign_a")), "a").join(
         sign.select(F.col("node").alias("b"), F.col("signature").alias("sign_b")), "b"
     )
-    near = common.checkpointed(signed.select("a", "b", "sign_a", "sign_b").mapInArrow(agree, "a bigint, b bigint"))
+    near = common.compact(signed.select("a", "b", "sign_a", "sign_b").mapInArrow(agree, "a bigint, b bigint"))
     nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = full_sets(docs, common.checkpointed(classes.select("node", "doc_id", "name").join(nodes, "node", "left_semi")), shingle)
+    sets = full_sets(docs, common.compact(classes.select("node", "doc_id", "name").join(nodes, "node", "left_semi")), shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,41 +163,84 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    # a bucket's first class stands in many pairs: its set travels to the other one, which stands in few
+    # a bucket's central class stands in many pairs: its set travels to the other one, which stands in few
     with_b = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("set_b")), "b")
     with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("items").alias("set_a")), "a")
-    return common.checkpointed(with_both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint"))
+    return common.compact(with_both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint"))
 
 
-def cross_pairs(buckets: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with agreeing signatures between the components that share a bucket."""
-    placed = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+def mixed_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the largest of them there (`main`)."""
+    placed = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = common.checkpointed(placed.join(spread.select("key"), "key"))
-    sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).select("key", F.col("m.root").alias("main"), F.col("m.n").alias("n_main"), "all")
-    sided = mixed.join(main, "key").withColumn("outside", F.col("root") != F.col("main"))
-    count = F.ceil(F.when(F.col("outside"), F.col("all") - F.col("n_main")).otherwise(F.col("n_main")) / BLOCK)
-    block = sided.withColumn("block", F.pmod(F.xxhash64("node"), count)).join(classes.select("node", "signature"), "node")
-    blocks = block.groupBy("key", "outside", "block").agg(F.collect_list(F.struct("node", "root", "signature")).alias("rows"))
-    outer = blocks.where("outside").select("key", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
-    every = blocks.select("key", F.col("outside").alias("also"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
-    met = outer.join(every, "key").where("not also or block_a <= block_b")
+    mixed = placed.join(spread.select("key"), "key")
+    main = mixed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"))
+    return common.compact(mixed.join(main.select("key", F.col("m.root").alias("main")), "key"))
+
+
+def blocked(rows: DataFrame, keys: list[str], more: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The rows of each key, with the columns that `more` has for their nodes, in lists of about BLOCK."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(sizes, keys).withColumn(f"{name}_block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+    return dealt.join(more, "node").groupBy(*keys, f"{name}_block").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def outside_pairs(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs with agreeing signatures of classes outside of the main component of a bucket, each from the first band that it shares."""
+    outside = mixed.where("root <> main").select("key", "band", "node", "root")
+    left = blocked(outside, ["key", "band"], classes.select("node", "signature"), ["node", "root", "signature"], "x")
+    right = left.select("key", F.col("x_block").alias("y_block"), F.col("x").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch["rows_a"].to_pylist(), batch["rows_b"].to_pylist(), strict=True):
+            for band, x, y in zip(batch["band"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 p, q = (np.frombuffer(b"".join(r["signature"] for r in v), np.uint32).reshape(-1, HASHES) for v in (x, y))
                 u, v = (np.array([r["root"] for r in w]) for w in (x, y))
                 left, right = [], []
                 for i in range(len(p)):
                     js = np.flatnonzero(u[i] != v)
-                    js = js[(q[js] == p[i]).mean(axis=1) >= SIGNATURE]
+                    same = q[js] == p[i]
+                    first = same[:, : band * ROWS].reshape(len(js), band, ROWS).all(axis=2).sum(axis=1) == 0
+                    js = js[first & (same.mean(axis=1) >= SIGNATURE)]
                     left += [x[i]["node"]] * len(js)
                     right += [y[j]["node"] for j in js.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right).astype(np.int64)), pa.array(np.maximum(left, right).astype(np.int64))], ["b", "a"])
 
-    return met.select("rows_a", "rows_b").mapInArrow(compare, "b bigint, a bigint").distinct().select("a", "b")
+    met = left.join(right, "key").where("x_block <= y_block")
+    return met.select("band", "x", "y").mapInArrow(compare, "b bigint, a bigint").distinct().select("a", "b")
+
+
+def main_links(mixed: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """A link, if there is one, of each class outside to each block of the main component of a bucket, found on full sets."""
+    asked = common.compact(mixed.where("root <> main").select("node", F.col("main").alias("to")).distinct())
+    members = classes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("to")).join(asked.select("to").distinct(), "to")
+    members = common.compact(members.select("node", "to"))
+    nodes = members.select("node").union(asked.select("node")).distinct()
+    known = common.compact(classes.join(nodes, "node", "left_semi"))
+    rows = full_sets(docs, known.select("node", "doc_id", "name"), shingle).join(known.select("node", "signature"), "node")
+    columns = ["node", "signature", "items"]
+    left = blocked(asked, ["to"], rows, columns, "x")
+    right = blocked(members, ["to"], rows, columns, "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = x.as_py(), y.as_py()
+                p, q = (np.frombuffer(b"".join(r["signature"] for r in v), np.uint32).reshape(-1, HASHES) for v in (x, y))
+                items = np.frombuffer(b"".join(r["items"] for r in y), np.uint64)
+                sizes = np.array([len(r["items"]) // 8 for r in y])
+                found = []
+                for i, r in enumerate(x):
+                    if (q == p[i]).mean(axis=1).max() < SIGNATURE:
+                        continue
+                    own = np.frombuffer(r["items"], np.uint64)
+                    hits = own[np.searchsorted(own, items).clip(0, len(own) - 1)] == items
+                    both = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+                    linked = np.flatnonzero(100 * both >= percent * (len(own) + sizes - both))
+                    found += [(r["node"], y[j]["node"]) for j in linked[:1].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return left.join(right, "to").select("x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int, percent: int = PERCENT) -> DataFrame:
@@ -195,13 +249,13 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int = PERCENT) -> Da
     classes = rows.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     classes = common.checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     dealt = bucket_rows(classes)
-    first = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    buckets = common.checkpointed(dealt.join(first, "key"))
-    stars = buckets.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    links = confirmed(stars, classes, docs, shingle, percent)
-    roots = common.checkpointed(connected_components(links))
-    more = confirmed(cross_pairs(buckets, roots, classes), classes, docs, shingle, percent)
-    roots = connected_components(links.union(more))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = common.compact(dealt.join(shared, "key"))
+    links = confirmed(stars(buckets), classes, docs, shingle, percent)
+    roots = connected_components(links)
+    mixed = mixed_buckets(buckets, roots)
+    more = confirmed(outside_pairs(mixed, classes), classes, docs, shingle, percent)
+    roots = connected_components(links.union(more).union(main_links(mixed, roots, classes, docs, shingle, percent)))
     rooted = classes.select("name", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "root").select("name", "component_id")
