@@ -21,7 +21,7 @@ from zoneflow.llm import common
 
 #: Bounds of the training sample: rows of each label and code points of each.
 SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 3000
+SAMPLE_CHARS = 2000
 WINDOW, STRIDE = 64, 48
 WORD_SLOTS, PIECE_BITS = 1 << 18, 17
 WORD_DIM, PIECE_DIM, HIDDEN = 6, 4, 8
@@ -54,7 +54,7 @@ class Words:
         self.firsts = np.append(first[starts], len(self.pieces))
         powers = np.cumprod(np.full(int(np.diff(self.firsts).max(initial=0)), BASE, np.uint64))
         place = np.arange(len(self.pieces)) - np.repeat(self.firsts[:-1], np.diff(self.firsts))
-        sums = np.concatenate([[0], np.cumsum((low[inside].astype(np.uint64) + np.uint64(1)) * powers[place])]).astype(np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low[inside].astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)])
         self.hashes = sums[self.firsts[1:]] - sums[self.firsts[:-1]]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,9 +240,15 @@ class Network:
 
     def scores(self, words: Words, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Logit of every window, some thousand at a time."""
-        gates, found = self.inputs(words), np.zeros(len(row), np.float32)
+        found = np.zeros(len(row), np.float32)
+        ids = self.ids(words)
+        by_word = self.p["word"] @ self.p["input"][:WORD_DIM] + self.p["bias"]
         for i in range(0, len(row), 2048):
-            found[i : i + 2048] = self.forward(gates, start[i : i + 2048], length[i : i + 2048])
+            s, n = start[i : i + 2048], length[i : i + 2048]
+            at = np.cumsum(n) - n
+            used = np.repeat(s - at, n) + np.arange(at[-1] + n[-1])
+            gates = by_word[ids[used]] + self.char_rows(words, used)[0] @ self.p["input"][WORD_DIM:]
+            found[i : i + 2048] = self.forward(gates, at, n)
         return found
 
     def calibrate(self, logits: np.ndarray, labels: np.ndarray, share: float) -> None:
