@@ -1,3 +1,5 @@
+import textwrap
+
 from zoneflow.llm import license_scan
 
 from . import cases
@@ -32,3 +34,23 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = license_scan.op3_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_usual_licence_texts(spark):
+    texts = {(license, kind): text for license, kind, text in license_scan.TEXTS}
+    wrap = lambda text, mark="": "\n".join(mark + line for line in textwrap.wrap(text, 72))
+    code = "\n".join(f"def f{i}(x{i}): return x{i} + y{i}  # part {i}" for i in range(60))
+    mit = "MIT License\n\nCopyright (c) 2019 Some Body\n\n" + wrap(texts["MIT", "body"].split("(c) ")[1])
+    bsd = "Copyright (c) 2011, Some Body\nAll rights reserved.\n\n" + wrap(texts["BSD-3-Clause", "body"])
+    gpl = "Copyright (C) 2020 Some Body\n\n" + wrap(license_scan.TEXTS[[t[:2] for t in license_scan.TEXTS].index(("GPL-3.0", "notice"))][2])
+    long = wrap(texts["Apache-2.0", "opening"]) + "\n\n1. Definitions.\n" + code
+    body = "\n".join(f"line {i} of code" for i in range(40))
+    found = scanned(spark, [
+        (1, "m/LICENSE", mit), (2, "m/x.py", code), (3, "b/LICENSE", bsd), (4, "b/x.py", code), (5, "a/LICENSE", long), (6, "a/x.py", code),
+        (7, "g/x.c", wrap(gpl, " * ") + "\n" + body + code), (8, "g/y.c", code), (9, "t/x.py", "# MIT License\n" + code), (10, "r/x.py", wrap(texts["BSD-3-Clause", "notice"], "# ") + "\n" + code),
+    ])
+    assert found["m/LICENSE"][:2] == ("MIT", "file") and found["m/x.py"][:2] == ("MIT", "inherited")
+    assert found["b/LICENSE"][:2] == ("BSD-3-Clause", "file") and found["b/x.py"][:2] == ("BSD-3-Clause", "inherited")
+    assert found["a/LICENSE"][:2] == ("Apache-2.0", "file") and found["a/x.py"][:2] == ("Apache-2.0", "inherited")
+    assert found["g/x.c"][:2] == ("GPL-3.0", "header") and found["g/y.c"][0] is None
+    assert found["t/x.py"][:2] == ("MIT", "header") and found["r/x.py"][:2] == ("BSD-3-Clause", "header")

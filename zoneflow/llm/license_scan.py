@@ -4,6 +4,11 @@ Every line of a file, and every file as a whole, that has a word of licensing is
 templates have them. A line near a template is a header and licenses its file. A file that is near one as a whole is a licence
 file and licenses its directory: files below without a license of their own take that of the nearest directory above.
 
+Usual licence texts (`license_texts`) are met beside these one-line templates: each run of some consecutive lines and each whole file
+is the set of its words, and the cosine of the sets is weighted likewise. A run near a notice or body is a header; a
+file near one as a whole, or whose first lines are near the opening of a long license, is a licence file. What is near more than
+a title counts before single lines.
+
 Results: null and empty texts have no license of their own but may inherit one. Ties go to the higher score, then the template that
 is first by name, then the smaller path. Files that share id and path are read as one. A null path
 inherits nothing. Empty tables give empty results. Extra columns are kept out.
@@ -11,10 +16,15 @@ inherits nothing. Empty tables give empty results. Extra columns are kept out.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zoneflow.llm import common
+from zoneflow.llm.license_texts import TEXTS
 
 #: License names and the phrases that name them.
 TEMPLATES = (
@@ -37,6 +47,10 @@ CUE = "(?i)licen[sc]e|copyright|rights reserved|creative commons"
 #: Least cosine of a header line and of a licence file.
 NEAR, NEAR_FILE = 0.7, 0.5
 WORDS = "[a-z0-9]+"
+#: One of these stands in the first two lines of every run compared with the licence texts, and in every such file.
+TEXT_CUE = CUE + "|redistribut|permission|free software|source code form|attribution|hereby granted"
+#: Lines of a run, without those that have no word; least cosine of a file with a licence text; lines above the opening of a license.
+RUNS, NEAR_TEXT, ABOVE = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 24, 28), 0.8, 5
 
 
 def words_of(text: Column) -> Column:
@@ -66,6 +80,44 @@ def nearest_template(units: DataFrame, spark: SparkSession) -> DataFrame:
     return best.select("unit", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
+def text_weights() -> tuple[dict[str, float], list[tuple[str, int, str, str, float]], float]:
+    """Weight of each word of the licence texts, the normed entries of their word sets, and the weight of any other word."""
+    sets = [set(re.findall(WORDS, text.lower())) for _, _, text in TEXTS]
+    idf = {w: math.log((1 + len(sets)) / (1 + n)) + 1 for w, n in sorted(Counter(w for s in sets for w in s).items())}
+    norms = [math.sqrt(sum(idf[w] ** 2 for w in sorted(s))) for s in sets]
+    entries = [(w, i, TEXTS[i][0], TEXTS[i][1], idf[w] / norms[i]) for i, s in enumerate(sets) for w in sorted(s)]
+    return idf, entries, math.log(1 + len(sets)) + 1
+
+
+def near_texts(files: DataFrame) -> DataFrame:
+    """Runs of lines and whole files (line -1) that are near a licence text: file_id, path, line, license, score, whole, strong."""
+    spark = files.sparkSession
+    idf, entries, unseen = text_weights()
+    cued = files.select("file_id", "path", "text").where(F.col("text").rlike(TEXT_CUE))
+    cued = cued.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[A-Za-z0-9]")))
+    cued = cued.withColumn("cues", F.transform("lines", lambda x: x.rlike(TEXT_CUE))).withColumn("sets", F.transform("lines", lambda x: F.array_distinct(words_of(x))))
+    at = lambda i: F.coalesce(F.get("cues", i), F.lit(False))
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: at(i) | at(i + 1))
+    begun = cued.where(F.size("lines") > 0).select("file_id", "path", "sets", F.explode(starts).alias("line"))
+    runs = begun.select("file_id", "path", "line", "sets", F.explode(F.array(*map(F.lit, RUNS))).alias("n")).where(F.col("line") + F.col("n") <= F.size("sets"))
+    runs = runs.select("file_id", "path", "line", "n", F.array_distinct(F.flatten(F.slice("sets", F.col("line") + 1, F.col("n")))).alias("words"))
+    units = runs.union(cued.select("file_id", "path", F.lit(-1), F.lit(0), F.array_distinct(words_of(F.col("text")))))
+    known = F.array_intersect("words", F.array(*map(F.lit, idf)))
+    units = units.withColumn("known", known).withColumn("others", F.size("words") - F.size("known"))
+    # no word weighs more than an unknown one, so others than these cannot be near
+    least = F.when(F.col("line") < 0, NEAR_TEXT**2).otherwise(NEAR**2)
+    units = units.where(F.size("known") >= least * F.size("words") - 1e-6)
+    terms = units.select(F.struct("file_id", "path", "line", "n").alias("unit"), "others", F.explode("known").alias("word")).distinct()
+    weights = spark.createDataFrame([*((w, -1, None, None, x) for w, x in idf.items()), *entries], "word string, template int, license string, kind string, t double")
+    weights = weights.join(spark.createDataFrame(list(idf.items()), "word string, idf double"), "word")
+    sums = terms.join(F.broadcast(weights), "word").groupBy("unit", "template", "license", "kind").agg(F.sum(F.col("idf") * F.col("t")).alias("dot"), F.max("others").alias("others"))
+    norms = sums.where("template = -1").select("unit", F.sqrt(F.col("dot") + F.col("others") * unseen**2).alias("norm"))
+    scored = sums.where("template >= 0").join(norms, "unit").select("unit.*", "license", "kind", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    scored = scored.where(F.col("score") >= F.when(F.col("line") < 0, NEAR_TEXT).otherwise(NEAR))
+    whole = (F.col("line") < 0) | (F.col("kind") == "opening") & (F.col("line") <= ABOVE)
+    return scored.select("file_id", "path", "line", "license", "score", whole.cast("int").alias("whole"), (F.col("kind") != "title").cast("int").alias("strong"))
+
+
 def scan(files: DataFrame) -> DataFrame:
     """license, score, origin (`header`, `file`, `inherited` or null) and from_path of every row (`file_id`, `path`, `text`)."""
     spark = files.sparkSession
@@ -74,8 +126,9 @@ def scan(files: DataFrame) -> DataFrame:
     units = lines.union(cued.select("file_id", "path", F.lit(-1), "text")).select(F.struct("file_id", "path", "line").alias("unit"), "body").distinct()
     near = nearest_template(units, spark).select("unit.*", "license", "score")
     near = near.where(F.col("score") >= F.when(F.col("line") < 0, NEAR_FILE).otherwise(NEAR))
-    rank = F.struct((-F.col("score")).alias("s"), "license", "line")
-    own = common.checkpointed(near.groupBy("file_id", "path").agg(F.min(rank).alias("b"), F.max((F.col("line") < 0).cast("int")).alias("whole")))
+    near = near.select("file_id", "path", "line", "license", "score", (F.col("line") < 0).cast("int").alias("whole"), F.lit(0).alias("strong")).union(near_texts(files))
+    rank = F.struct((-F.col("strong")).alias("weak"), (-F.col("score")).alias("s"), "license", "line")
+    own = common.checkpointed(near.groupBy("file_id", "path").agg(F.min(rank).alias("b"), F.max("whole").alias("whole")))
     own = own.select("file_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "whole")
 
     parent = lambda path: F.regexp_extract(path, "^(.*)/[^/]*$", 1)
