@@ -50,6 +50,21 @@ def test_patterns_discover_identifiers(spark):
     assert masked[30] == "odd one, member contact: [ID] and more" and masked[31] == "see [ID] elsewhere" and masked[32] == texts[32]
 
 
+def test_unknown_numbers_do_not_count_against_their_pattern(spark):
+    texts = [f"reach us by phone: +1 (555) 200-{1000 + i} today" for i in range(70)]
+    texts += [f"reach us by phone: ({200 + i}) 123-{4000 + i} today" for i in range(100)]
+    texts += [f"of the +44 20 7946 {1000 + i} lines" for i in range(6)] + [f"of the {20000 + i} units" for i in range(60)] + [f"the total was {30000 + i} units" for i in range(60)]
+    docs = cases.documents(spark, texts)
+    assert {r.instance for r in pii.discover(common.checkpointed(pii.scan(docs))).collect()} == {f"({200 + i}) 123-{4000 + i}" for i in range(100)}
+    masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert masked[75] == "reach us by phone: [ID] today" and masked[180] == texts[180]
+
+
+def test_groups_take_no_retries():
+    for text in ("1 " * 100_000, "1-" * 100_000 + "x", "(1" * 100_000, "1.1" * 100_000, "ab1" * 100_000):
+        pii.candidates(text, [])
+
+
 def test_query_columns(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in common.table(spark, sf_dir, "documents").collect()}
     for r in pii.op7_pii(spark, sf_dir).collect():

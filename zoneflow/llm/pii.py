@@ -1,8 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
 Four kinds of identifiers have a fixed form: email, ip, card and phone. They are the seeds. What stands before a seed, two words or
-a label such as `phone:`, is a pattern. Spark scores the graph of patterns and identifier-like words: a pattern by the share of
-sure identifiers among what follows it, a word by the patterns that it follows. In each round sure words support further patterns.
+a label such as `phone:`, is a pattern. Spark scores the graph of patterns and identifier-like words, or numbers of several
+groups: a pattern by the sure identifiers after it against contrary words, a word by the patterns that it follows. A word is contrary
+if it also stands after frequent patterns without any seed, or in part if words of its shape do; unknown words count neither way. In each
+round sure words support further patterns.
 Words that end above the threshold are added as kind `id`, wherever they stand.
 
 Results: null counts as an empty text and has no spans. Rows that share an id keep their own results; repeated rows count once as
@@ -32,6 +34,8 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"\S*[0-9]\S*")
+#: A number in groups, joined by spaces, dots, dashes, slashes and brackets.
+GROUPS = re.compile(r"(?<![^\s\"'<,;:=#])[(\[]?[A-Za-z]{0,3}[0-9]++[)\]]?(?:[\x20./-]{0,3}[(\[]?(?<![0-9])[0-9]++[)\]]?){1,7}(?![^\s.,;:!?\"')\]}>])")
 BEFORE = re.compile(r"(?:(\S+)\s+)?(\S+)\s*\Z")
 LABEL = re.compile(r"\W*(\w+\s?[:=#])\W*")
 
@@ -85,9 +89,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Seeds and other words of four digits or more, with the patterns before them."""
     found = [(s, e, text[s:e], pattern_before(text, s), 1) for s, _, e in base]
     ends, i = sorted((e, s) for s, _, e in base), 0
+    words = []
     for m in WORD.finditer(text):
         word = m[0].strip(".,;:!?\"'()[]{}<>")
-        at = m.start() + m[0].find(word)
+        words.append((m.start() + m[0].find(word), word))
+    single = set(words)
+    words += [x for m in GROUPS.finditer(text) if re.search(r"\s", m[0]) or m[0][0] in "([" if (x := (m.start(), m[0])) not in single]
+    for at, word in sorted(words):
         while i < len(ends) and ends[i][0] <= at:
             i += 1
         if sum("0" <= c <= "9" for c in word) < 4 or i < len(ends) and min(s for _, s in ends[i : i + 8]) < at + len(word):
@@ -133,12 +141,17 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, sure: float = SURE, suppo
     """Identifiers without fixed form (`instance`), from the scored graph of patterns and words."""
     words = scanned.select(F.explode("words").alias("w")).select("w.*").where("pattern is not null")
     edges = words.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    shape = F.regexp_replace(F.regexp_replace("instance", "[A-Za-z]+", "a"), "[0-9]+", "9")
     often = edges.groupBy("pattern").agg(F.count("*").alias("total"), F.sum("seed").alias("seeds")).where(F.col("total") >= support)
-    edges = common.checkpointed(edges.join(often, "pattern"))
+    edges = common.checkpointed(edges.join(often, "pattern").withColumn("idle", (F.col("seeds") == 0).cast("double")).withColumn("shape", F.xxhash64(shape)))
+    shapes = common.small(edges.groupBy("shape").agg(F.count("*").alias("n"), F.avg("idle").alias("like")).where((F.col("n") >= support) & (F.col("like") > 0)).drop("n"))
+    alone = edges.groupBy("instance").agg(F.max("idle").alias("also"))
+    contrary = F.greatest("also", F.coalesce("like", F.lit(0.0)))
+    edges = common.checkpointed(edges.join(alone, "instance").join(shapes, "shape", "left").select("pattern", "instance", "seed", contrary.alias("contrary")))
     confidence = edges.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
     for _ in range(rounds):
-        scored = edges.join(confidence, "instance").groupBy("pattern").agg(F.sum("score").alias("for"), F.max("total").alias("total"))
-        strong = scored.where(F.col("for") >= support).select("pattern", (F.col("for") / (F.col("total") + 1)).alias("weight")).where(F.col("weight") >= sure)
+        scored = edges.join(confidence, "instance").groupBy("pattern").agg(F.sum("score").alias("for"), F.sum(F.col("contrary") * (1 - F.col("score"))).alias("against"))
+        strong = scored.where(F.col("for") >= support).select("pattern", (F.col("for") / (F.col("for") + F.col("against") + 1)).alias("weight")).where(F.col("weight") >= sure)
         doubt = F.sum(F.log1p(-F.coalesce("weight", F.lit(0.0))))
         confidence = edges.join(strong, "pattern", "left").groupBy("instance").agg(F.when(F.max("seed") == 1, 1.0).otherwise(1 - F.exp(doubt)).alias("score"))
     seeds = edges.where("seed = 1").select("instance").distinct()
