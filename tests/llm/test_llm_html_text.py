@@ -13,6 +13,14 @@ def test_blocks_of_broken_markup():
     assert [b[0] for b in html_text.page_blocks(page)] == ["one two three", "four & five", "six", "seven", "tail end"]
 
 
+def test_unclosed_silent_elements_and_formulas():
+    blocks = lambda page: [b[0] for b in html_text.page_blocks(page)]
+    assert blocks("<p>one<svg/> two</p><p>three") == ["one two", "three"]
+    assert blocks("<p>one</p><button>a<p>two</p><p>three") == ["one", "a", "two", "three"]
+    assert blocks("<p>one</p><button>a<p>two</p><button>b</button><p>three") == ["one", "a", "two", "three"]
+    assert blocks("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold<script>no") == ["let x=2 hold"]
+
+
 def test_roles():
     page = "<nav>a</nav><article><p>b</p><div class='comments'><p>c</p></div><aside>d</aside></article><div id=footer>e</div><div class=post-body>f</div>"
     assert {b[0]: b[3] for b in html_text.page_blocks(page)} == {"a": 0, "b": 1, "c": 0, "d": 0, "e": 0, "f": 1}

@@ -31,10 +31,12 @@ PATH_DIM, WORD_DIM, PLAIN, HIDDEN = 8, 8, 4, 12
 STEPS, BATCH, RATE, HIDE, SEED = 150, 16, 0.01, 0.3, 3
 INPUT = PATH_DIM + WORD_DIM + PLAIN
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mstyle mpadded mphantom merror menclose mtable mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template svg iframe object select textarea button math canvas audio video".split())
+SILENT = frozenset("script style noscript template svg iframe object select textarea button canvas audio video annotation annotation-xml".split())
+#: Of these, what has no end reaches to the end of the page; the opening of others counts for nothing then.
+RAW = frozenset("script style textarea".split())
 #: What names a role, as tags and as parts of class and id.
 AWAY_TAGS = frozenset("head title nav header footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -68,6 +70,7 @@ def page_blocks(page: str) -> list[tuple[str, float, tuple[str, ...], int | None
     """Text, share of linked text, tag path and role of each block with text."""
     stack: list[tuple[str, tuple[str, ...], int | None]] = [("", (), None)]
     blocks, links, at = [Block((), None)], 0, 0
+    unclosed: set[str] = set()
 
     def fresh() -> None:
         blocks.append(Block(stack[-1][1], stack[-1][2]))
@@ -97,8 +100,15 @@ def page_blocks(page: str) -> list[tuple[str, float, tuple[str, ...], int | None
                 fresh()
             continue
         if tag in SILENT:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag == "svg" and m[3].endswith("/") or tag in unclosed:
+                continue
+            # a second button closes the first
+            again = "/?" if tag in ("button", "select") else "/"
+            end = re.compile(rf"<{again}{re.escape(tag)}(?![\w-])[^>]*>?", re.I).search(page, at)
+            if end is None and tag not in RAW:
+                unclosed.add(tag)
+            elif end is None or end[0][1] == "/":
+                at = end.end() if end else len(page)
             continue
         if tag == "br":
             say(" ")
