@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from zoneflow.llm import decontamination, fingerprint, html_text, language_id, license_scan, mixing, near_duplicates, pii, suffix_dedup, toxicity
+from zoneflow.llm import decontamination, fingerprint, html_text, language_id, license_scan, mixing, near_duplicates, pii, resampling, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_near_duplicates": near_duplicates.op10_near_duplicates,
+        "op11_resampling": resampling.op11_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_scan.ORACLE_SQL,
         "op5_mixing": mixing.ORACLE_SQL,
         "op6_decontamination": decontamination.ORACLE_SQL,
+        "op11_resampling": resampling.ORACLE_SQL,
     }
