@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from zoneflow.llm import decontamination, fingerprint, html_text, language_id, license_scan, mixing, near_duplicates, pii, ranked_search, resampling, suffix_dedup, toxicity
+from zoneflow.llm import decontamination, fingerprint, html_text, jaccard_join, language_id, license_scan, mixing, near_duplicates, pii, ranked_search, resampling, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_near_duplicates": near_duplicates.op10_near_duplicates,
         "op11_resampling": resampling.op11_resampling,
+        "op12_jaccard_join": jaccard_join.op12_jaccard_join,
         "op13_ranked_search": ranked_search.op13_ranked_search,
         "pipeline": corpus_pipeline.run,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE_SQL,
         "op6_decontamination": decontamination.ORACLE_SQL,
         "op11_resampling": resampling.ORACLE_SQL,
+        "op12_jaccard_join": jaccard_join.op12_jaccard_join,
         "op13_ranked_search": ranked_search.ORACLE_SQL,
     }
