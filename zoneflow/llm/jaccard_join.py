@@ -38,7 +38,7 @@ from zoneflow.llm.near_duplicates import full_sets, set_names, shingle_sets
 #: Links have PERCENT of their union in common, or more; words of a shingle.
 PERCENT, SHINGLE = 80, 5
 #: Slots of the table of shingle counts; shingles that a task counts at once.
-SLOT_BITS, COUNTED = 24, 1 << 22
+SLOT_BITS, COUNTED = 23, 1 << 22
 #: Rounds of pivots; pivots of a region; documents up to which one pivot a round will do.
 ROUNDS, PIVOTS, FEW = 3, 4, 64
 #: Documents of a block of the last step, and of a part of a pivot's documents.
@@ -121,6 +121,7 @@ def first_regions(classes: DataFrame, percent: int) -> DataFrame:
     size = F.floor(F.log("n") / F.log(F.lit(1.0001 * 100 / percent)))
     kept = entries.join(met.select("key"), "key").withColumn("own", size)
     dealt = kept.withColumn("window", F.explode(F.array("own", F.col("own") + 1))).withColumn("region", F.xxhash64("key", "window"))
+    dealt = common.stored(dealt.drop("key"), "windows")
     wide = dealt.groupBy("region").agg(F.count("*").alias("rows"), F.max(F.col("own") == F.col("window")).alias("full"), F.max("index").alias("any"))
     return dealt.join(wide.where("rows > 1 and full and any").select("region"), "region").select("region", "node", "n", "index")
 
@@ -133,7 +134,7 @@ def rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "r
 
 def alive(regions: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of regions that hold several components and an index document, with the size of the region."""
-    placed = rooted(regions, roots)
+    placed = common.stored(rooted(regions, roots), "placed")
     spread = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("index").alias("any"), F.count("*").alias("size"))
     return placed.join(spread.where("low < high and any").select("region", "size"), "region")
 
@@ -180,16 +181,17 @@ def voronoi(met: DataFrame, chosen: DataFrame, found: DataFrame, roots: DataFram
     own = met.join(found.select("node", "pivot", "d"), ["node", "pivot"])
     own = own.groupBy("region", "node", "n", "index").agg(F.collect_list(F.struct("d", "pivot")).alias("ds"))  # PIVOTS at most
     own = own.join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti").withColumn("home", F.array_min("ds"))
+    own = common.stored(own, "own")  # as several steps use it
     radius = own.groupBy("region", F.col("home.pivot").alias("pivot")).agg(F.max("home.d").alias("radius"))
     seen = own.select("region", "node", "n", "index", F.col("home.d").alias("home_d"), F.explode("ds").alias("e"))
     seen = seen.select("region", "node", "n", "index", "home_d", F.col("e.pivot").alias("pivot"), F.col("e.d").alias("d"))
     near = seen.join(radius, ["region", "pivot"]).where(
         (F.col("d") <= F.col("radius") + eps + SLACK) & (F.col("d") <= F.col("home_d") + 2 * eps + SLACK)
     )
-    placed = rooted(rooted(near, roots), roots, "pivot", "pivot_root")
+    placed = common.stored(rooted(rooted(near, roots), roots, "pivot", "pivot_root"), "near")
     other = F.col("root") != F.col("pivot_root")
     edge = placed.groupBy("region", "pivot").agg(F.min(F.when(other, F.col("d"))).alias("edge"))
-    open_ = placed.join(edge, ["region", "pivot"]).where(other | (F.col("d") + eps + SLACK >= F.col("edge")))
+    open_ = common.stored(placed.join(edge, ["region", "pivot"]).where(other | (F.col("d") + eps + SLACK >= F.col("edge"))), "open")
     sizes = own.groupBy("region").agg(F.count("*").alias("size"))
     grown = open_.groupBy("region").agg(F.count("*").alias("total")).join(sizes, "region").where("total > size").select("region")
     split = open_.join(grown, "region", "left_anti").select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "index")
