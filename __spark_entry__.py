@@ -208,12 +208,13 @@ def _zones_geojson_base(zones):
 
 
 def _zones_reproject(zones):
-    """Zone corners projected to web Mercator metres and back."""
+    """All corners of the zones, projected to web Mercator metres and back."""
     metres = zones.base.select("taz", F.transform("geometry", lambda polygon: F.transform(
         polygon, lambda ring: F.transform(ring, lambda p: F.array(*geo.to_web_mercator(p[0], p[1])))
     )).alias("geometry"))
-    corner = geo.to_degrees(F.col("geometry"), 3857)[0][0][0]
-    return metres.select("taz", F.round(corner[0], 6).alias("lon"), F.round(corner[1], 6).alias("lat"))
+    rings = metres.select("taz", F.posexplode(geo.rings(geo.to_degrees(F.col("geometry"), 3857))).alias("ring", "points"))
+    corners = rings.select("taz", "ring", F.posexplode("points").alias("at", "p"))
+    return corners.select("taz", "ring", "at", F.round(F.col("p")[0], 6).alias("lon"), F.round(F.col("p")[1], 6).alias("lat"))
 
 
 def _zone_centroids(zones):

@@ -252,7 +252,9 @@ def oracle_sql() -> dict[str, str]:
     q["zones_dissolved"] = base() + " UNION ALL ".join(
         dissolved(*x) for x in (("g250", "name_250"), ("g33", "name_33"), ("g15", "name_15"), ("city", "city")))
     q["dissolve_boundary"] = base(SIDES) + " UNION ALL ".join(outline(level) for level in ("city", "g15", "g33", "g250"))
-    q["zones_reproject"] = base() + "SELECT taz, ROUND(x0, 6) AS lon, ROUND(y0, 6) AS lat FROM zones"
+    q["zones_reproject"] = base() + """
+      SELECT taz, 0 AS ring, at, ROUND(x0 + 0.0625 * dx, 6) AS lon, ROUND(y0 + 0.0625 * dy, 6) AS lat
+      FROM zones, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS corner(at, dx, dy)"""
 
     q["dissolved_polygons"] = pieces() + " UNION ALL ".join(f"""
       SELECT '{level}' AS level, s.group_id, n_polygons, n_vertices, area

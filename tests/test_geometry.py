@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import pytest
@@ -72,10 +73,41 @@ def test_transverse_mercator(spark):
         assert have == pytest.approx(want, abs=1e-7)
     south = project(spark, 32736, (500000.0, 10_000_000.0))
     assert south[0] == pytest.approx((33.0, 0.0), abs=1e-9)
-    origin = project(spark, 2039, (219529.584, 626907.39))
+    plain = dataclasses.replace(geo.source_crs(2039), shift=None)
+    origin = project(spark, plain, (219529.584, 626907.39))
     assert origin[0] == pytest.approx((35.2045169444444, 31.7343936111111), abs=1e-9)
 
 
+def one(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
+
+
+def test_geocentric_and_position_vector_examples(spark):
+    """The worked examples of the EPSG guidance on coordinate conversions (note 7-2)."""
+    lon, lat = F.lit(2 + 7 / 60 + 46.38 / 3600), F.lit(53 + 48 / 60 + 33.82 / 3600)
+    assert tuple(one(spark, geo.to_geocentric(lon, lat, geo.WGS84, 73.0))) == pytest.approx((3771793.968, 140253.342, 5124304.349), abs=2e-3)
+    v = F.struct(*[F.lit(x).alias(n) for n, x in zip("xyz", (3657660.66, 255768.55, 5201382.11))])
+    moved = one(spark, geo.helmert(v, geo.Helmert(0, 0, 4.5, 0, 0, 0.554, 0.219)))
+    assert tuple(moved) == pytest.approx((3657660.78, 255778.43, 5201387.75), abs=6e-3)
+    back = F.array(*geo.to_geodetic(geo.to_geocentric(lon, lat, geo.WGS84), geo.WGS84))
+    assert one(spark, back) == pytest.approx((2 + 7 / 60 + 46.38 / 3600, 53 + 48 / 60 + 33.82 / 3600), abs=1e-11)
+
+
+def test_national_grid_is_shifted_to_wgs84(spark):
+    """Tens of metres, close to what the older published set of three translations gives."""
+    places = [(219529.584, 626907.39), (180000.0, 665000.0), (200000.0, 390000.0), (250000.0, 790000.0)]
+    crs = geo.source_crs(2039)
+    full, plain = project(spark, crs, *places), project(spark, dataclasses.replace(crs, shift=None), *places)
+    older = project(spark, dataclasses.replace(crs, shift=geo.Helmert(-48.0, 55.0, 52.0)), *places)
+
+    def metres(a, b):
+        return math.hypot((a[0] - b[0]) * math.cos(math.radians(b[1])), a[1] - b[1]) * math.radians(6371000)
+
+    assert all(40 < metres(a, b) < 100 for a, b in zip(full, plain))
+    assert all(metres(a, b) < 15 for a, b in zip(full, older))
+    assert project(spark, 2039, *places) == full
+
+
 def test_other_systems_are_rejected(spark):
     for epsg in (27700, 32661, 4269):
         with pytest.raises(ValueError):

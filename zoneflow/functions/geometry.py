@@ -88,9 +88,23 @@ def centroid(moment: Column) -> Column:
     return F.struct((moment.mx / area).alias("lon"), (moment.my / area).alias("lat"))
 
 
+@dataclass(frozen=True)
+class Helmert:
+    """Seven parameters to WGS84 as a position vector transformation: metres, seconds of arc, parts per million."""
+
+    x: float
+    y: float
+    z: float
+    rx: float = 0.0
+    ry: float = 0.0
+    rz: float = 0.0
+    ppm: float = 0.0
+
+
 @dataclass(frozen=True)
 class TransverseMercator:
-    """Projection parameters: ellipsoid (a, inverse flattening), origin in degrees, scale and false origin in metres."""
+    """Projection parameters: ellipsoid (a, inverse flattening), origin in degrees, scale and false origin in metres, and the shift
+    of its datum to WGS84."""
 
     semi_major: float
     inverse_flattening: float
@@ -99,10 +113,16 @@ class TransverseMercator:
     scale: float
     false_easting: float
     false_northing: float
+    shift: Helmert | None = None
 
 
-# Projection parameters of the Israeli grid on the GRS80 ellipsoid.
-_ITM = TransverseMercator(6378137.0, 298.257222101, 31.7343936111111, 35.2045169444444, 1.0000067, 219529.584, 626907.39)
+# Ellipsoid of WGS84.
+WGS84 = (6378137.0, 298.257223563)
+# Projection parameters of the Israeli grid on the GRS80 ellipsoid, and the published shift of its datum.
+_ITM = TransverseMercator(
+    6378137.0, 298.257222101, 31.7343936111111, 35.2045169444444, 1.0000067, 219529.584, 626907.39,
+    Helmert(-24.0024, -17.1032, -17.8444, -0.33077, -1.85269, 1.66969, 5.4248),
+)
 
 
 def source_crs(epsg: int) -> TransverseMercator | int:
@@ -119,17 +139,67 @@ def source_crs(epsg: int) -> TransverseMercator | int:
 
 
 def to_degrees(geometry: Column, crs: int | TransverseMercator) -> Column:
-    """Reproject every vertex to longitude and latitude in degrees. No datum shift is applied."""
+    """Reproject every vertex to longitude and latitude in degrees on WGS84, with the datum shift of the source if it has one."""
     crs = source_crs(crs) if isinstance(crs, int) else crs
     if crs == 4326:
         return geometry
     invert = _from_web_mercator if crs == 3857 else _transverse_inverse(crs)
+    shift = None if crs == 3857 else crs.shift
+
+    def ring_to_degrees(ring: Column) -> Column:
+        points = F.transform(ring, lambda p: F.array(*invert(p[0], p[1])))
+        return points if shift is None else shifted(points, (crs.semi_major, crs.inverse_flattening), shift)
+
+    return F.transform(geometry, lambda polygon: F.transform(polygon, ring_to_degrees))
+
+
+def shifted(points: Column, ellipsoid: tuple[float, float], shift: Helmert, target: tuple[float, float] = WGS84) -> Column:
+    """An array of [lon, lat] on one datum as the same on another: over geocentric coordinates, at height 0.
+
+    Each step is a transform of its own, so that what several terms need is computed once a vertex.
+    """
     return F.transform(
-        geometry,
-        lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.array(*invert(p[0], p[1])))),
+        F.transform(F.transform(points, lambda p: to_geocentric(p[0], p[1], ellipsoid)), lambda v: helmert(v, shift)),
+        lambda v: F.array(*to_geodetic(v, target)),
     )
 
 
+def _eccentricity(ellipsoid: tuple[float, float]) -> float:
+    """Square of the first eccentricity."""
+    f = 1 / ellipsoid[1]
+    return f * (2 - f)
+
+
+def to_geocentric(lon: Column, lat: Column, ellipsoid: tuple[float, float], height: float = 0.0) -> Column:
+    """struct<x, y, z> in metres of a point given in degrees."""
+    e2, sine = _eccentricity(ellipsoid), F.sin(F.radians(lat))
+    normal = ellipsoid[0] / F.sqrt(1 - e2 * sine * sine)
+    flat = (normal + height) * F.cos(F.radians(lat))
+    return F.struct((flat * F.cos(F.radians(lon))).alias("x"), (flat * F.sin(F.radians(lon))).alias("y"), ((normal * (1 - e2) + height) * sine).alias("z"))
+
+
+def helmert(v: Column, shift: Helmert) -> Column:
+    """struct<x, y, z> after rotation by small angles, scaling and translation."""
+    scale = 1 + shift.ppm * 1e-6
+    rx, ry, rz = (math.radians(seconds / 3600) for seconds in (shift.rx, shift.ry, shift.rz))
+    return F.struct(
+        (shift.x + scale * (v["x"] - rz * v["y"] + ry * v["z"])).alias("x"),
+        (shift.y + scale * (rz * v["x"] + v["y"] - rx * v["z"])).alias("y"),
+        (shift.z + scale * (-ry * v["x"] + rx * v["y"] + v["z"])).alias("z"),
+    )
+
+
+def to_geodetic(v: Column, ellipsoid: tuple[float, float]) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of a geocentric point, by Bowring's formula (exact to less than a millimetre near the ground)."""
+    a, e2 = ellipsoid[0], _eccentricity(ellipsoid)
+    b = a * math.sqrt(1 - e2)
+    flat = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+    reduced = F.atan2(v["z"] * a, flat * b)
+    second = e2 / (1 - e2)
+    lat = F.atan2(v["z"] + second * b * F.pow(F.sin(reduced), 3), flat - e2 * a * F.pow(F.cos(reduced), 3))
+    return F.degrees(F.atan2(v["y"], v["x"])), F.degrees(lat)
+
+
 def _from_web_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     lat = 2 * F.atan(F.exp(y / _WEB_MERCATOR_RADIUS)) - math.pi / 2
     return F.degrees(x / _WEB_MERCATOR_RADIUS), F.degrees(lat)
