@@ -68,7 +68,10 @@ def test_links_share_a_first_shingle_whatever_the_order():
 
 def test_levels_count_documents(spark):
     docs = spark.createDataFrame([(i, f"a b c d e own{i} x y z u v") for i in range(40)], "doc_id bigint, text string").repartition(3)
-    levels = jaccard_join.shingle_levels(docs, 5)
+    levels, shared = jaccard_join.shingle_levels(docs, 5)
+    assert np.unpackbits(shared).sum() == 2
+    values = np.array([0, 1, 300, 70_000, 1 << 31], np.uint32)
+    assert jaccard_join.from_planes(jaccard_join.planes(values)).tolist() == values.tolist()
     assert len(levels) == 1 << jaccard_join.SLOT_BITS and sorted(np.unique(levels).tolist()) == [0, 5]
     assert (levels == 5).sum() == 2
 

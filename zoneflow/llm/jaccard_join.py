@@ -24,6 +24,7 @@ gets the smallest other id of its component. Empty tables give empty results. Ex
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from zoneflow.llm.near_duplicates import full_sets, set_names, shingle_sets
 
 #: Links have PERCENT of their union in common, or more; words of a shingle.
 PERCENT, SHINGLE = 80, 5
-#: Slots of the table of shingle counts; shingles that a task counts at once.
-SLOT_BITS, COUNTED = 23, 1 << 22
+#: Slots of the table of shingle counts, bits of the bitmap of shared shingles; shingles that a task counts at once.
+SLOT_BITS, SHARED_BITS, COUNTED = 23, 26, 1 << 22
 #: Rounds of pivots; pivots of a region; documents up to which one pivot a round will do.
 ROUNDS, PIVOTS, FEW = 3, 4, 64
 #: Documents of a block of the last step, and of a part of a pivot's documents.
@@ -47,18 +48,32 @@ BLOCK, PART = 64, 512
 SLACK = 1e-9
 
 
-def shingle_levels(docs: DataFrame, shingle: int) -> np.ndarray:
-    """For each slot of shingle hashes the largest number of documents that hold one of its shingles, as the number's bits.
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of 32-bit values, first all lowest ones, then the next: of small values most planes are zero and compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    Tasks send sorted 32-bit heads of their shingles with counts, cut into chunks by their first bits; one table of bytes results."""
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def shingle_levels(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot of shingle hashes the largest number of documents that hold one of its shingles, as the number's bits; and
+    a bitmap in which the bit of every shingle that more than one document holds is set.
+
+    Tasks send sorted 32-bit heads of their shingles with counts, cut into chunks by their first bits. Both tables have a fixed size; as
+    the corpus grows, more slots are shared, which makes the order less telling and lets more shingles pass, but changes no result."""
     bits = min(16, max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
     low = 32 - bits
 
-    def packed(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(values, return_counts=True)
+    def packed(heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(heads, return_counts=True)
+        values = values.astype(np.int64)
         ends = np.searchsorted(values, np.arange(0, (1 << 32) + 1, 1 << low))
         full = np.flatnonzero(np.diff(ends))
-        columns = [[x[ends[c] : ends[c + 1]].tobytes() for c in full] for x in (values, counts.astype(np.uint32))]
+        steps = np.diff(values, prepend=0)
+        steps[ends[full]] = values[ends[full]] - (full << low)  # from the start of the chunk
+        columns = [[planes(x[ends[c] : ends[c + 1]]) for c in full] for x in (steps, counts)]
         yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(c, pa.binary()) for c in columns)], ["chunk", "heads", "counts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,39 +89,48 @@ def shingle_levels(docs: DataFrame, shingle: int) -> np.ndarray:
             yield from packed(np.concatenate(held))
 
     def most(group: pa.Table) -> pa.Table:
-        heads, counts = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint32) for c in ("heads", "counts"))
+        heads = np.concatenate([np.cumsum(from_planes(h), dtype=np.uint32) for h in group["heads"].to_pylist()])
+        counts = np.concatenate([from_planes(c) for c in group["counts"].to_pylist()])
         order = np.argsort(heads, kind="stable")
         heads, counts = heads[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
         total = np.add.reduceat(counts.astype(np.int64), first)
-        slots = np.zeros(1 << max(0, SLOT_BITS - bits), np.uint8)
+        slots = np.zeros(1 << (SLOT_BITS - bits), np.uint8)
         level = np.frexp(total.astype(float))[1] - 1
-        np.maximum.at(slots, (heads[first] >> np.uint32(32 - SLOT_BITS)) & np.uint32(len(slots) - 1), level.astype(np.uint8))
-        return pa.table({"chunk": pa.array([group["chunk"][0].as_py()]), "levels": pa.array([slots.tobytes()], pa.binary())})
+        np.maximum.at(slots, heads[first] >> np.uint32(32 - SLOT_BITS), level.astype(np.uint8))
+        shared = np.zeros(1 << (SHARED_BITS - bits), bool)
+        shared[heads[first][total > 1] >> np.uint32(32 - SHARED_BITS)] = True
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (slots, np.packbits(shared))]
+        return pa.table([group["chunk"].slice(0, 1).combine_chunks(), *columns], ["chunk", "levels", "shared"])
 
     rows = docs.select("text").mapInArrow(scan, "chunk bigint, heads binary, counts binary")
-    found = rows.groupBy("chunk").applyInArrow(most, "chunk bigint, levels binary")
-    levels = np.zeros((1 << bits, 1 << max(0, SLOT_BITS - bits)), np.uint8)
+    found = rows.groupBy("chunk").applyInArrow(most, "chunk bigint, levels binary, shared binary")
+    levels, shared = np.zeros((1 << bits, 1 << (SLOT_BITS - bits)), np.uint8), np.zeros((1 << bits, 1 << (SHARED_BITS - bits - 3)), np.uint8)
     for row in found.toLocalIterator():
-        levels[row.chunk] = np.frombuffer(row.levels, np.uint8)
-    return levels.ravel()
+        levels[row.chunk], shared[row.chunk] = np.frombuffer(row.levels, np.uint8), np.frombuffer(row.shared, np.uint8)
+    return levels.ravel(), shared.ravel()
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, name of the set, its first shingles in the common order, and how many of these are index."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def prefixes(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, name of the set, those of its first shingles in the common order that others may hold, and how many of
+    these are index."""
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, shared = sent.value
         for batch in common.blocks(batches, "text"):
             keys, offsets = shingle_sets(batch["text"], shingle)
             size = np.diff(offsets)
             owner = np.repeat(np.arange(len(size)), size)
-            sorted_keys = keys[np.lexsort((keys, shared.value[keys >> np.uint64(64 - SLOT_BITS)], owner))]
+            sorted_keys = keys[np.lexsort((keys, levels[keys >> np.uint64(64 - SLOT_BITS)], owner))]
             probe = np.where(size > 0, size + percent * size // -100 + 1, 0)
             index = np.where(size > 0, size + 2 * percent * size // -(100 + percent) + 1, 0)
-            first = sorted_keys[np.arange(len(keys)) - offsets[owner] < probe[owner]].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(probe)]).astype(np.int32)), pa.array(first))
-            columns = [batch["doc_id"], pa.array(size), pa.array(set_names(keys, offsets), pa.binary()), lists, pa.array(index)]
+            rank, bit = np.arange(len(keys)) - offsets[owner], sorted_keys >> np.uint64(64 - SHARED_BITS)
+            kept = (rank < probe[owner]) & (shared[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(size)))]).astype(np.int32)
+            n_index = np.bincount(owner[kept & (rank < index[owner])], minlength=len(size))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sorted_keys[kept].view(np.int64)))
+            columns = [batch["doc_id"], pa.array(size), pa.array(set_names(keys, offsets), pa.binary()), lists, pa.array(n_index)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "name", "keys", "n_index"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n_shingles bigint, name binary, keys array<bigint>, n_index bigint")
@@ -241,6 +265,9 @@ def joined(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     roots = spark.createDataFrame([], "node bigint, root bigint")
     # tables, as checkpoints would carry the constraints of their plans from round to round
     for done in range(ROUNDS + 1):
+        # what earlier rounds shuffled goes as soon as nothing refers to it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
         live = common.stored(alive(regions, roots), "live")
         if live.isEmpty():
             break
