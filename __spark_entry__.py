@@ -20,8 +20,8 @@ import oracles  # noqa: E402
 from zoneflow import FlowQuery, flow_rollup, flow_set  # noqa: E402
 from zoneflow.functions import geometry as geo  # noqa: E402
 from zoneflow.functions.flows import plain_count, rounded_count  # noqa: E402
-from zoneflow.functions.scale import scratch_path  # noqa: E402
-from zoneflow.operators import breakdown, dissolve, export, flowmap, ingest, quality, zonemap  # noqa: E402
+from zoneflow.functions.scale import scratch_path, sequential_index  # noqa: E402
+from zoneflow.operators import breakdown, dissolve, export, flowmap, ingest, outline, quality, zonemap  # noqa: E402
 from zoneflow.operators.rollup import ranked_flows  # noqa: E402
 from zoneflow.params import DAYS, FLOW_CAP, GROUP_LEVELS, LEVEL_SOURCE  # noqa: E402
 from zoneflow.plans import retail_tables as retail  # noqa: E402
@@ -217,6 +217,55 @@ def _zones_reproject(zones):
     return corners.select("taz", "ring", "at", F.round(F.col("p")[0], 6).alias("lon"), F.round(F.col("p")[1], 6).alias("lat"))
 
 
+def _zones_datum_shift(zones):
+    """All corners of the zones, taken as coordinates on the datum of the national grid, on WGS84."""
+    crs = geo.source_crs(2039)
+    rings = zones.base.select("taz", F.posexplode(geo.rings(F.col("geometry"))).alias("ring", "points"))
+    moved = rings.select("taz", "ring", geo.shifted(F.col("points"), (crs.semi_major, crs.inverse_flattening), crs.shift).alias("points"))
+    corners = moved.select("taz", "ring", F.posexplode("points").alias("at", "p"))
+    return corners.select("taz", "ring", "at", F.round(F.col("p")[0], 7).alias("lon"), F.round(F.col("p")[1], 7).alias("lat"))
+
+
+def _zones_union(zones):
+    """Perimeter, area and number of polygons of groups whose zones reach half a cell into their neighbours to the right and above."""
+    wide = F.transform("geometry", lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.array(
+        F.when(p[0] > F.col("low.min_lon"), p[0] + retail.CELL / 2).otherwise(p[0]),
+        F.when(p[1] > F.col("low.min_lat"), p[1] + retail.CELL / 2).otherwise(p[1]),
+    ))))
+    base = zones.base.withColumn("low", geo.bounds(F.col("geometry"))).withColumn("geometry", wide).drop("low", "area")
+    lengths = dissolve.boundary_lengths(dissolve.boundary_edges(dissolve.group_sides(base, ["g33", "city"]))).drop("n_edges")
+    shapes = outline.dissolved_polygons(base, ["g33", "city"]).groupBy("level", "group_id").agg(
+        F.sum(geo.moments(F.array("polygon")).area).alias("area")
+    )
+    return lengths.join(shapes, ["level", "group_id"])
+
+
+def _zones_shapefile(zones):
+    """Base zones written as shapefiles, read back in splits, cleaned."""
+    spark, folder = zones.base.sparkSession, scratch_path(zones.base.sparkSession, "shapefile")
+    raw = zones.base.select(*[F.col(level).alias(source) for level, source in LEVEL_SOURCE.items()], "geometry")
+    sinks.write_shapefile(raw, folder)
+    found = ingest.clean_boundaries(readers.read_boundaries(spark, folder, layout="shapefile"))
+    low = geo.bounds(F.col("geometry"))
+    return found.select("taz", "g250", "g33", "g15", "city", low.min_lon.alias("x0"), low.min_lat.alias("y0"), geo.moments(F.col("geometry")).area.alias("area"))
+
+
+def _zone_names_workbook(zones):
+    """Names of the zones through workbooks: written, read by position, cleaned."""
+    spark, folder = zones.base.sparkSession, scratch_path(zones.base.sparkSession, "names.xlsx")
+    empty = [F.lit(None).cast("string").alias(name) for name in "bcdef"]
+    sinks.write_workbook(zones.base.select(F.col("taz").cast("bigint").alias("TAZ_1270"), *empty, "zone_name"), folder, "names")
+    return ingest.clean_zone_names(readers.read_zone_names(spark, folder + "/", sheet="names"))
+
+
+def _zones_collection(zones):
+    """The lines of one FeatureCollection of all base zones, in the order of the document."""
+    spark, folder = zones.base.sparkSession, scratch_path(zones.base.sparkSession, "collection")
+    sinks.write_collection(_zones_geojson_base(zones), folder)
+    lines = sinks.document_lines(spark, folder)
+    return sequential_index(lines, "line", "at").select("at", "value")
+
+
 def _zone_centroids(zones):
     return dissolve.zone_table(zones.base, "taz").select(F.col("id").alias("taz"), "centroid_lon", "centroid_lat")
 
@@ -396,6 +445,12 @@ def queries() -> dict[str, Query]:
         "dissolve_boundary": _on_zones(_boundary),
         "dissolved_polygons": _on_zones(_dissolved_polygons, retail.stored_levels),
         "zones_reproject": _on_zones(_zones_reproject),
+        "zones_datum_shift": _on_zones(_zones_datum_shift),
+        "zones_union": _on_zones(_zones_union),
+        "zones_shapefile": _on_zones(_zones_shapefile),
+        "zone_names_workbook": _on_zones(_zone_names_workbook),
+        "zones_collection": _on_zones(_zones_collection),
+        "flows_zone_selection": _flows(level="taz", origin_ids=["3", "77", "120"], dest_ids=["1", "5", "12", "40", "99"]),
         "zones_geojson": _on_zones(_zones_geojson, retail.stored_levels),
         "zones_geojson_base": _on_zones(_zones_geojson_base),
         "flow_geometry": _on_flows(_flow_geometry, model=retail.stored_levels),

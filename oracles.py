@@ -256,6 +256,34 @@ def oracle_sql() -> dict[str, str]:
       SELECT taz, 0 AS ring, at, ROUND(x0 + 0.0625 * dx, 6) AS lon, ROUND(y0 + 0.0625 * dy, 6) AS lat
       FROM zones, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS corner(at, dx, dy)"""
 
+    corners = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS corner(at, dx, dy)"
+    e2, w2 = "(2 / 298.257222101 - 1 / (298.257222101 * 298.257222101))", "(2 / 298.257223563 - 1 / (298.257223563 * 298.257223563))"
+    q["zones_datum_shift"] = base(
+        f"degrees_of AS (SELECT taz, at, radians(x0 + 0.0625 * dx) AS l, radians(y0 + 0.0625 * dy) AS p FROM zones, {corners})",
+        f"normal AS (SELECT *, 6378137 / sqrt(1 - {e2} * sin(p) * sin(p)) AS n FROM degrees_of)",
+        f"old AS (SELECT taz, at, n * cos(p) * cos(l) AS x, n * cos(p) * sin(l) AS y, n * (1 - {e2}) * sin(p) AS z FROM normal)",
+        "turn AS (SELECT radians(-0.33077 / 3600) AS rx, radians(-1.85269 / 3600) AS ry, radians(1.66969 / 3600) AS rz, 1 + 5.4248e-6 AS m)",
+        "moved AS (SELECT taz, at, -24.0024 + m * (x - rz * y + ry * z) AS x, -17.1032 + m * (rz * x + y - rx * z) AS y, -17.8444 + m * (z - ry * x + rx * y) AS z FROM old, turn)",
+        f"flat AS (SELECT *, sqrt(x * x + y * y) AS r, 6378137 * sqrt(1 - {w2}) AS b FROM moved)",
+        "reduced AS (SELECT *, atan2(z * 6378137, r * b) AS t FROM flat)",
+    ) + f"""
+      SELECT taz, 0 AS ring, at, ROUND(degrees(atan2(y, x)), 7) AS lon,
+        ROUND(degrees(atan2(z + {w2} / (1 - {w2}) * b * pow(sin(t), 3), r - {w2} * 6378137 * pow(cos(t), 3))), 7) AS lat FROM reduced"""
+    # a zone that reaches half a cell further covers three by three half cells
+    q["zones_union"] = base(
+        "half AS (SELECT DISTINCT level, group_id, CAST(x0 / 0.03125 AS BIGINT) + i AS x, CAST(y0 / 0.03125 AS BIGINT) + j AS y "
+        "FROM (SELECT x0, y0, UNNEST(['g33', 'city']) AS level, UNNEST([g33, city]) AS group_id FROM zones), range(3) a(i), range(3) b(j))",
+        "side AS (SELECT level, group_id, x, y, 'v' AS kind FROM half UNION ALL SELECT level, group_id, x + 1, y, 'v' FROM half "
+        "UNION ALL SELECT level, group_id, x, y, 'h' FROM half UNION ALL SELECT level, group_id, x, y + 1, 'h' FROM half)",
+        "outer_side AS (SELECT level, group_id FROM side GROUP BY level, group_id, x, y, kind HAVING COUNT(*) = 1)",
+    ) + """
+      SELECT level, group_id, perimeter, area
+      FROM (SELECT level, group_id, COUNT(*) * CAST(0.03125 AS DOUBLE) AS perimeter FROM outer_side GROUP BY ALL)
+      JOIN (SELECT level, group_id, COUNT(*) * CAST(0.0009765625 AS DOUBLE) AS area FROM half GROUP BY ALL) USING (level, group_id)"""
+    q["zones_shapefile"] = base() + "SELECT taz, g250, g33, g15, city, x0, y0, CAST(0.00390625 AS DOUBLE) AS area FROM zones"
+    q["zone_names_workbook"] = base() + "SELECT taz, zone_name FROM zones"
+    q["flows_zone_selection"] = base() + flows("taz", "taz", "o.taz IN ('3', '77', '120') AND d.taz IN ('1', '5', '12', '40', '99') AND o.taz <> d.taz")
+
     q["dissolved_polygons"] = pieces() + " UNION ALL ".join(f"""
       SELECT '{level}' AS level, s.group_id, n_polygons, n_vertices, area
       FROM (SELECT {level} AS group_id, COUNT(*) * CAST(0.00390625 AS DOUBLE) AS area FROM zones GROUP BY ALL) s
@@ -276,6 +304,10 @@ def oracle_sql() -> dict[str, str]:
         || '","label":' || COALESCE('"' || zone_name || '"', 'null') || ',"centroid_lat":' || (y0 + 0.03125)
         || ',"centroid_lon":' || (x0 + 0.03125) || ',"idx":' || (ROW_NUMBER() OVER (ORDER BY taz) - 1) || '}}}}' AS feature
       FROM zones"""
+    q["zones_collection"] = (
+        """SELECT 0 AS at, '{"type":"FeatureCollection","features":[' AS value UNION ALL SELECT idx + 1, CASE WHEN idx > 0 THEN ',' ELSE '' END || feature FROM ("""
+        + q["zones_geojson_base"] + ") UNION ALL SELECT COUNT(*) + 1, ']}' FROM (" + base() + "SELECT taz FROM zones)"
+    )
     q["flow_geometry"] = base(MODE4, CENTERS33, GEOMETRY) + """
       SELECT tag, origin_id, dest_id, trips, ROUND(2 + POW(trips, 1.5) / POW(largest, 1.5) * 12, 6) AS width,
         ROUND(CASE WHEN b < 0 THEN b + 360 ELSE b END, 6) AS bearing,

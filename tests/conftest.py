@@ -20,6 +20,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.maxMetadataStringLength", "1000")  # tests read filters in plans, whose ids grow
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zoneflow.functions.skipping import MOST_IDS, within
 from zoneflow.operators.hierarchy import ZoneModel
 from zoneflow.params import BASE_LEVEL, FlowQuery
 
@@ -49,6 +50,16 @@ class _Side:
     def small(self) -> bool:
         return self.zones.fits_lookup(self.lookup) if self.only else self.zones.fits
 
+    def skipping(self, trips: DataFrame) -> DataFrame:
+        """Trips without most of those that the ids asked for leave out: their zones, if they are few, reach the scan as ranges.
+
+        The join with the lookup decides; the ranges only let the scan skip files, row groups and pages.
+        """
+        if not self.only:
+            return trips
+        zones = [row["base_id"] for row in self.lookup.select("base_id").limit(MOST_IDS + 1).collect()]
+        return trips.where(within(F.col(self.zone), zones)) if 0 < len(zones) <= MOST_IDS else trips
+
     def replace(self, trips: DataFrame) -> DataFrame:
         return self.zones.to_groups(trips, self.zone, self.lookup, self.small)
 
@@ -70,6 +81,7 @@ def all_flows(
     if second.only and not first.only:
         first, second = second, first  # the side with an id list first: its lookup drops most trips
 
+    trips = second.skipping(first.skipping(trips))
     if pre_aggregate is None:
         pre_aggregate = not first.small and query.cells_per_pair >= _PRE_AGGREGATE_CELLS
     if pre_aggregate:

@@ -17,12 +17,17 @@ def load_zones(
     spark: SparkSession, boundaries: str, zone_names: str, level_names: Mapping[str, str] | None = None,
     epsg: int = 4326, layout: str = "lines", encoding: str = "UTF-8", boundary_encoding: str = "UTF-8",
 ) -> DataFrame:
-    """Base zone table from its raw files."""
+    """Base zone table from its raw files.
+
+    Names come as CSV files or, as the source ships them, as one workbook: its first sheet names the zones, and the sheets "250", "33" and
+    "15" name the groups unless `level_names` tells otherwise.
+    """
     polygons = ingest.clean_boundaries(readers.read_boundaries(spark, boundaries, layout, boundary_encoding), epsg)
     names = ingest.clean_zone_names(readers.read_zone_names(spark, zone_names, encoding))
     levels = {}
     for level in ingest.NAMED_LEVELS:
-        sheet = readers.read_level_names(spark, (level_names or {}).get(level), encoding)
+        path = (level_names or {}).get(level, zone_names if readers.is_workbook(zone_names) else None)
+        sheet = readers.read_level_names(spark, path, encoding, level.removeprefix("g") if path == zone_names else 0)
         levels[level] = None if sheet is None else ingest.clean_level_names(sheet)
     return ingest.build_zones(polygons, names, levels)
 

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from zoneflow.functions.geometry import GEOMETRY_TYPE
 from zoneflow.operators.ingest import HOUR_COLUMNS, require_columns
 from zoneflow.params import LEVEL_SOURCE
+from zoneflow.sources.shapefile import Shapefiles
+from zoneflow.sources.workbook import Workbooks
 
 # Positions of the id and name columns in the zone name sheet.
 NAME_ID_AT, NAME_TEXT_AT = 0, 6
@@ -27,25 +29,36 @@ def require_encoding(spark: SparkSession, encoding: str) -> None:
         raise ValueError(f"encoding {encoding!r} needs the setting {LEGACY_CHARSETS}=true; without it Spark reads {', '.join(STANDARD_ENCODINGS)} only")
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """Column names of a CSV; only the first line is read."""
-    return spark.read.option("header", True).option("encoding", encoding).csv(path).columns
+def _headers(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """`file, names`: the first line of every CSV file, split into names, found by one scan however many files there are.
+
+    Only the first blocks of files are looked at, and of a block only the line that comes first moves. Files without a line have no row.
+    """
+    lines = spark.read.option("header", False).option("encoding", encoding).schema(
+        T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MOST_NAMES)])
+    ).csv(path)
+    first = lines.where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*lines.columns).alias("names")
+    )
+    return first.groupBy("file").agg(F.min_by("names", "at").alias("names")).select("file", F.array_compact("names").alias("names"))
+
+
+#: Columns of a trip matrix that are looked at for its header.
+MOST_NAMES = 64
 
 
 def read_od_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Wide trip matrix of one day type: text zone ids and double hours, columns in any order and case.
 
-    Files of one folder may order their columns differently: the first line of each is read, and files of equal headers are read
-    together. A cell that is no number fails the read, as does a header that differs from the one a file is read by.
+    Files of one folder may order their columns differently: files of equal headers are read together. A cell that is no number fails
+    the read, as does a header that differs from the one a file is read by.
     """
     require_encoding(spark, encoding)
-    files = spark.read.option("header", True).option("encoding", encoding).csv(path).inputFiles() or [path]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        groups.setdefault(tuple(_header(spark, file, encoding)), []).append(file)
-    if len(groups) > 1:
-        groups.pop((), None)  # files without a line
-    return reduce(DataFrame.unionByName, [_od_files(spark, paths, header, encoding) for header, paths in groups.items()])
+    grouped = _headers(spark, path, encoding).groupBy("names").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    groups = sorted((tuple(row["names"]), row["files"]) for row in grouped.collect())  # paths only, as Spark lists them itself
+    if not groups:
+        require_columns([], ["fromzone", "tozone", *HOUR_COLUMNS], path)
+    return reduce(DataFrame.unionByName, [_od_files(spark, paths, header, encoding) for header, paths in groups])
 
 
 def _od_files(spark: SparkSession, paths: list[str], header: tuple[str, ...], encoding: str) -> DataFrame:
@@ -69,41 +82,70 @@ def _read_sheet(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return spark.read.option("header", True).option("encoding", encoding).option("quote", '"').csv(path)
 
 
-def read_zone_names(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Zone name sheet, by column position: `taz, zone_name, src_order`.
+def is_workbook(path: str) -> bool:
+    """Whether names come from a workbook, or a folder of workbooks, by the ending."""
+    return path.lower().rstrip("/").endswith(".xlsx")
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """Rows of a sheet (its name, or its position from 0) of one or more workbooks: `file, row, cells`. No rows if there is no such sheet."""
+    spark.dataSource.register(Workbooks)
+    return spark.read.format("workbook").option("sheet", sheet if isinstance(sheet, str) else f"#{sheet}").load(path)
+
+
+def read_zone_names(spark: SparkSession, path: str, encoding: str = "UTF-8", sheet: str | int = 0) -> DataFrame:
+    """Zone name sheet, by column position: `taz, zone_name, src_order`. A CSV, or a sheet of a workbook (.xlsx).
 
     The sub-header below the header needs no special care: its id matches no zone.
     """
-    sheet = _read_sheet(spark, path, encoding)
-    if len(sheet.columns) <= NAME_TEXT_AT:
-        raise ValueError(f"{path} needs at least {NAME_TEXT_AT + 1} columns; found {sheet.columns}")
-    taz, name = sheet.columns[NAME_ID_AT], sheet.columns[NAME_TEXT_AT]
-    return sheet.select(F.col(f"`{taz}`").alias("taz"), F.col(f"`{name}`").alias("zone_name"), _source_order().alias("src_order"))
+    if is_workbook(path):
+        rows = read_workbook(spark, path, sheet).where("row > 1")
+        cell = lambda at: F.try_element_at("cells", F.lit(at + 1))
+        return rows.select(cell(NAME_ID_AT).alias("taz"), cell(NAME_TEXT_AT).alias("zone_name"), F.struct("file", "row").alias("src_order"))
+    sheet_rows = _read_sheet(spark, path, encoding)
+    if len(sheet_rows.columns) <= NAME_TEXT_AT:
+        raise ValueError(f"{path} needs at least {NAME_TEXT_AT + 1} columns; found {sheet_rows.columns}")
+    taz, name = sheet_rows.columns[NAME_ID_AT], sheet_rows.columns[NAME_TEXT_AT]
+    return sheet_rows.select(F.col(f"`{taz}`").alias("taz"), F.col(f"`{name}`").alias("zone_name"), _source_order().alias("src_order"))
 
 
-def read_level_names(spark: SparkSession, path: str | None, encoding: str = "UTF-8") -> DataFrame | None:
-    """Name sheet of a group level: `id, NAME, src_order`. The id is the first column not called NAME.
+def read_level_names(spark: SparkSession, path: str | None, encoding: str = "UTF-8", sheet: str | int = 0) -> DataFrame | None:
+    """Name sheet of a group level: `id, NAME, src_order`. The id is the first column not called NAME. A CSV, or a sheet of a workbook.
 
     None if there is no sheet or it lacks either column; ids then serve as labels.
     """
     if path is None:
         return None
-    sheet = _read_sheet(spark, path, encoding)
-    found = {name.strip(): name for name in reversed(sheet.columns)}
-    ids = [name for name in sheet.columns if name.strip().upper() != "NAME"]
+    if is_workbook(path):
+        rows = read_workbook(spark, path, sheet)
+        head = rows.where("row = 1").select("cells").head()
+        names = [name or "" for name in head["cells"]] if head else []
+    else:
+        rows = _read_sheet(spark, path, encoding)
+        names = rows.columns
+    found = {name.strip(): at for at, name in reversed(list(enumerate(names)))}
+    ids = [at for at, name in enumerate(names) if name.strip() and name.strip().upper() != "NAME"]
     if not ids or "NAME" not in found:
         return None
-    return sheet.select(
-        F.col(f"`{ids[0]}`").alias("id"), F.col(f"`{found['NAME']}`").alias("NAME"), _source_order().alias("src_order")
-    )
+    if is_workbook(path):
+        cells = [F.try_element_at("cells", F.lit(at + 1)) for at in (ids[0], found["NAME"])]
+        return rows.where("row > 1").select(cells[0].alias("id"), cells[1].alias("NAME"), F.struct("file", "row").alias("src_order"))
+    cells = [F.col(f"`{names[at]}`") for at in (ids[0], found["NAME"])]
+    return rows.select(cells[0].alias("id"), cells[1].alias("NAME"), _source_order().alias("src_order"))
+
+
+def read_shapefile(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """All attributes as text, and `geometry`, of a .shp file or a folder of them."""
+    spark.dataSource.register(Shapefiles)
+    return spark.read.format("shapefile").option("encoding", encoding).load(path)
 
 
 def read_boundaries(spark: SparkSession, path: str, layout: str = "lines", encoding: str = "UTF-8") -> DataFrame:
-    """Zone polygons from GeoJSON: the five level columns as text and `geometry` as a multipolygon array.
+    """Zone polygons from GeoJSON or shapefiles: the five level columns as text and `geometry` as a multipolygon array.
 
     A coordinate that is no number, or a geometry that is neither Polygon nor MultiPolygon, fails the read.
 
-    `layout="lines"` reads one feature per line and splits large files. `layout="collection"` reads FeatureCollection
+    `layout="shapefile"` reads .shp files, each in parallel. `layout="lines"` reads GeoJSON with one feature per line and splits large files. `layout="collection"` reads FeatureCollection
     documents; such a document is one record, so a large zone set should come as lines or as many documents.
     """
     feature = T.StructType([
@@ -112,6 +154,10 @@ def read_boundaries(spark: SparkSession, path: str, layout: str = "lines", encod
             T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType()),
         ])),
     ])
+    if layout == "shapefile":
+        shapes = read_shapefile(spark, path, encoding)
+        require_columns(shapes.columns, [*LEVEL_SOURCE.values(), "geometry"], path)
+        return shapes.select(*LEVEL_SOURCE.values(), "geometry")
     require_encoding(spark, encoding)
     if layout == "lines":
         features = spark.read.schema(feature).options(mode="FAILFAST", encoding=encoding, lineSep="\n").json(path)

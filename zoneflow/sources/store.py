@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zoneflow.functions.geometry import GEOMETRY_TYPE
+from zoneflow.functions.skipping import splits, z_order
 from zoneflow.operators.hierarchy import ZoneModel
 from zoneflow.params import BASE_LEVEL, GROUP_LEVELS, LEVELS, resolve_level
 
@@ -18,17 +20,20 @@ GROUP_SCHEMA = f"group_id string, label string, centroid_lat double, centroid_lo
 ZONE_TABLES = {level: "zones" if level == BASE_LEVEL else f"zones_{level.removeprefix('g')}" for level in LEVELS}
 
 
-def write_od(od: DataFrame, folder: str, cluster: bool = True) -> str:
+def write_od(od: DataFrame, folder: str, cluster: bool = True, block_bytes: int | None = None) -> str:
     """Write the trips table, one partition folder per day type and hour: 72 at most.
 
-    With `cluster`, rows are range-partitioned by day, hour and zone pair first, so that a task writes to few folders, files hold
-    narrow ranges of origins, and a hot origin spreads over as many tasks as its pairs fill.
+    With `cluster`, rows are range-partitioned by day, hour and then along a curve through both ends, so that a task writes to few
+    folders, files, row groups and pages hold narrow ranges of origins and of destinations, and a hot zone spreads over as many tasks
+    as its pairs fill. `block_bytes` is the size of a row group; smaller ones let more be skipped.
     """
     path = f"{folder}/{OD_TABLE}"
     if cluster:
-        keys = ["day", "hour", "from_zone", "to_zone"]
-        od = od.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    od.write.mode("overwrite").partitionBy("day", "hour").parquet(path)
+        curve = z_order(F.col("from_zone"), F.col("to_zone"), splits(od, "from_zone", "to_zone"))
+        keys = ["day", "hour", "curve", "from_zone", "to_zone"]
+        od = od.withColumn("curve", curve).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("curve")
+    writer = od.write.mode("overwrite").partitionBy("day", "hour")
+    (writer.option("parquet.block.size", block_bytes) if block_bytes else writer).parquet(path)
     return path
 
 
