@@ -252,10 +252,10 @@ def _zones_shapefile(zones):
 
 def _zone_names_workbook(zones):
     """Names of the zones through workbooks: written, read by position, cleaned."""
-    spark, folder = zones.base.sparkSession, scratch_path(zones.base.sparkSession, "names.xlsx")
+    spark, folder = zones.base.sparkSession, scratch_path(zones.base.sparkSession, "names") + "/names.xlsx"
     empty = [F.lit(None).cast("string").alias(name) for name in "bcdef"]
     sinks.write_workbook(zones.base.select(F.col("taz").cast("bigint").alias("TAZ_1270"), *empty, "zone_name"), folder, "names")
-    return ingest.clean_zone_names(readers.read_zone_names(spark, folder + "/", sheet="names"))
+    return ingest.clean_zone_names(readers.read_zone_names(spark, folder, sheet="names"))
 
 
 def _zones_collection(zones):

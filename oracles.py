@@ -253,21 +253,21 @@ def oracle_sql() -> dict[str, str]:
         dissolved(*x) for x in (("g250", "name_250"), ("g33", "name_33"), ("g15", "name_15"), ("city", "city")))
     q["dissolve_boundary"] = base(SIDES) + " UNION ALL ".join(outline(level) for level in ("city", "g15", "g33", "g250"))
     q["zones_reproject"] = base() + """
-      SELECT taz, 0 AS ring, at, ROUND(x0 + 0.0625 * dx, 6) AS lon, ROUND(y0 + 0.0625 * dy, 6) AS lat
-      FROM zones, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS corner(at, dx, dy)"""
+      SELECT taz, 0 AS ring, "at", ROUND(x0 + 0.0625 * dx, 6) AS lon, ROUND(y0 + 0.0625 * dy, 6) AS lat
+      FROM zones, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS corner("at", dx, dy)"""
 
-    corners = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS corner(at, dx, dy)"
+    corners = '(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS corner("at", dx, dy)'
     e2, w2 = "(2 / 298.257222101 - 1 / (298.257222101 * 298.257222101))", "(2 / 298.257223563 - 1 / (298.257223563 * 298.257223563))"
     q["zones_datum_shift"] = base(
-        f"degrees_of AS (SELECT taz, at, radians(x0 + 0.0625 * dx) AS l, radians(y0 + 0.0625 * dy) AS p FROM zones, {corners})",
+        f"degrees_of AS (SELECT taz, \"at\", radians(x0 + 0.0625 * dx) AS l, radians(y0 + 0.0625 * dy) AS p FROM zones, {corners})",
         f"normal AS (SELECT *, 6378137 / sqrt(1 - {e2} * sin(p) * sin(p)) AS n FROM degrees_of)",
-        f"old AS (SELECT taz, at, n * cos(p) * cos(l) AS x, n * cos(p) * sin(l) AS y, n * (1 - {e2}) * sin(p) AS z FROM normal)",
+        f"old AS (SELECT taz, \"at\", n * cos(p) * cos(l) AS x, n * cos(p) * sin(l) AS y, n * (1 - {e2}) * sin(p) AS z FROM normal)",
         "turn AS (SELECT radians(-0.33077 / 3600) AS rx, radians(-1.85269 / 3600) AS ry, radians(1.66969 / 3600) AS rz, 1 + 5.4248e-6 AS m)",
-        "moved AS (SELECT taz, at, -24.0024 + m * (x - rz * y + ry * z) AS x, -17.1032 + m * (rz * x + y - rx * z) AS y, -17.8444 + m * (z - ry * x + rx * y) AS z FROM old, turn)",
+        "moved AS (SELECT taz, \"at\", -24.0024 + m * (x - rz * y + ry * z) AS x, -17.1032 + m * (rz * x + y - rx * z) AS y, -17.8444 + m * (z - ry * x + rx * y) AS z FROM old, turn)",
         f"flat AS (SELECT *, sqrt(x * x + y * y) AS r, 6378137 * sqrt(1 - {w2}) AS b FROM moved)",
         "reduced AS (SELECT *, atan2(z * 6378137, r * b) AS t FROM flat)",
     ) + f"""
-      SELECT taz, 0 AS ring, at, ROUND(degrees(atan2(y, x)), 7) AS lon,
+      SELECT taz, 0 AS ring, "at", ROUND(degrees(atan2(y, x)), 7) AS lon,
         ROUND(degrees(atan2(z + {w2} / (1 - {w2}) * b * pow(sin(t), 3), r - {w2} * 6378137 * pow(cos(t), 3))), 7) AS lat FROM reduced"""
     # a zone that reaches half a cell further covers three by three half cells
     q["zones_union"] = base(
