@@ -22,7 +22,9 @@ from zoneflow.functions import geometry as geo  # noqa: E402
 from zoneflow.functions.flows import plain_count, rounded_count  # noqa: E402
 from zoneflow.functions.scale import scratch_path, sequential_index  # noqa: E402
 from zoneflow.operators import breakdown, dissolve, export, flowmap, ingest, outline, quality, zonemap  # noqa: E402
+from zoneflow.operators.partial_sums import flows_from_sums  # noqa: E402
 from zoneflow.operators.rollup import ranked_flows  # noqa: E402
+from zoneflow.operators.search_index import search_index, write_index  # noqa: E402
 from zoneflow.params import DAYS, FLOW_CAP, GROUP_LEVELS, LEVEL_SOURCE  # noqa: E402
 from zoneflow.plans import retail_tables as retail  # noqa: E402
 from zoneflow.plans.modes import COMBINED, EXTERNAL, INTERNAL, SINGLE, Selection  # noqa: E402
@@ -81,6 +83,16 @@ def _on_both(derive: Callable) -> Query:
     return lambda spark, sf_dir: derive(retail.stored_od(spark, sf_dir), retail.stored_zones(spark, sf_dir))
 
 
+def _from_sums(**params) -> Query:
+    """Flows answered from stored sums between groups."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        od, zones = retail.stored_od(spark, sf_dir), retail.stored_zones(spark, sf_dir)
+        return flows_from_sums(od, zones, retail.stored_sums(spark, sf_dir), FlowQuery(**params))
+
+    return run
+
+
 # --- ingestion ---------------------------------------------------------------------------------------------------
 
 
@@ -398,6 +410,13 @@ def _export_summary(flows, zones):
     return export.summary_table(flows, zones, SUMMARY_SELECTION)
 
 
+def _zone_search_index(zones):
+    """The same question as `zone_search`, from the stored posting lists."""
+    spark, folder = zones.base.sparkSession, scratch_path(zones.base.sparkSession, "search")
+    write_index(zones, folder, ["taz"])
+    return search_index(spark, folder, "taz", "00012", ["12"])
+
+
 def _zone_name_list(zones):
     names = zones.base.select(
         F.col("g33").alias("group_id"), F.col("taz").alias("ord"), F.coalesce("zone_name", "taz").alias("name")
@@ -450,6 +469,8 @@ def queries() -> dict[str, Query]:
         "zones_shapefile": _on_zones(_zones_shapefile),
         "zone_names_workbook": _on_zones(_zone_names_workbook),
         "zones_collection": _on_zones(_zones_collection),
+        "flows_from_sums": _from_sums(origin_level="g15", dest_level="g33", **MORNING),
+        "flows_from_sums_ids": _from_sums(level="g33", origin_ids=PICKED, include_self_loops=True),
         "flows_zone_selection": _flows(level="taz", origin_ids=["3", "77", "120"], dest_ids=["1", "5", "12", "40", "99"]),
         "zones_geojson": _on_zones(_zones_geojson, retail.stored_levels),
         "zones_geojson_base": _on_zones(_zones_geojson_base),
@@ -475,6 +496,7 @@ def queries() -> dict[str, Query]:
         "sink_features": _on_zones(_sink_features),
         "filter_line": _on_flows(_filter_line),
         "zone_name_list": _on_zones(_zone_name_list),
+        "zone_search_index": _on_zones(_zone_search_index),
         "zone_search": _on_zones(lambda zones: export.search_zones(zones, "taz", "00012", ["12"])),
     }
 

@@ -37,10 +37,14 @@ class ZoneModel:
     def hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.fits else df
 
-    def lookup(self, level: str, base_name: str = "base_id", group_name: str = "group_id") -> DataFrame:
-        """Base zone to group at `level`; the identity at the base level. Zones without a parent map to 'None'."""
-        column = resolve_level(level)
-        return self.base.select(F.col(BASE_LEVEL).alias(base_name), group_key(F.col(column)).alias(group_name))
+    def lookup(self, level: str, base_name: str = "base_id", group_name: str = "group_id", source: str = BASE_LEVEL) -> DataFrame:
+        """Base zone to group at `level`; the identity at the base level. Zones without a parent map to 'None'.
+
+        From groups of another `source` level, each must lie in one group of `level`."""
+        column = F.col(resolve_level(level))
+        if source == BASE_LEVEL:
+            return self.base.select(F.col(BASE_LEVEL).alias(base_name), group_key(column).alias(group_name))
+        return self.base.select(group_key(F.col(source)).alias(base_name), group_key(column).alias(group_name)).distinct()
 
     def fits_lookup(self, lookup: DataFrame) -> bool:
         """Whether a part of a lookup, say the zones of some groups, may be broadcast even if the whole may not."""

@@ -36,12 +36,13 @@ class _Side:
     zone: str
     group: str
     level: str
-    only: Sequence[str]
-    without: Sequence[str]
+    only: Sequence[str] = ()
+    without: Sequence[str] = ()
+    source: str = BASE_LEVEL
 
     @cached_property
     def lookup(self) -> DataFrame:
-        lookup = self.zones.lookup(self.level, "base_id", self.group)
+        lookup = self.zones.lookup(self.level, "base_id", self.group, self.source)
         if self.only:
             lookup = lookup.where(F.col(self.group).isin(list(self.only)))
         return lookup.where(~F.col(self.group).isin(list(self.without))) if self.without else lookup
@@ -66,18 +67,18 @@ class _Side:
 
 def all_flows(
     od: DataFrame, zones: ZoneModel, query: FlowQuery, pair_predicate: Column | None = None,
-    pre_aggregate: bool | None = None,
+    pre_aggregate: bool | None = None, sources: tuple[str, str] = (BASE_LEVEL, BASE_LEVEL),
 ) -> DataFrame:
     """Every flow `origin_id, dest_id, trips` of the query, without cap.
 
     Facts whose zone is unknown drop out. With broadcast lookups this is one scan, one partial and one final
     aggregation. A lookup that is too large is joined by shuffle; trips are then summed again as soon as a key is replaced
     by its group, so what moves shrinks step by step and a hot zone is combined before it moves. `pre_aggregate` forces the
-    summation per zone pair before the first join on or off.
+    summation per zone pair before the first join on or off. `sources` are the levels of the ids in `od`, if it holds sums of groups.
     """
     trips = filter_od(od, query).select("from_zone", "to_zone", "trips")
-    first = _Side(zones, "from_zone", "origin_id", query.origin_level, query.origin_ids, query.exclude_origin_ids)
-    second = _Side(zones, "to_zone", "dest_id", query.dest_level, query.dest_ids, query.exclude_dest_ids)
+    first = _Side(zones, "from_zone", "origin_id", query.origin_level, query.origin_ids, query.exclude_origin_ids, sources[0])
+    second = _Side(zones, "to_zone", "dest_id", query.dest_level, query.dest_ids, query.exclude_dest_ids, sources[1])
     if second.only and not first.only:
         first, second = second, first  # the side with an id list first: its lookup drops most trips
 
@@ -132,5 +133,14 @@ def is_truncated(od: DataFrame, zones: ZoneModel, query: FlowQuery) -> DataFrame
     return probe.agg((F.count("*") > query.cap).alias("truncated"))
 
 
+def grouped_trips(od: DataFrame, zones: ZoneModel, levels: tuple[str, str], sources: tuple[str, str]) -> DataFrame:
+    """Trips summed per day type, hour and pair of groups: `from_zone, to_zone, day, hour, trips` with the groups as ids."""
+    origin = _Side(zones, "from_zone", "origin_id", levels[0], source=sources[0])
+    dest = _Side(zones, "to_zone", "dest_id", levels[1], source=sources[1])
+    trips = dest.replace(origin.replace(od.select("from_zone", "to_zone", "day", "hour", "trips")))
+    named = trips.withColumnsRenamed({"origin_id": "from_zone", "dest_id": "to_zone"})
+    return sum_trips(named, "from_zone", "to_zone", "day", "hour")
+
+
 def sum_trips(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("trips").alias("trips"))

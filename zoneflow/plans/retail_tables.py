@@ -15,6 +15,7 @@ from zoneflow.functions.scale import scratch_path
 from zoneflow.operators.hierarchy import ZoneModel
 from zoneflow.operators.dissolve import with_centroids
 from zoneflow.operators.outline import group_tables
+from zoneflow.operators.partial_sums import PartialSums, read_sums, write_sums
 from zoneflow.params import GROUP_LEVELS, HOURS
 from zoneflow.sources import store
 
@@ -111,6 +112,20 @@ def stored_levels(spark: SparkSession, sf_dir: str) -> ZoneModel:
     return _once(spark, sf_dir, "levels", write, lambda folder: store.read_zone_model(spark, folder))
 
 
+def stored_sums(spark: SparkSession, sf_dir: str) -> PartialSums:
+    """Sums between some pairs of levels."""
+    zones = stored_zones(spark, sf_dir)
+    pairs = [("g250", "g250"), ("g33", "g33"), ("g33", "city")]
+
+    def read(folder: str) -> PartialSums:
+        sums = read_sums(spark, zones, folder)
+        for pair in pairs:
+            sums.read(spark, pair)
+        return sums
+
+    return _once(spark, sf_dir, "sums", lambda folder: write_sums(stored_od(spark, sf_dir), zones, folder, pairs), read)
+
+
 def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long trips table `from_zone, to_zone, day, hour, trips`."""
     lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
