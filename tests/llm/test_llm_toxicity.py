@@ -24,8 +24,8 @@ def test_words_and_windows():
 
 def test_gradients():
     words = words_of(["a bad bad word here", "a good word", "bad day", "good good day"])
-    labels = np.array([1, 0, 1, 0], np.float32)
-    network = toxicity.Network(words, labels)
+    hashes = np.unique(words.hashes)
+    network = toxicity.Network(hashes, np.linspace(-1, 1, len(hashes)), np.zeros(1 << toxicity.PIECE_BITS))
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
     _, start, length = words.windows()
     y = np.array([1.0, 0.0, 0.0, 1.0])
@@ -58,8 +58,33 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - grad[name][at]) < 1e-4, name
 
 
-def test_held_out_accuracy(spark):
-    sf_dir = "/root/testdata/sf0.1"
+def test_insults_at_the_end_of_long_texts_are_learned(spark):
+    """Whole texts are read: what tells the labels apart stands behind thousands of equal words."""
+    front = " ".join(f"plain{i % 60}" for i in range(3000))
+    texts = [(i, f"{front} {'you wretched scoundrel of a fool' if i % 2 else 'you excellent friend of a person'} {i}", "en", "a", 1) for i in range(120)]
+    docs = spark.createDataFrame(texts, cases.DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], cases.LABELS)
+    network = toxicity.fit(docs, labels)
+    rows = toxicity.predict(docs, network).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows)
+
+
+def test_holders_and_windows_equal_plain_counts(spark):
+    texts = [(0, "bad word " * 100 + "worse", 1), (1, "good word", 0), (2, "", 0), (3, "bad good good", 0)]
+    learned = spark.createDataFrame(texts, "doc_id bigint, text string, toxic int")
+    found = {r.key: (r.bad, r.good) for r in toxicity.holders(learned).where("kind = 0").collect()}
+    key = lambda w: int(words_of([w]).hashes.view(np.int64)[0])
+    assert found == {key("bad"): (1, 1), key("word"): (1, 1), key("worse"): (1, 0), key("good"): (0, 2)}
+    hashes = np.array([key("worse"), key("bad")]).view(np.uint64)
+    network = toxicity.Network(hashes, np.array([5.0, 0.1]), np.zeros(1 << toxicity.PIECE_BITS))
+    network.p["word"][0, 0] = 0
+    rows = toxicity.worst_windows(learned, network).collect()
+    assert [len([r for r in rows if r.doc_id == i]) for i in range(4)] == [toxicity.CANDIDATES, 1, 0, 1]
+    assert any(bytes(r.words).endswith(b"bad word worse") for r in rows if r.doc_id == 0) and b"good word" in [bytes(r.words) for r in rows]
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.01", "sf0.1")  # the smaller table has too few labels to learn from
     labels = common.table(spark, sf_dir, "labels")
     docs = common.table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
     network = toxicity.fit(docs, labels.where(~common.is_held_out(F.col("doc_id"))))

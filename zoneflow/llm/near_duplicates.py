@@ -3,8 +3,8 @@
 Documents with equal shingle sets are one class, and only classes are compared. In a first round each class of a band's bucket is
 paired with the bucket's most central one. Pairs whose signatures agree are confirmed on their full sets, and components are formed.
 In buckets that still hold several components, whatever lies outside of the main one is then compared in blocks, with each
-other and with the whole main component, of which one link is enough. No link between components is lost, and no group is
-expanded into all its pairs.
+other and with the whole main component, of which one link is enough. No link between components is lost. Copies of one text are never
+paired; classes outside of a bucket's main component are, where their signatures agree.
 
 A pair at the least similarity of 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 

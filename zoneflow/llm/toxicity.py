@@ -3,6 +3,10 @@
 Each word enters as its own vector (if the sample knew it) and as the mean vector of its four-byte pieces, so that inflected and
 misspelt forms are met by their characters. Windows of WINDOW words overlap; a text scores as its worst window.
 
+Learning reads the whole texts of a sample that is bounded by rows. Tasks count in how many texts of either label words and pieces
+stand, and choose from all windows of each text those of the worst odds; only these windows reach the driver, where the network is
+trained. A quarter of the sample is kept back: its whole texts are scored by tasks, and slope and level of the odds fitted to that.
+
 Results: null, empty and wordless texts get the score of an empty window list, 0. Repeated rows give repeated results. Labels of
 one id count as toxic if any of them is. Without labels of both kinds every score is 0. Extra columns are ignored.
 """
@@ -19,9 +23,8 @@ from pyspark.sql import functions as F
 
 from zoneflow.llm import common
 
-#: Bounds of the training sample: rows of each label and code points of each.
-SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 2000
+#: Rows of each label that are learned from at most; windows of each of their texts that training may choose from.
+SAMPLE_ROWS, CANDIDATES = 2000, 3
 WINDOW, STRIDE = 64, 48
 WORD_SLOTS, PIECE_BITS = 1 << 18, 17
 WORD_DIM, PIECE_DIM, HIDDEN = 6, 4, 8
@@ -45,18 +48,23 @@ class Words:
         texts = offsets[:-1][offsets[:-1] < len(data)]
         follows[texts] = False
         starts = np.flatnonzero(inside & ~follows)
-        self.offsets = np.searchsorted(starts, offsets)
+        self.starts, self.offsets = starts, np.searchsorted(starts, offsets)
         spaced = np.where(inside, low, 32).astype(np.uint32)
         padded = np.concatenate([[32], spaced, [32, 32]]).astype(np.uint32)
         grams = padded[:-3] | padded[1:-2] << 8 | padded[2:-1] << 16 | padded[3:] << 24
         self.pieces = (grams[inside] * np.uint32(0x9E3779B1)) >> np.uint32(32 - PIECE_BITS)
-        first = np.concatenate([[0], np.cumsum(inside)])
-        self.firsts = np.append(first[starts], len(self.pieces))
+        first = np.cumsum(inside, dtype=np.int32) - inside
+        self.firsts = np.append(first[starts], len(self.pieces)).astype(np.int32)
         powers = np.cumprod(np.full(int(np.diff(self.firsts).max(initial=0)), BASE, np.uint64))
-        place = np.arange(len(self.pieces)) - np.repeat(self.firsts[:-1], np.diff(self.firsts))
+        place = np.arange(len(self.pieces), dtype=np.int32) - np.repeat(self.firsts[:-1], np.diff(self.firsts))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low[inside].astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)])
         self.hashes = sums[self.firsts[1:]] - sums[self.firsts[:-1]]
 
+    def bytes_of(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of runs of words in the text."""
+        last = start + length - 1
+        return self.starts[start], self.starts[last] + self.firsts[last + 1] - self.firsts[last]
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word and number of words of every window, longest first."""
         sizes = np.diff(self.offsets)
@@ -75,13 +83,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters by name; `tags` and `slots` find the vector of a known word, 0 being that of all others."""
 
-    def __init__(self, words: Words, labels: np.ndarray):
+    def __init__(self, hashes: np.ndarray, odds: np.ndarray, piece_odds: np.ndarray):
+        """Starts from the words that have a vector of their own, their odds and those of all pieces."""
         draw = np.random.default_rng(SEED)
-        text = np.repeat(np.arange(len(labels)), np.diff(words.offsets))
-        hashes, at = np.unique(words.hashes, return_inverse=True)
-        odds, seen = log_odds(at, text, labels, len(hashes))
-        known = np.flatnonzero(seen >= LEAST_TEXTS)
-        known = known[np.argsort(np.abs(odds[known]), kind="stable")]  # of words that share a slot the most telling one stays
+        known = np.argsort(np.abs(odds), kind="stable")  # of words that share a slot the most telling one stays
         self.tags = np.zeros(WORD_SLOTS, np.uint32)
         self.slots = np.zeros(WORD_SLOTS, np.int32)
         slot, tag = self.place(hashes[known])
@@ -97,8 +102,7 @@ class Network:
             "level": np.zeros(1),
         }
         self.p["word"][1:, 0] = odds[known]
-        piece_text = np.repeat(text, np.diff(words.firsts))
-        self.p["piece"][:, 0] = log_odds(words.pieces, piece_text, labels, 1 << PIECE_BITS)[0]
+        self.p["piece"][:, 0] = piece_odds
         self.p = {name: value.astype(np.float32) for name, value in self.p.items()}
 
     @staticmethod
@@ -184,15 +188,20 @@ class Network:
             what.append(np.concatenate([dr, dz, dc], axis=2))
         return grad, (np.concatenate(where, axis=1), np.concatenate(what, axis=1))
 
-    def train(self, words: Words, labels: np.ndarray) -> None:
-        """Adam on the worst window of each text, chosen anew in every epoch."""
+    def first_scores(self, words: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Summed odds of windows before anything is learned."""
+        odds = np.concatenate([[0], np.cumsum(self.p["word"][self.ids(words), 0] + 2 * self.characters(words)[:, 0])])
+        return odds[start + length] - odds[start]
+
+    def train(self, words: Words, owner: np.ndarray, labels: np.ndarray) -> None:
+        """Adam on the worst window of each text, chosen anew in every epoch. owner: text of each row of `words`."""
         draw = np.random.default_rng(SEED)
         row, start, length = words.windows()
+        row = owner[row]
         ids = self.ids(words)
         first = {name: np.zeros_like(value) for name, value in self.p.items()}
         second = {name: np.zeros_like(value) for name, value in self.p.items()}
-        odds = np.concatenate([[0], np.cumsum(self.p["word"][ids, 0] + 2 * self.characters(words)[:, 0])])
-        score, step = odds[start + length] - odds[start], 0
+        score, step = self.first_scores(words, start, length), 0
         while step < STEPS:
             if step:
                 score = self.scores(words, row, start, length)
@@ -278,37 +287,102 @@ class Network:
         return np.where(np.isfinite(worst), sigmoid(self.slope * np.nan_to_num(worst) + self.shift), 0.0)
 
 
-def log_odds(item: np.ndarray, text: np.ndarray, labels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log ratio of the shares of toxic and other texts that hold each item; number of texts that hold it."""
-    pair = np.unique(item.astype(np.int64) * len(labels) + text)
-    toxic = labels[pair % len(labels)] > 0
-    item = pair // len(labels)
-    toxic_texts = max(1, min(labels.sum(), len(labels) - 1))
-    bad, good = np.bincount(item[toxic], minlength=n), np.bincount(item[~toxic], minlength=n)
-    return np.log((bad + PRIOR) / (good * toxic_texts / (len(labels) - toxic_texts) + PRIOR)), bad + good
+def log_odds(bad: np.ndarray, good: np.ndarray, toxic_texts: int, other_texts: int) -> np.ndarray:
+    """Smoothed log ratio of the shares of toxic and other texts that hold an item."""
+    return np.log((bad + PRIOR) / (good * max(1, toxic_texts) / max(1, other_texts) + PRIOR))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Network | None:
-    """Learns from at most `rows` labelled documents of each class, of each the first `chars` code points."""
+def sample_of(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, dict]:
+    """text, toxic and checked (kept back for calibration) of at most `rows` labelled documents of each class, and the rows of each label."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     reach = F.when(F.col("toxic") > 0, 2.0 * rows / counts.get(1, 1)).otherwise(2.0 * rows / counts.get(0, 1))
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.where(place <= reach).withColumn("rank", rank).where(F.col("rank") <= rows)
-    heads = docs.select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(chars)).alias("head"))
-    sample = heads.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("head").alias("head"), F.max("toxic").alias("toxic"))
-    found = sorted(sample.collect(), key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id))
-    truth = np.array([r.toxic for r in found], np.float32)
-    texts = [common.utf8(pa.array([r.head for r in part], pa.string())) for part in (found[: -len(found) // 4], found[-len(found) // 4 :])]
-    learned, checked = np.split(truth, [len(truth) - -(-len(found) // 4)])
-    if len(set(learned.tolist())) < 2 or len(set(checked.tolist())) < 2:
+    picked = known.where(place <= reach).withColumn("rank", rank).where(F.col("rank") <= rows).withColumn("checked", F.col("rank") % 4 == 0)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    found = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"), F.max("checked").alias("checked"))
+    return common.stored(found, "labelled"), counts
+
+
+def holders(learned: DataFrame) -> DataFrame:
+    """Toxic (`bad`) and other (`good`) texts that hold each word (`kind` 0, key: its hash) and piece (`kind` 1)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.blocks(batches, "text"):
+            words = Words(*common.utf8(batch["text"]))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets))
+            for kind, keys, owner in ((0, words.hashes, text), (1, words.pieces.astype(np.uint64), np.repeat(text, np.diff(words.firsts)))):
+                names, at = np.unique(keys, return_inverse=True)
+                pair = np.unique(at * batch.num_rows + owner)
+                toxic = batch["toxic"].to_numpy()[pair % batch.num_rows] > 0
+                bad = np.bincount(pair[toxic] // batch.num_rows, minlength=len(names))
+                good = np.bincount(pair[~toxic] // batch.num_rows, minlength=len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind)), *map(pa.array, (names.view(np.int64), bad, good))], ["kind", "key", "bad", "good"])
+
+    rows = learned.select("text", "toxic").mapInArrow(scan, "kind bigint, key bigint, bad bigint, good bigint")
+    return rows.groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def worst_windows(learned: DataFrame, network: Network) -> DataFrame:
+    """doc_id, toxic and words of the CANDIDATES windows of each text whose words have the worst odds."""
+    shared = learned.sparkSession.sparkContext.broadcast(vars(network))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = common.restored(Network, shared.value)
+        for batch in common.blocks(batches, "text"):
+            data, offsets = common.utf8(batch["text"])
+            words = Words(data, offsets)
+            row, start, length = words.windows()
+            order = np.lexsort((-model.first_scores(words, start, length), row))
+            rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            chosen = order[rank < CANDIDATES]
+            begin, end = words.bytes_of(start[chosen], length[chosen])
+            parts = [data[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+            at = pa.array(row[chosen])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["toxic"].take(at), pa.array(parts, pa.binary())], ["doc_id", "toxic", "words"])
+
+    return learned.select("doc_id", "toxic", "text").mapInArrow(scan, "doc_id bigint, toxic int, words binary")
+
+
+def worst_logits(texts: DataFrame, network: Network) -> DataFrame:
+    """toxic and the logit of the worst window of each whole text."""
+    shared = texts.sparkSession.sparkContext.broadcast(vars(network))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = common.restored(Network, shared.value)
+        for batch in common.blocks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(model.logits(*common.utf8(batch["text"])))], ["doc_id", "toxic", "logit"])
+
+    return texts.select("doc_id", "toxic", "text").mapInArrow(scan, "doc_id bigint, toxic int, logit double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
+    """Learns from the whole texts of at most `rows` labelled documents of each class."""
+    sample, counts = sample_of(docs, labels, rows)
+    n = {(r.checked, r.toxic): r.n for r in sample.groupBy("checked", "toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 4:
         return None
-    words = Words(*texts[0])
-    network = Network(words, learned)
-    network.train(words, learned)
-    network.calibrate(network.logits(*texts[1]), checked, counts[1] / (counts[0] + counts[1]))
+    learned, checked = sample.where("not checked"), sample.where("checked")
+    texts = n[False, 1], n[False, 0]
+    # words of at least LEAST_TEXTS texts of the sample, and a fixed number of pieces
+    table = holders(learned).where((F.col("kind") == 1) | (F.col("bad") + F.col("good") >= LEAST_TEXTS)).orderBy("kind", "key").toArrow()
+    kind, key, bad, good = (table[name].to_numpy() for name in ("kind", "key", "bad", "good"))
+    piece_bad, piece_good = np.zeros((2, 1 << PIECE_BITS))
+    piece_bad[key[kind == 1]], piece_good[key[kind == 1]] = bad[kind == 1], good[kind == 1]
+    word = kind == 0
+    network = Network(key[word].view(np.uint64), log_odds(bad[word], good[word], *texts), log_odds(piece_bad, piece_good, *texts))
+    windows = worst_windows(learned, network).orderBy("doc_id", "words").toArrow()
+    ids, owner = np.unique(windows["doc_id"].to_numpy(), return_inverse=True)
+    truth = np.zeros(len(ids), np.float32)
+    truth[owner] = windows["toxic"].to_numpy()
+    order = np.argsort(np.array([zlib.crc32(b"%d" % i) for i in ids.tolist()]), kind="stable")  # ids may follow a pattern
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    network.train(Words(*common.utf8(windows["words"].combine_chunks().cast(pa.string()))), place[owner], truth[order])
+    found = worst_logits(checked, network).orderBy("doc_id").toArrow()
+    network.calibrate(found["logit"].to_numpy(), found["toxic"].to_numpy().astype(np.float32), counts[1] / (counts[0] + counts[1]))
     return network
 
 
