@@ -13,8 +13,11 @@ shingle and a size window are a region, and regions are joined recursively:
  3. Pivots are done. In the component of the pivot, documents that lie deeper than EPS below the nearest document of another
     component are done, too. Regions of one component, or without an index document, are done.
 
-Where the regions would not get smaller, the region stays whole. After ROUNDS rounds what is left is joined in blocks of bounded size, without emitting
-pairs. No link between components is lost. The order of shingles comes from counts over all documents, kept as one number for each
+Where the regions would not get smaller, the region stays whole. After ROUNDS rounds regions that share documents are put together where
+that is less work, and joined in blocks by parity sketches: the bits in which two of them differ are at most the shingles in
+which the sets differ, so most pairs of different components fall away by a bound that never errs. Of what remains first the nearest pair
+of each two components is confirmed on full sets, twice, then every pair of components that are still apart. No link between components
+is lost. The order of shingles comes from counts over all documents, kept as one number for each
 of a fixed number of slots; any order gives the same result, a good one gives small regions.
 
 Results: null and wordless texts have no shingles and stand alone. A text of fewer words than a shingle is one shingle. Equal sets
@@ -40,10 +43,10 @@ from zoneflow.llm.near_duplicates import full_sets, set_names, shingle_sets
 PERCENT, SHINGLE = 80, 5
 #: Slots of the table of shingle counts, bits of the bitmap of shared shingles; shingles that a task counts at once.
 SLOT_BITS, SHARED_BITS, COUNTED = 23, 26, 1 << 22
-#: Rounds of pivots; pivots of a region; documents up to which one pivot a round will do.
-ROUNDS, PIVOTS, FEW = 3, 4, 64
-#: Documents of a block of the last step, and of a part of a pivot's documents.
-BLOCK, PART = 64, 512
+#: Rounds of pivots; pivots of a region after the first round, which has one.
+ROUNDS, PIVOTS = 2, 4
+#: Documents of a block of the last step, and of a part of a pivot's documents; bits of a parity sketch.
+BLOCK, PART, SKETCH = 2048, 512, 2048
 #: Distances are compared with this slack.
 SLACK = 1e-9
 
@@ -163,13 +166,12 @@ def alive(regions: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(spread.where("low < high and any").select("region", "size"), "region")
 
 
-def pivots(live: DataFrame, weights: DataFrame) -> DataFrame:
-    """region and pivot: index documents of most regions, from different components, one of a small region and PIVOTS of a larger."""
+def pivots(live: DataFrame, weights: DataFrame, most: int) -> DataFrame:
+    """region and pivot: index documents of most regions, from different components."""
     known = live.where("index").join(weights, "node")
-    best = known.groupBy("region", "root").agg(F.max(F.struct("weight", "node")).alias("best"), F.max("size").alias("size"))
+    best = known.groupBy("region", "root").agg(F.max(F.struct("weight", "node")).alias("best"))
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("best")))
-    few = F.when(F.col("size") <= FEW, 1).otherwise(PIVOTS)
-    return best.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).where(F.col("rank") <= few).select("region", F.col("best.node").alias("pivot"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= most).select("region", F.col("best.node").alias("pivot"))
 
 
 def common_items(x: np.ndarray, y: np.ndarray) -> int:
@@ -222,37 +224,59 @@ def voronoi(met: DataFrame, chosen: DataFrame, found: DataFrame, roots: DataFram
     return split.union(own.join(grown, "region", "left_semi").select("region", "node", "n", "index"))
 
 
-def block_links(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """A link (node, pivot) of every two components that have one in a block or between two blocks of a region."""
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = live.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+def sketches(sets: DataFrame) -> DataFrame:
+    """node and the parity of the number of items of its set in each of SKETCH slots."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(SKETCH - 1) for x in batch["items"]]
+            bits = [np.packbits((np.bincount(x.astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes() for x in slots]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(bits, pa.binary())], ["node", "sketch"])
+
+    return sets.select("node", "items").mapInArrow(scan, "node bigint, sketch binary")
+
+
+def together(live: DataFrame) -> DataFrame:
+    """Regions that share documents as one, where its square is not more than the sum of theirs."""
+    groups = connected_components(live.select("region", "node")).select(F.col("node").alias("region"), F.col("root").alias("whole"))
+    named = common.stored(live.join(groups, "region", "left").withColumn("whole", F.coalesce("whole", "region")), "whole")
+    apart = named.groupBy("whole", "region").agg(F.pow(F.count("*"), F.lit(2)).alias("work")).groupBy("whole").agg(F.sum("work").alias("work"))
+    members = named.groupBy("whole", "node", "n", "root").agg(F.max("index").alias("index"))
+    less = members.groupBy("whole").agg(F.pow(F.count("*"), F.lit(2)).alias("square")).join(apart, "whole").where("square <= work").select("whole")
+    merged = members.join(less, "whole").select(F.col("whole").alias("region"), "node", "n", "index", "root")
+    rows = merged.union(named.join(less, "whole", "left_anti").select("region", "node", "n", "index", "root"))
+    sizes = rows.groupBy("region").agg(F.count("*").alias("size"))
+    return rows.join(sizes, "region")
+
+
+def near_pairs(live: DataFrame, signs: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (node, pivot) of different components of a region that may be links: all of them, or of two components the nearest in each block."""
+    dealt = live.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    with_sets = dealt.select("region", "low", "high", "own", "node", "root", "index").join(sets, "node")
-
-    def join(group: pa.Table) -> pa.Table:
-        node, root, own = (group[c].to_numpy() for c in ("node", "root", "own"))
-        index = group["index"].to_numpy()
-        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["items"].combine_chunks()]
-        size, every = np.array([len(x) for x in items]), np.concatenate(items)
-        start = np.cumsum(size) - size
+    with_signs = dealt.select("region", "low", "high", "own", "node", "n", "root", "index").join(signs, "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, root, own, n, index = (group[c].to_numpy() for c in ("node", "root", "own", "n", "index"))
+        bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
         across = group["low"][0].as_py() != group["high"][0].as_py()
-        done, found = set(), []
+        found, nearest = [], {}
         for i in range(len(node)):
-            asked = (root != root[i]) & (index | index[i]) & ((own != own[i]) if across else (node > node[i]))
-            asked &= (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & ~np.isin(root, [b for a, b in done if a == root[i]])
-            if not asked.any():
+            asked = (root != root[i]) & (index | index[i]) & ((own > own[i]) if across else (node > node[i]))
+            js = np.flatnonzero(asked & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            odd = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = odd * (100 + percent) <= (100 - percent) * (n[js] + n[i])
+            if every:
+                found += [(node[i], node[j]) for j in js[near]]
                 continue
-            mine = items[i]
-            at = np.searchsorted(mine, every).clip(0, len(mine) - 1)
-            both = np.add.reduceat(mine[at] == every, start, dtype=np.int64)
-            for j in np.flatnonzero(asked & (100 * both >= percent * (size + size[i] - both))):
-                if (root[i], root[j]) not in done:
-                    done |= {(root[i], root[j]), (root[j], root[i])}
-                    found.append((node[i], node[j]))
+            for j, d in zip(js[near].tolist(), odd[near].tolist(), strict=True):
+                pair = (root[i], root[j]) if root[i] < root[j] else (root[j], root[i])
+                if pair not in nearest or d < nearest[pair][0]:
+                    nearest[pair] = d, node[i], node[j]
+        found += [(a, b) for _, a, b in nearest.values()]
         return pa.table({"node": pa.array([a for a, _ in found], pa.int64()), "pivot": pa.array([b for _, b in found], pa.int64())})
 
-    return with_sets.groupBy("region", "low", "high").applyInArrow(join, "node bigint, pivot bigint")
+    return with_signs.groupBy("region", "low", "high").applyInArrow(compare, "node bigint, pivot bigint").distinct()
 
 
 def joined(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -264,23 +288,29 @@ def joined(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     sets = common.stored(full_sets(docs, wanted, shingle), "sets")
     roots = spark.createDataFrame([], "node bigint, root bigint")
     # tables, as checkpoints would carry the constraints of their plans from round to round
-    for done in range(ROUNDS + 1):
+    for done in range(ROUNDS):
         # what earlier rounds shuffled goes as soon as nothing refers to it
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        live = common.stored(alive(regions, roots), "live")
+        if live.isEmpty():
+            return roots
+        chosen = common.stored(pivots(live, weights, PIVOTS if done else 1), "pivots")
+        met = live.join(chosen, "region").where("node <> pivot")
+        found = common.stored(distances(met.select("node", "pivot").distinct(), sets, percent), "distances")
+        roots = connected_components(roots.union(found.where("linked").select("node", "pivot")))
+        regions = voronoi(met, chosen, found, roots, eps)
+    signs = None
+    for every in (False, False, True):
         live = common.stored(alive(regions, roots), "live")
         if live.isEmpty():
             break
-        if done == ROUNDS:
-            links = block_links(live, sets, percent)
-        else:
-            chosen = common.stored(pivots(live, weights), "pivots")
-            met = live.join(chosen, "region").where("node <> pivot")
-            found = common.stored(distances(met.select("node", "pivot").distinct(), sets, percent), "distances")
-            links = found.where("linked").select("node", "pivot")
+        signs = signs or common.stored(sketches(sets), "sketches")
+        regions = common.stored(together(live), "together")
+        pairs = common.stored(near_pairs(regions, signs, percent, every), "pairs")
+        links = distances(pairs, sets, percent).where("linked").select("node", "pivot")
         roots = connected_components(roots.union(links))
-        if done < ROUNDS:
-            regions = voronoi(met, chosen, found, roots, eps)
+        regions = regions.select("region", "node", "n", "index")
     return roots
 
 
