@@ -469,6 +469,7 @@ def queries() -> dict[str, Query]:
         "zones_shapefile": _on_zones(_zones_shapefile),
         "zone_names_workbook": _on_zones(_zone_names_workbook),
         "zones_collection": _on_zones(_zones_collection),
+        "flows_bucketed": lambda spark, sf_dir: flow_rollup(*retail.stored_buckets(spark, sf_dir), FlowQuery(level="g33", **MORNING)),
         "flows_from_sums": _from_sums(origin_level="g15", dest_level="g33", **MORNING),
         "flows_from_sums_ids": _from_sums(level="g33", origin_ids=PICKED, include_self_loops=True),
         "flows_zone_selection": _flows(level="taz", origin_ids=["3", "77", "120"], dest_ids=["1", "5", "12", "40", "99"]),

@@ -282,6 +282,7 @@ def oracle_sql() -> dict[str, str]:
       JOIN (SELECT level, group_id, COUNT(*) * CAST(0.0009765625 AS DOUBLE) AS area FROM half GROUP BY ALL) USING (level, group_id)"""
     q["zones_shapefile"] = base() + "SELECT taz, g250, g33, g15, city, x0, y0, CAST(0.00390625 AS DOUBLE) AS area FROM zones"
     q["zone_names_workbook"] = base() + "SELECT taz, zone_name FROM zones"
+    q["flows_bucketed"] = base() + flows("g33", "g33", f"{MORNING} AND {DIFFER}")
     q["flows_from_sums"] = base() + flows("g15", "g33", MORNING, anti=True)
     q["flows_from_sums_ids"] = base() + flows("g33", "g33", IN_O)
     q["flows_zone_selection"] = base() + flows("taz", "taz", "o.taz IN ('3', '77', '120') AND d.taz IN ('1', '5', '12', '40', '99') AND o.taz <> d.taz")

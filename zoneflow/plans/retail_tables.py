@@ -18,6 +18,7 @@ from zoneflow.operators.outline import group_tables
 from zoneflow.operators.partial_sums import PartialSums, read_sums, write_sums
 from zoneflow.params import GROUP_LEVELS, HOURS
 from zoneflow.sources import store
+from zoneflow.sources.buckets import read_buckets, write_buckets
 
 CELL = 0.0625  # side of a zone square in degrees, exact in binary
 
@@ -112,6 +113,14 @@ def stored_levels(spark: SparkSession, sf_dir: str) -> ZoneModel:
     return _once(spark, sf_dir, "levels", write, lambda folder: store.read_zone_model(spark, folder))
 
 
+def stored_buckets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ZoneModel]:
+    """Trips and zones in the same buckets."""
+    def write(folder: str) -> None:
+        write_buckets(stored_od(spark, sf_dir), stored_zones(spark, sf_dir).base, folder, 8)
+
+    return _once(spark, sf_dir, "buckets", write, lambda folder: read_buckets(spark, folder))
+
+
 def stored_sums(spark: SparkSession, sf_dir: str) -> PartialSums:
     """Sums between some pairs of levels."""
     zones = stored_zones(spark, sf_dir)
