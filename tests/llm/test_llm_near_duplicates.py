@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from zoneflow.llm import near_duplicates
 from zoneflow.llm.components import connected_components
 
@@ -52,3 +55,41 @@ def test_awkward_rows(spark):
     left = near_duplicates.without_near_duplicates(docs, 5)
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7, 8] and left.columns == docs.columns
     assert near_duplicates.near_duplicates(cases.empty(spark), 5).count() == 0
+
+
+def test_one_template_below_the_similarity_makes_few_pairs(spark):
+    """Pages of one template share most buckets; parities tell that none of them links, so hardly a pair of them is emitted."""
+    draw = random.Random(3)
+    frame = [f"t{i}" for i in range(150)]
+    texts = [(i, " ".join(frame + [f"p{draw.randint(0, 10**6)}" for _ in range(24)])) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], cases.DOCS)
+    sets = {i: cases.shingles(t, 4) for i, t in texts}
+    alike = [len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in range(1, 120)]
+    assert 0.7 < min(alike) and max(alike) < 0.8
+    keys, offsets = near_duplicates.shingle_sets(pa.array([t for _, t in texts]), 4)
+    bits = near_duplicates.parities(keys, offsets)
+    sizes = np.diff(offsets)
+    odd = np.unpackbits(bits[0] ^ bits, axis=1).sum(axis=1, dtype=np.int64)
+    assert all(odd[i] <= len(sets[0] ^ sets[i]) for i in sets)
+    assert near_duplicates.may_link(odd[1:], sizes[0], sizes[1:], 80).mean() < 0.05
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, 4).collect()}
+    assert found == {i: (len(sets[i]), i) for i in sets}
+
+
+def test_cliques_outside_of_the_main_component(spark):
+    """Several families of near copies in the buckets of one template: each family is a component."""
+    draw = random.Random(5)
+    frame = [f"t{i}" for i in range(120)]
+    texts = []
+    for family, size in enumerate((30, 20, 12, 7, 3)):
+        own = frame + [f"f{family}w{i}" for i in range(22)]
+        for _ in range(size):
+            text = list(own)
+            for _ in range(draw.randint(0, 2)):
+                text[draw.randrange(len(text))] = f"x{draw.randint(0, 10**6)}"
+            texts.append(" ".join(text))
+    draw.shuffle(texts)
+    texts = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], cases.DOCS)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, 4).collect()}
+    assert found == brute(texts, 4)

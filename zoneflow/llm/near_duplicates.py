@@ -1,10 +1,14 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, components by large-star and small-star.
 
 Documents with equal shingle sets are one class, and only classes are compared. In a first round each class of a band's bucket is
-paired with the bucket's most central one. Pairs whose signatures agree are confirmed on their full sets, and components are formed.
-In buckets that still hold several components, whatever lies outside of the main one is then compared in blocks, with each
-other and with the whole main component, of which one link is enough. No link between components is lost. Copies of one text are never
-paired; classes outside of a bucket's main component are, where their signatures agree.
+paired with the bucket's most central one. Pairs whose signatures and parities agree are confirmed on their full sets, and components
+are formed. In buckets that still hold several components, whatever lies outside of the main one is then compared in blocks, with each
+other and with the whole main component, of which one link is enough. No link between components is lost.
+
+Parities tell of each of a fixed number of slots whether a set has an odd number of shingles there. The slots in which two of them differ
+are at most the shingles in which the sets differ, so this bound never errs, and pages of one template that stay below the similarity
+fall away without their sets. Of the blocks outside a main component first the nearest possible partner of each class is confirmed; what
+then lies in different components is confirmed in full. So groups that link are not expanded into their pairs.
 
 A pair at the least similarity of 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 
@@ -31,9 +35,13 @@ HASHES = BANDS * ROWS
 PERCENT = 80
 #: Least share of equal minima of a pair that goes on to the full sets: 4.5 deviations below 0.8.
 SIGNATURE = 0.64
+#: Slots of the parities.
+SLOTS = 1024
 #: Classes of a block in the second round.
 BLOCK = 64
 SEED = 11
+#: What is compared before full sets are.
+SKETCH = ("n_shingles", "signature", "parity")
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +80,27 @@ def signatures(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def parities(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set a row of bits: whether it has an odd number of keys in each of SLOTS slots."""
+    found = np.zeros((len(offsets) - 1, SLOTS // 8), np.uint8)
+    slots = (keys >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+    for a in range(0, len(found), BLOCK):
+        ends = offsets[a : a + BLOCK + 1]
+        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        counts = np.bincount(owner * SLOTS + slots[ends[0] : ends[-1]], minlength=(len(ends) - 1) * SLOTS)
+        found[a : a + len(ends) - 1] = np.packbits((counts & 1).astype(bool).reshape(-1, SLOTS), axis=1)
+    return found
+
+
+def may_link(odd: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles that differ in `odd` parities, so in as many shingles at least, can have the similarity."""
+    return odd * (100 + percent) <= (100 - percent) * (n + m)
+
+
+def as_rows(values: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
 def set_names(keys: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """128-bit names of sets."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mixed(keys), dtype=np.uint64)])
@@ -81,18 +110,18 @@ def set_names(keys: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, the name of the set and its signature, of every row."""
+    """doc_id, n_shingles, the name of the set, its signature and its parities, of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.blocks(batches, "text"):
             keys, offsets = shingle_sets(batch["text"], shingle)
-            found = [row.tobytes() for row in signatures(keys, offsets)]
+            found = [[row.tobytes() for row in x] for x in (signatures(keys, offsets), parities(keys, offsets))]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.diff(offsets)), pa.array(set_names(keys, offsets), pa.binary()), pa.array(found, pa.binary())],
-                ["doc_id", "n_shingles", "name", "signature"],
+                [batch["doc_id"], pa.array(np.diff(offsets)), *(pa.array(x, pa.binary()) for x in (set_names(keys, offsets), *found))],
+                ["doc_id", "n_shingles", "name", "signature", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n_shingles bigint, name binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n_shingles bigint, name binary, signature binary, parity binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -139,18 +168,22 @@ def stars(buckets: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: first by their signatures, then on their full sets."""
-    sign = classes.select("node", "signature")
+    """The pairs (a, b) that are links: first by their signatures and parities, then on their full sets."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sign_a", "sign_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= SIGNATURE))
-
-    signed = pairs.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("sign_a")), "a").join(
-        sign.select(F.col("node").alias("b"), F.col("signature").alias("sign_b")), "b"
-    )
-    near = common.compact(signed.select("a", "b", "sign_a", "sign_b").mapInArrow(agree, "a bigint, b bigint"))
+            if not batch.num_rows:
+                continue
+            x, y = (as_rows(batch[c].to_pylist(), np.uint32) for c in ("signature_a", "signature_b"))
+            u, v = (as_rows(batch[c].to_pylist(), np.uint64) for c in ("parity_a", "parity_b"))
+            odd = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+            near = may_link(odd, batch["n_shingles_a"].to_numpy(), batch["n_shingles_b"].to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near & ((x == y).mean(axis=1) >= SIGNATURE)))
+
+    signed = pairs
+    for end in ("a", "b"):
+        signed = signed.join(classes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in SKETCH)), end)
+    near = common.compact(signed.mapInArrow(agree, "a bigint, b bigint"))
     nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = full_sets(docs, common.compact(classes.select("node", "doc_id", "name").join(nodes, "node", "left_semi")), shingle)
 
@@ -185,31 +218,57 @@ def blocked(rows: DataFrame, keys: list[str], more: DataFrame, columns: list[str
     return dealt.join(more, "node").groupBy(*keys, f"{name}_block").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
-def outside_pairs(mixed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with agreeing signatures of classes outside of the main component of a bucket, each from the first band that it shares."""
-    outside = mixed.where("root <> main").select("key", "band", "node", "root")
-    left = blocked(outside, ["key", "band"], classes.select("node", "signature"), ["node", "root", "signature"], "x")
+def outside_pairs(mixed: DataFrame, classes: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs of classes outside of the main component of a bucket whose sketches agree, each from the first band that it shares: all
+    of different components, or of each class the nearest in each block."""
+    outside = mixed.where("root <> main").select("key", "band", "node", "now")
+    left = blocked(outside, ["key", "band"], classes.select("node", *SKETCH), ["node", "now", *SKETCH], "x")
     right = left.select("key", F.col("x_block").alias("y_block"), F.col("x").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for band, x, y in zip(batch["band"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                p, q = (np.frombuffer(b"".join(r["signature"] for r in v), np.uint32).reshape(-1, HASHES) for v in (x, y))
-                u, v = (np.array([r["root"] for r in w]) for w in (x, y))
+            for band, *sides in zip(batch["band"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+                (a, u, n, p, x), (b, v, m, q, y) = (
+                    (*(np.array([r[c] for r in side]) for c in ("node", "now", "n_shingles")), as_rows([r["signature"] for r in side], np.uint32), as_rows([r["parity"] for r in side], np.uint64))
+                    for side in sides
+                )
                 left, right = [], []
-                for i in range(len(p)):
+                for i in range(len(a)):
                     js = np.flatnonzero(u[i] != v)
+                    odd = np.bitwise_count(y[js] ^ x[i]).sum(axis=1, dtype=np.int64)
+                    near = may_link(odd, n[i], m[js], percent)
+                    js, odd = js[near], odd[near]
                     same = q[js] == p[i]
                     first = same[:, : band * ROWS].reshape(len(js), band, ROWS).all(axis=2).sum(axis=1) == 0
-                    js = js[first & (same.mean(axis=1) >= SIGNATURE)]
-                    left += [x[i]["node"]] * len(js)
-                    right += [y[j]["node"] for j in js.tolist()]
+                    near = first & (same.mean(axis=1) >= SIGNATURE)
+                    js, odd = js[near], odd[near]
+                    if not every:
+                        js = js[np.argsort(odd, kind="stable")[:1]]
+                    left += [a[i]] * len(js)
+                    right += b[js].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right).astype(np.int64)), pa.array(np.maximum(left, right).astype(np.int64))], ["b", "a"])
 
     met = left.join(right, "key").where("x_block <= y_block")
     return met.select("band", "x", "y").mapInArrow(compare, "b bigint, a bigint").distinct().select("a", "b")
 
 
+def outside_links(mixed: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links that tie all components outside of the main ones of their buckets which have links with each other."""
+    nearest = common.compact(outside_pairs(mixed.withColumn("now", F.col("root")), classes, percent, False))
+    if nearest.isEmpty():
+        return nearest
+    links = confirmed(nearest, classes, docs, shingle, percent)
+    # components of components: a link joins the roots that its ends have
+    ends = mixed.select("node", "root").distinct()
+    for end in ("a", "b"):
+        links = links.join(ends.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+    merged = connected_components(links.select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    placed = mixed.join(merged, "root", "left").withColumn("now", F.coalesce("now", "root"))
+    rest = common.compact(outside_pairs(placed, classes, percent, True).join(nearest, ["a", "b"], "left_anti"))
+    links = links.select("a", "b")
+    return links if rest.isEmpty() else links.union(confirmed(rest, classes, docs, shingle, percent))
+
+
 def main_links(mixed: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """A link, if there is one, of each class outside to each block of the main component of a bucket, found on full sets."""
     asked = common.compact(mixed.where("root <> main").select("node", F.col("main").alias("to")).distinct())
@@ -246,7 +305,7 @@ def main_links(mixed: DataFrame, roots: DataFrame, classes: DataFrame, docs: Dat
 def near_duplicates(docs: DataFrame, shingle: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = common.checkpointed(sketch(docs, shingle))
-    classes = rows.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    classes = rows.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in SKETCH))
     classes = common.checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     dealt = bucket_rows(classes)
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -254,7 +313,7 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int = PERCENT) -> Da
     links = confirmed(stars(buckets), classes, docs, shingle, percent)
     roots = connected_components(links)
     mixed = mixed_buckets(buckets, roots)
-    more = confirmed(outside_pairs(mixed, classes), classes, docs, shingle, percent)
+    more = outside_links(mixed, classes, docs, shingle, percent)
     roots = connected_components(links.union(more).union(main_links(mixed, roots, classes, docs, shingle, percent)))
     rooted = classes.select("name", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
