@@ -28,6 +28,8 @@ REACH = SPAN - GRAM
 #: Stretches of one anchor that go to one shard, and bytes that a shard sorts at once.
 SHARD_ROWS = 20_000
 SHARD_BYTES = 8 << 20
+#: Text bytes whose stretches are found at once; numbers of so many places stay in the caches of a core.
+SCAN_BYTES = 256 << 10
 CLOSE = 32
 PLACE_BITS = np.uint64(28)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -161,7 +163,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """Distinct key and content of the stretches of every text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches, "text"):
+        for batch in common.blocks(batches, "text", SCAN_BYTES):
             s = Stretches(*common.utf8(batch["text"]))
             _, at = np.unique(s.named(), return_index=True)
             doc = batch["doc"].to_numpy()[s.text[at]]
@@ -199,7 +201,7 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Bytes of the wanted stretches: doc, key, content, windows before the anchor, bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches, "text"):
+        for batch in common.blocks(batches, "text", SCAN_BYTES):
             s, hit, entry, entries = matched(batch, "wanted")
             _, once = np.unique(entry, return_index=True)
             hit, entry = hit[once], entry[once]
@@ -262,15 +264,13 @@ def sharded(stretches: DataFrame) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    small = stretches.where(F.col("n") <= SHARD_ROWS).select("doc", "key", "content", "bytes")
-    return small.repartition("key").sortWithinPartitions("key").mapInArrow(sort, MASK)
+    return stretches.select("doc", "key", "content", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(sort, MASK)
 
 
 def merged(stretches: DataFrame) -> DataFrame:
     """The same for anchors of many stretches: shards hand on their windows, whose earliest document is found by content."""
-    large = stretches.where(F.col("n") > SHARD_ROWS)
     count = F.length("bytes") - (SPAN - 1)
-    windows = large.select("doc", "key", "content", F.explode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("bytes"), i + 1, F.lit(SPAN)).alias("window")))).alias("w")).select("doc", "key", "content", "w.*")
+    windows = stretches.select("doc", "key", "content", F.explode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("bytes"), i + 1, F.lit(SPAN)).alias("window")))).alias("w")).select("doc", "key", "content", "w.*")
     least = windows.groupBy("window").agg(F.min("doc").alias("least"))
     flagged = windows.join(least, "window").where("doc > least")
     return flagged.groupBy("doc", "key", "content").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at"))).alias("mask"))
@@ -280,7 +280,7 @@ def removed(docs: DataFrame, flags: DataFrame) -> DataFrame:
     """What is left of each text: columns of the query."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches, "text"):
+        for batch in common.blocks(batches, "text", SCAN_BYTES):
             data, offsets = common.utf8(batch["text"])
             s, hit, entry, entries = matched(batch, "flags")
             mask = entries.field("mask").to_numpy()[entry] if len(entry) else np.zeros(0, np.int64)
@@ -317,9 +317,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
     found = common.stored(judged(anchors(keyed)), "stretches")
     dealt = keyed.repartition("doc")
-    stretches = contents(dealt, found.where("not held").select("doc", "key", "content", "n"))
-    partly = sharded(stretches).union(merged(stretches)).where("mask <> 0")
-    flags = found.where("held").select("doc", "key", "content", F.lit(-1).cast("bigint").alias("mask")).union(partly)
+    flags = found.where("held").select("doc", "key", "content", F.lit(-1).cast("bigint").alias("mask"))
+    # bytes of every stretch are cut once: those of large anchors apart, if there are any
+    wanted = found.where("not held").select("doc", "key", "content", "n")
+    large = wanted.where(F.col("n") > SHARD_ROWS)
+    flags = flags.union(sharded(contents(dealt, wanted.where(F.col("n") <= SHARD_ROWS))).where("mask <> 0"))
+    if not large.isEmpty():
+        flags = flags.union(merged(contents(dealt, large)))
     return removed(dealt, flags)
 
 
