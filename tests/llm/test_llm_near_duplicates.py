@@ -1,4 +1,10 @@
+import contextlib
+import glob
+import os
 import random
+import time
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -93,3 +99,39 @@ def test_cliques_outside_of_the_main_component(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], cases.DOCS)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, 4).collect()}
     assert found == brute(texts, 4)
+
+
+def shuffles(since):
+    """Names of the shuffles whose files, written since then, are on disk."""
+    found = set()
+    for path in glob.glob(f"{os.environ.get('SPARK_LOCAL_DIRS', '/tmp')}/blockmgr-*/*/shuffle_*.index"):
+        with contextlib.suppress(OSError):  # a file may go meanwhile
+            if os.path.getmtime(path) >= since:
+                found.add(os.path.basename(path).split("_")[1])
+    return found
+
+
+def test_shuffles_of_earlier_steps_go(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in copies(3, 200)], cases.DOCS).repartition(5)
+    since = time.time()
+    found = near_duplicates.near_duplicates(docs, 5)
+    for _ in range(20):  # Spark deletes in the background
+        left = shuffles(since)
+        if len(left) <= 12:
+            break
+        time.sleep(0.5)
+    assert len(left) <= 12
+    assert found.count() == 200
+
+
+def test_scans_hold_little_memory():
+    """Of one batch of 16 MB of text."""
+    texts = pa.array([" ".join(f"w{(i * 7919 + j) % 90001}" for j in range(300)) for i in range(8000)])
+    made = []
+    docs = SimpleNamespace(select=lambda *a: SimpleNamespace(mapInArrow=lambda scan, schema: made.append(scan)))
+    near_duplicates.sketch(docs, 5)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in made[0](iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 64e6

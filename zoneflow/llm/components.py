@@ -27,9 +27,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges, before = common.compact(edges), None
+    common.release(edges.sparkSession)
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
         before, edges = now, common.compact(small_star(common.compact(large_star(edges))))
+    common.release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

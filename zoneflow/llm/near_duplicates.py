@@ -40,6 +40,8 @@ SLOTS = 1024
 #: Classes of a block in the second round.
 BLOCK = 64
 SEED = 11
+#: Text bytes that a task cuts into shingles at once; the arrays on the way take up to fifty times as much.
+SCAN_BYTES = 1 << 19
 #: What is compared before full sets are.
 SKETCH = ("n_shingles", "signature", "parity")
 
@@ -113,7 +115,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, the name of the set, its signature and its parities, of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches, "text"):
+        for batch in common.blocks(batches, "text", SCAN_BYTES):
             keys, offsets = shingle_sets(batch["text"], shingle)
             found = [[row.tobytes() for row in x] for x in (signatures(keys, offsets), parities(keys, offsets))]
             yield pa.RecordBatch.from_arrays(
@@ -129,7 +131,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(common.key_filter(wanted.select(F.xxhash64("doc_id").alias("key")), "key"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.blocks(batches, "text"):
+        for batch in common.blocks(batches, "text", SCAN_BYTES):
             batch = batch.filter(pa.array(common.in_filter(bitmap.value, batch["key"].to_numpy())))
             keys, offsets = shingle_sets(batch["text"], shingle)
             found = [keys[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -184,6 +186,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     for end in ("a", "b"):
         signed = signed.join(classes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in SKETCH)), end)
     near = common.compact(signed.mapInArrow(agree, "a bigint, b bigint"))
+    common.release(docs.sparkSession)
     nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = full_sets(docs, common.compact(classes.select("node", "doc_id", "name").join(nodes, "node", "left_semi")), shingle)
 
@@ -199,7 +202,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     # a bucket's central class stands in many pairs: its set travels to the other one, which stands in few
     with_b = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("set_b")), "b")
     with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("items").alias("set_a")), "a")
-    return common.compact(with_both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint"))
+    links = common.compact(with_both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint"))
+    common.release(docs.sparkSession)
+    return links
 
 
 def mixed_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -255,6 +260,7 @@ def outside_pairs(mixed: DataFrame, classes: DataFrame, percent: int, every: boo
 def outside_links(mixed: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links that tie all components outside of the main ones of their buckets which have links with each other."""
     nearest = common.compact(outside_pairs(mixed.withColumn("now", F.col("root")), classes, percent, False))
+    common.release(docs.sparkSession)
     if nearest.isEmpty():
         return nearest
     links = confirmed(nearest, classes, docs, shingle, percent)
@@ -265,6 +271,7 @@ def outside_links(mixed: DataFrame, classes: DataFrame, docs: DataFrame, shingle
     merged = connected_components(links.select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("now"))
     placed = mixed.join(merged, "root", "left").withColumn("now", F.coalesce("now", "root"))
     rest = common.compact(outside_pairs(placed, classes, percent, True).join(nearest, ["a", "b"], "left_anti"))
+    common.release(docs.sparkSession)
     links = links.select("a", "b")
     return links if rest.isEmpty() else links.union(confirmed(rest, classes, docs, shingle, percent))
 
@@ -310,6 +317,7 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int = PERCENT) -> Da
     dealt = bucket_rows(classes)
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = common.compact(dealt.join(shared, "key"))
+    common.release(docs.sparkSession)
     links = confirmed(stars(buckets), classes, docs, shingle, percent)
     roots = connected_components(links)
     mixed = mixed_buckets(buckets, roots)
