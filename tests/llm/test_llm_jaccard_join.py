@@ -1,6 +1,9 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,26 @@ def test_awkward_rows(spark):
     nulls = docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("bigint")).union(docs.where("doc_id = 4"))
     assert {r.component_id for r in jaccard_join.jaccard_components(nulls).collect()} == {4}
     assert jaccard_join.jaccard_components(cases.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("step", ["levels", "prefixes"])
+def test_scans_hold_little_memory(step):
+    """Of batches with 48 MB of text."""
+    texts = pa.array([" ".join(f"w{(i * 7919 + j) % 90001}" for j in range(300)) for i in range(8000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    made = []
+    rows = SimpleNamespace(mapInArrow=lambda scan, schema: made.append(scan) or SimpleNamespace(groupBy=lambda c: found))
+    found = SimpleNamespace(applyInArrow=lambda f, schema: SimpleNamespace(toLocalIterator=lambda: iter(())))
+    context = SimpleNamespace(broadcast=lambda tables: SimpleNamespace(value=tables))
+    docs = SimpleNamespace(select=lambda *a: rows, rdd=SimpleNamespace(getNumPartitions=lambda: 8), sparkSession=SimpleNamespace(sparkContext=context))
+    if step == "levels":
+        jaccard_join.shingle_levels(docs, 5)
+    else:
+        tables = np.zeros(1 << jaccard_join.SLOT_BITS, np.uint8), np.zeros(1 << (jaccard_join.SHARED_BITS - 3), np.uint8)
+        jaccard_join.prefixes(docs, tables, 5, 80)
+    tracemalloc.start()
+    for _ in made[0](iter([batch] * 3)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6

@@ -22,16 +22,20 @@ def small_star(edges: DataFrame) -> DataFrame:
     return others.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Root of every node (`node`, `root`) of the edges' first two columns, the smallest node of its component being the root."""
+def connected_components(edges: DataFrame, release: bool = True) -> DataFrame:
+    """Root of every node (`node`, `root`) of the edges' first two columns, the smallest node of its component being the root.
+
+    With `release`, shuffle files that nothing needs any more go at the begin and the end."""
     a, b = edges.columns[:2]
     edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges, before = common.compact(edges), None
-    common.release(edges.sparkSession)
+    if release:
+        common.release(edges.sparkSession)
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
         before, edges = now, common.compact(small_star(common.compact(large_star(edges))))
-    common.release(edges.sparkSession)
+    if release:
+        common.release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -27,7 +27,6 @@ gets the smallest other id of its component. Empty tables give empty results. Ex
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +36,12 @@ from pyspark.sql import functions as F
 
 from zoneflow.llm import common
 from zoneflow.llm.components import connected_components
-from zoneflow.llm.near_duplicates import full_sets, set_names, shingle_sets
+from zoneflow.llm.near_duplicates import SCAN_BYTES, full_sets, set_names, shingle_sets
 
 #: Links have PERCENT of their union in common, or more; words of a shingle.
 PERCENT, SHINGLE = 80, 5
 #: Slots of the table of shingle counts, bits of the bitmap of shared shingles; shingles that a task counts at once.
-SLOT_BITS, SHARED_BITS, COUNTED = 23, 26, 1 << 22
+SLOT_BITS, SHARED_BITS, COUNTED = 23, 26, 1 << 20
 #: Rounds of pivots; pivots of a region after the first round, which has one.
 ROUNDS, PIVOTS = 2, 4
 #: Documents of a block of the last step, and of a part of a pivot's documents; bits of a parity sketch.
@@ -81,7 +80,7 @@ def shingle_levels(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in common.blocks(batches, "text"):
+        for batch in common.blocks(batches, "text", SCAN_BYTES):
             heads = (shingle_sets(batch["text"], shingle)[0] >> np.uint64(32)).astype(np.uint32)
             held.append(heads)
             n += len(heads)
@@ -121,7 +120,7 @@ def prefixes(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], shingle: in
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, shared = sent.value
-        for batch in common.blocks(batches, "text"):
+        for batch in common.blocks(batches, "text", SCAN_BYTES):
             keys, offsets = shingle_sets(batch["text"], shingle)
             size = np.diff(offsets)
             owner = np.repeat(np.arange(len(size)), size)
@@ -148,9 +147,15 @@ def first_regions(classes: DataFrame, percent: int) -> DataFrame:
     size = F.floor(F.log("n") / F.log(F.lit(1.0001 * 100 / percent)))
     kept = entries.join(met.select("key"), "key").withColumn("own", size)
     dealt = kept.withColumn("window", F.explode(F.array("own", F.col("own") + 1))).withColumn("region", F.xxhash64("key", "window"))
-    dealt = common.stored(dealt.drop("key"), "windows")
+    path = common.shared_path(classes.sparkSession, "windows")
+    dealt.drop("key").write.parquet(path)
+    common.release(classes.sparkSession)
+    dealt = classes.sparkSession.read.parquet(path)
     wide = dealt.groupBy("region").agg(F.count("*").alias("rows"), F.max(F.col("own") == F.col("window")).alias("full"), F.max("index").alias("any"))
-    return dealt.join(wide.where("rows > 1 and full and any").select("region"), "region").select("region", "node", "n", "index")
+    regions = dealt.join(wide.where("rows > 1 and full and any").select("region"), "region").select("region", "node", "n", "index")
+    regions = common.stored(regions, "regions")
+    common.drop_path(classes.sparkSession, path)
+    return regions
 
 
 def rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
@@ -238,7 +243,7 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 def together(live: DataFrame) -> DataFrame:
     """Regions that share documents as one, where its square is not more than the sum of theirs."""
-    groups = connected_components(live.select("region", "node")).select(F.col("node").alias("region"), F.col("root").alias("whole"))
+    groups = connected_components(live.select("region", "node"), release=False).select(F.col("node").alias("region"), F.col("root").alias("whole"))
     named = common.stored(live.join(groups, "region", "left").withColumn("whole", F.coalesce("whole", "region")), "whole")
     apart = named.groupBy("whole", "region").agg(F.pow(F.count("*"), F.lit(2)).alias("work")).groupBy("whole").agg(F.sum("work").alias("work"))
     members = named.groupBy("whole", "node", "n", "root").agg(F.max("index").alias("index"))
@@ -282,24 +287,24 @@ def near_pairs(live: DataFrame, signs: DataFrame, percent: int, every: bool) ->
 def joined(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node and root of all classes that link with others."""
     spark, eps = docs.sparkSession, 1 - percent / 100
-    regions = common.stored(first_regions(classes, percent), "regions")
+    regions = first_regions(classes, percent)
+    common.release(spark)
     weights = common.compact(regions.groupBy("node").agg(F.count("*").alias("weight")))
     wanted = common.compact(classes.select("node", "doc_id", "name").join(weights, "node", "left_semi"))
     sets = common.stored(full_sets(docs, wanted, shingle), "sets")
     roots = spark.createDataFrame([], "node bigint, root bigint")
     # tables, as checkpoints would carry the constraints of their plans from round to round
     for done in range(ROUNDS):
-        # what earlier rounds shuffled goes as soon as nothing refers to it
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        common.release(spark)  # what earlier rounds shuffled
         live = common.stored(alive(regions, roots), "live")
         if live.isEmpty():
             return roots
         chosen = common.stored(pivots(live, weights, PIVOTS if done else 1), "pivots")
         met = live.join(chosen, "region").where("node <> pivot")
         found = common.stored(distances(met.select("node", "pivot").distinct(), sets, percent), "distances")
-        roots = connected_components(roots.union(found.where("linked").select("node", "pivot")))
+        roots = connected_components(roots.union(found.where("linked").select("node", "pivot")), release=False)
         regions = voronoi(met, chosen, found, roots, eps)
+    common.release(spark)
     signs = None
     for every in (False, False, True):
         live = common.stored(alive(regions, roots), "live")
@@ -309,14 +314,16 @@ def joined(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
         regions = common.stored(together(live), "together")
         pairs = common.stored(near_pairs(regions, signs, percent, every), "pairs")
         links = distances(pairs, sets, percent).where("linked").select("node", "pivot")
-        roots = connected_components(roots.union(links))
+        roots = connected_components(roots.union(links), release=False)
         regions = regions.select("region", "node", "n", "index")
     return roots
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = prefixes(docs, shingle_levels(docs, shingle), shingle, percent).withColumn("place", F.monotonically_increasing_id())
+    tables = shingle_levels(docs, shingle)
+    common.release(docs.sparkSession)
+    rows = prefixes(docs, tables, shingle, percent).withColumn("place", F.monotonically_increasing_id())
     rows = common.stored(rows, "prefixes")
     named = rows.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("node"))
     named = common.checkpointed(named)
