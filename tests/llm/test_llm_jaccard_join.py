@@ -111,3 +111,42 @@ def test_scans_hold_little_memory(step):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 80e6
+
+
+def test_near_copies_share_one_region(spark):
+    """Not one for each of their first shingles; an outsider with one of these makes a second region."""
+    keys = list(range(40))
+    rows = [(1, 200, keys, 20), (2, 200, keys, 0), (3, 200, keys[:1], 1)]
+    classes = spark.createDataFrame(rows, "node bigint, n_shingles bigint, keys array<bigint>, n_index bigint")
+    regions = jaccard_join.first_regions(classes, 80).collect()
+    own = {}
+    for r in regions:
+        own.setdefault(r.region, []).append((r.node, r["index"]))
+    assert sorted(sorted(v) for v in own.values()) == [[(1, True), (2, False)], [(1, True), (2, False), (3, True)]]
+
+
+def some_sets(spark, n):
+    draw = random.Random(8)
+    base = [draw.getrandbits(64) for _ in range(150)]
+    sets = [sorted(set(base[draw.randint(0, 20) :] + [draw.getrandbits(64) for _ in range(draw.randint(1, 40))])) for _ in range(n)]
+    rows = [(i, np.array(x, np.uint64).tobytes()) for i, x in enumerate(sets)]
+    return sets, spark.createDataFrame(rows, "node bigint, items binary")
+
+
+def test_only_asked_sets_travel(spark):
+    _, sets = some_sets(spark, 300)
+    pairs = spark.createDataFrame([(1, 2), (7, 2)], "node bigint, pivot bigint")
+    passed = {r.node for r in jaccard_join.asked_sets(sets, pairs).collect()}
+    assert passed >= {1, 2, 7} and len(passed) < 10
+    assert {(r.node, r.pivot) for r in jaccard_join.distances(pairs, sets, 80).collect()} == {(1, 2), (7, 2)}
+
+
+def test_bounds_never_err(spark):
+    sets, rows = some_sets(spark, 40)
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(i)], "node bigint, pivot bigint")
+    found = jaccard_join.bounds(pairs, jaccard_join.sketches(rows), 80).collect()
+    assert len(found) == 40 * 39 // 2 and {r.near for r in found} == {True, False}
+    for r in found:
+        x, y = set(sets[r.node]), set(sets[r.pivot])
+        assert r.d <= 1 - len(x & y) / len(x | y) + 1e-12
+        assert r.near or 100 * len(x & y) < 80 * len(x | y)

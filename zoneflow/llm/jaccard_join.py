@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from zoneflow.llm import common
 from zoneflow.llm.components import connected_components
-from zoneflow.llm.near_duplicates import SCAN_BYTES, full_sets, set_names, shingle_sets
+from zoneflow.llm.near_duplicates import SCAN_BYTES, may_link, set_names, set_rows, shingle_sets
 
 #: Links have PERCENT of their union in common, or more; words of a shingle.
 PERCENT, SHINGLE = 80, 5
@@ -139,7 +139,8 @@ def prefixes(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], shingle: in
 
 
 def first_regions(classes: DataFrame, percent: int) -> DataFrame:
-    """region, node, n and index of the classes that share a first shingle within a size window."""
+    """region, node, n and index of the classes that share a first shingle within a size window. Near copies share many; what the
+    same classes share is one region, named by them. If two such names were equal, their regions would be joined as one."""
     entries = classes.select("node", F.col("n_shingles").alias("n"), "n_index", F.posexplode("keys").alias("pos", "key"))
     entries = entries.select("node", "n", "key", (F.col("pos") < F.col("n_index")).alias("index")).repartition("key")
     met = entries.groupBy("key").agg(F.count("*").alias("rows"), F.max("index").alias("any")).where("rows > 1 and any")
@@ -151,8 +152,10 @@ def first_regions(classes: DataFrame, percent: int) -> DataFrame:
     dealt.drop("key").write.parquet(path)
     common.release(classes.sparkSession)
     dealt = classes.sparkSession.read.parquet(path)
-    wide = dealt.groupBy("region").agg(F.count("*").alias("rows"), F.max(F.col("own") == F.col("window")).alias("full"), F.max("index").alias("any"))
-    regions = dealt.join(wide.where("rows > 1 and full and any").select("region"), "region").select("region", "node", "n", "index")
+    full, members = F.max(F.col("own") == F.col("window")).alias("full"), F.bit_xor(F.xxhash64("node")).alias("members")
+    wide = dealt.groupBy("region").agg(F.count("*").alias("rows"), full, F.max("index").alias("any"), members)
+    wide = wide.where("rows > 1 and full and any").select("region", F.xxhash64("rows", "members").alias("members"))
+    regions = dealt.join(wide, "region").groupBy(F.col("members").alias("region"), "node", "n").agg(F.max("index").alias("index"))
     regions = common.stored(regions, "regions")
     common.drop_path(classes.sparkSession, path)
     return regions
@@ -179,6 +182,25 @@ def pivots(live: DataFrame, weights: DataFrame, most: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= most).select("region", F.col("best.node").alias("pivot"))
 
 
+def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the `wanted` classes (node, doc_id, name). A name stands for one class, so sets are dealt out by it and only once."""
+    named = set_rows(docs, wanted, shingle).groupBy("name").agg(F.first("items").alias("items"))
+    return named.join(wanted.select("node", "name"), "name").select("node", "items")
+
+
+def asked_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the documents of the pairs, and a few others that a bitmap of fixed size lets pass; the rest keeps out of the shuffle."""
+    keys = pairs.select(F.explode(F.array("node", "pivot")).alias("node")).select(F.xxhash64("node").alias("key"))
+    bitmap = sets.sparkSession.sparkContext.broadcast(common.key_filter(keys, "key"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(common.in_filter(bitmap.value, batch["key"].to_numpy())))
+            yield batch.select(["node", "items"])
+
+    return sets.select("node", F.xxhash64("node").alias("key"), "items").mapInArrow(scan, "node bigint, items binary")
+
+
 def common_items(x: np.ndarray, y: np.ndarray) -> int:
     """Number of common items of two sorted sets."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -187,6 +209,7 @@ def common_items(x: np.ndarray, y: np.ndarray) -> int:
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """distance of every pair (node, pivot), and whether it is a link. Documents of one pivot are dealt into parts, each with the pivot's set."""
+    sets = asked_sets(sets, pairs)
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
     right = sets.join(parts, sets["node"] == parts["pivot"]).select(
@@ -208,21 +231,22 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def voronoi(met: DataFrame, chosen: DataFrame, found: DataFrame, roots: DataFrame, eps: float) -> DataFrame:
-    """The regions of the next round."""
-    own = met.join(found.select("node", "pivot", "d"), ["node", "pivot"])
-    own = own.groupBy("region", "node", "n", "index").agg(F.collect_list(F.struct("d", "pivot")).alias("ds"))  # PIVOTS at most
+    """The regions of the next round. Where a region has one pivot, d may be less than the distance and `most` is not less than it."""
+    own = met.join(found.select("node", "pivot", "d", "most"), ["node", "pivot"])
+    own = own.groupBy("region", "node", "n", "index").agg(F.collect_list(F.struct("d", "pivot", "most")).alias("ds"))  # PIVOTS at most
     own = own.join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti").withColumn("home", F.array_min("ds"))
     own = common.stored(own, "own")  # as several steps use it
+    common.release(own.sparkSession)
     radius = own.groupBy("region", F.col("home.pivot").alias("pivot")).agg(F.max("home.d").alias("radius"))
     seen = own.select("region", "node", "n", "index", F.col("home.d").alias("home_d"), F.explode("ds").alias("e"))
-    seen = seen.select("region", "node", "n", "index", "home_d", F.col("e.pivot").alias("pivot"), F.col("e.d").alias("d"))
+    seen = seen.select("region", "node", "n", "index", "home_d", F.col("e.pivot").alias("pivot"), F.col("e.d").alias("d"), F.col("e.most").alias("most"))
     near = seen.join(radius, ["region", "pivot"]).where(
         (F.col("d") <= F.col("radius") + eps + SLACK) & (F.col("d") <= F.col("home_d") + 2 * eps + SLACK)
     )
     placed = common.stored(rooted(rooted(near, roots), roots, "pivot", "pivot_root"), "near")
     other = F.col("root") != F.col("pivot_root")
     edge = placed.groupBy("region", "pivot").agg(F.min(F.when(other, F.col("d"))).alias("edge"))
-    open_ = common.stored(placed.join(edge, ["region", "pivot"]).where(other | (F.col("d") + eps + SLACK >= F.col("edge"))), "open")
+    open_ = common.stored(placed.join(edge, ["region", "pivot"]).where(other | (F.col("most") + eps + SLACK >= F.col("edge"))), "open")
     sizes = own.groupBy("region").agg(F.count("*").alias("size"))
     grown = open_.groupBy("region").agg(F.count("*").alias("total")).join(sizes, "region").where("total > size").select("region")
     split = open_.join(grown, "region", "left_anti").select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "index")
@@ -230,15 +254,32 @@ def voronoi(met: DataFrame, chosen: DataFrame, found: DataFrame, roots: DataFram
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """node and the parity of the number of items of its set in each of SKETCH slots."""
+    """node, the size of its set and the parity of the number of its items in each of SKETCH slots."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = [np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(SKETCH - 1) for x in batch["items"]]
             bits = [np.packbits((np.bincount(x.astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes() for x in slots]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(bits, pa.binary())], ["node", "sketch"])
+            sizes = pa.array([len(x) for x in slots], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["node"], sizes, pa.array(bits, pa.binary())], ["node", "items", "sketch"])
 
-    return sets.select("node", "items").mapInArrow(scan, "node bigint, sketch binary")
+    return sets.select("node", "items").mapInArrow(scan, "node bigint, items bigint, sketch binary")
+
+
+def bounds(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """A lower bound `d` of the distance of every pair, and whether the pair may be a link. Sets differ in as many items at least as
+    their parities or their sizes."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("sketch", "pivot_sketch"))
+            n, m = (batch[c].to_numpy() for c in ("items", "pivot_items"))
+            differ = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.abs(n - m))
+            columns = [pa.array(2 * differ / (n + m + differ)), pa.array(may_link(differ, n, m, percent))]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["pivot"], *columns], ["node", "pivot", "d", "near"])
+
+    of_pivot = signs.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items"), F.col("sketch").alias("pivot_sketch"))
+    return pairs.join(signs, "node").join(of_pivot, "pivot").mapInArrow(compare, "node bigint, pivot bigint, d double, near boolean")
 
 
 def together(live: DataFrame) -> DataFrame:
@@ -259,7 +300,7 @@ def near_pairs(live: DataFrame, signs: DataFrame, percent: int, every: bool) ->
     dealt = live.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    with_signs = dealt.select("region", "low", "high", "own", "node", "n", "root", "index").join(signs, "node")
+    with_signs = dealt.select("region", "low", "high", "own", "node", "n", "root", "index").join(signs.select("node", "sketch"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         node, root, own, n, index = (group[c].to_numpy() for c in ("node", "root", "own", "n", "index"))
@@ -291,30 +332,38 @@ def joined(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     common.release(spark)
     weights = common.compact(regions.groupBy("node").agg(F.count("*").alias("weight")))
     wanted = common.compact(classes.select("node", "doc_id", "name").join(weights, "node", "left_semi"))
-    sets = common.stored(full_sets(docs, wanted, shingle), "sets")
+    sets = common.stored(class_sets(docs, wanted, shingle), "sets")
+    common.release(spark)
+    signs = common.stored(sketches(sets), "sketches")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    # tables, as checkpoints would carry the constraints of their plans from round to round
+    # tables, as checkpoints would carry the constraints of their plans from round to round; what a step shuffled goes after it
     for done in range(ROUNDS):
-        common.release(spark)  # what earlier rounds shuffled
+        common.release(spark)
         live = common.stored(alive(regions, roots), "live")
         if live.isEmpty():
             return roots
         chosen = common.stored(pivots(live, weights, PIVOTS if done else 1), "pivots")
         met = live.join(chosen, "region").where("node <> pivot")
-        found = common.stored(distances(met.select("node", "pivot").distinct(), sets, percent), "distances")
-        roots = connected_components(roots.union(found.where("linked").select("node", "pivot")), release=False)
+        pairs = common.stored(met.select("node", "pivot").distinct(), "met")
+        common.release(spark)
+        if done:
+            found = distances(pairs, sets, percent).withColumn("most", F.col("d"))
+        else:  # one pivot, which is the nearest one whatever its distance
+            low = common.stored(bounds(pairs, signs, percent), "bounds")
+            found = distances(low.where("near").select("node", "pivot"), sets, percent).withColumn("most", F.col("d"))
+            found = found.union(low.where("not near").select("node", "pivot", "d", F.lit(False), F.lit(1.0)))
+        found = common.stored(found, "distances")
+        roots = connected_components(roots.union(found.where("linked").select("node", "pivot")))
         regions = voronoi(met, chosen, found, roots, eps)
-    common.release(spark)
-    signs = None
     for every in (False, False, True):
+        common.release(spark)
         live = common.stored(alive(regions, roots), "live")
         if live.isEmpty():
             break
-        signs = signs or common.stored(sketches(sets), "sketches")
         regions = common.stored(together(live), "together")
         pairs = common.stored(near_pairs(regions, signs, percent, every), "pairs")
         links = distances(pairs, sets, percent).where("linked").select("node", "pivot")
-        roots = connected_components(roots.union(links), release=False)
+        roots = connected_components(roots.union(links))
         regions = regions.select("region", "node", "n", "index")
     return roots
 

@@ -126,8 +126,8 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n_shingles bigint, name binary, signature binary, parity binary")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """The sets of the `wanted` classes (node, doc_id, name), as binaries of sorted hashes."""
+def set_rows(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, name and set, as a binary of sorted hashes, of the rows with an id of the `wanted` classes, and of a few others."""
     bitmap = docs.sparkSession.sparkContext.broadcast(common.key_filter(wanted.select(F.xxhash64("doc_id").alias("key")), "key"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 [batch["doc_id"], pa.array(set_names(keys, offsets), pa.binary()), pa.array(found, pa.binary())], ["doc_id", "name", "items"]
             )
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("key"), "text").mapInArrow(scan, "doc_id bigint, name binary, items binary")
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("key"), "text").mapInArrow(scan, "doc_id bigint, name binary, items binary")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """The sets of the `wanted` classes (node, doc_id, name), as binaries of sorted hashes."""
+    rows = set_rows(docs, wanted, shingle)
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["name"] == wanted["name"])
     return rows.join(wanted, same).groupBy("node").agg(F.first("items").alias("items"))
 
