@@ -150,3 +150,92 @@ def test_bounds_never_err(spark):
         x, y = set(sets[r.node]), set(sets[r.pivot])
         assert r.d <= 1 - len(x & y) / len(x | y) + 1e-12
         assert r.near or 100 * len(x & y) < 80 * len(x | y)
+
+
+def test_batches_of_tasks_are_small(spark):
+    """Of one partition with 8 MB of text; the session's own limit holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def scan(batches):
+        for batch in batches:
+            assert batch.nbytes < 2 << 20
+            yield batch
+
+    rows = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('a', id, ' '), 400)").alias("text"))
+    docs = rows.mapInArrow(scan, "doc_id bigint, text string")
+    assert jaccard_join.jaccard_components(docs).where("component_id = doc_id").count() == 4000
+    assert spark.conf.get(key) == before
+
+
+def block(n, roots):
+    """A block of n documents of so many components, and the function that a task calls for it."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 256, jaccard_join.SKETCH // 8, np.uint8)
+    signs = np.tile(base, (n, 1))
+    signs[:, :8] = draw.integers(0, 256, (n, 8), np.uint8)
+    columns = {"low": np.zeros(n, np.int64), "high": np.zeros(n, np.int64), "own": np.zeros(n, np.int64), "node": draw.permutation(n), "n": np.full(n, 400)}
+    columns |= {"root": draw.integers(0, roots, n), "index": np.ones(n, bool), "sketch": pa.array([x.tobytes() for x in signs], pa.binary())}
+    return pa.table({k: pa.array(v) for k, v in columns.items()}), signs
+
+
+def compared(group, every):
+    made = []
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **b: made.append(a[0]) or self if name == "applyInArrow" else self
+
+    class Columns:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def __getitem__(self, name):
+            return self
+
+        def __add__(self, other):
+            return self
+
+        __sub__ = __truediv__ = __add__
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard_join, "F", Columns())
+        jaccard_join.near_pairs(Rows(), Rows(), 80, every)
+    tracemalloc.start()
+    table = made[0](group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return table, peak
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_pairs_of_a_block_hold_little_memory(every):
+    """Of 1,200 documents that may all link, each a component."""
+    n = 1200
+    group, _ = block(n, 1 << 40)
+    table, peak = compared(group, every)
+    assert table.num_rows == n * (n - 1) // 2
+    assert peak < 90 * table.num_rows
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_nearest_pairs_of_a_block(monkeypatch, held):
+    monkeypatch.setattr(jaccard_join, "COUNTED", held)
+    group, signs = block(90, 12)
+    rows = group.select(["node", "root"]).to_pylist()
+    best = {}
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows):
+            if x["root"] < y["root"]:
+                d = int(np.bitwise_count(signs[i] ^ signs[j]).sum())
+                best[x["root"], y["root"]] = min(d, best.get((x["root"], y["root"]), d))
+    at = {x["node"]: i for i, x in enumerate(rows)}
+    found = {}
+    for x in compared(group, False)[0].to_pylist():
+        i, j = at[x["node"]], at[x["pivot"]]
+        pair = tuple(sorted((rows[i]["root"], rows[j]["root"])))
+        assert pair not in found
+        found[pair] = int(np.bitwise_count(signs[i] ^ signs[j]).sum())
+    assert found == best
+    everything = compared(group, True)[0]
+    assert everything.num_rows == sum(x["root"] != y["root"] for i, x in enumerate(rows) for y in rows[:i])

@@ -40,7 +40,7 @@ from zoneflow.llm.near_duplicates import SCAN_BYTES, may_link, set_names, set_ro
 
 #: Links have PERCENT of their union in common, or more; words of a shingle.
 PERCENT, SHINGLE = 80, 5
-#: Slots of the table of shingle counts, bits of the bitmap of shared shingles; shingles that a task counts at once.
+#: Slots of the table of shingle counts, bits of the bitmap of shared shingles; shingles or pairs that a task holds before it sums them up.
 SLOT_BITS, SHARED_BITS, COUNTED = 23, 26, 1 << 20
 #: Rounds of pivots; pivots of a region after the first round, which has one.
 ROUNDS, PIVOTS = 2, 4
@@ -306,21 +306,34 @@ def near_pairs(live: DataFrame, signs: DataFrame, percent: int, every: bool) ->
         node, root, own, n, index = (group[c].to_numpy() for c in ("node", "root", "own", "n", "index"))
         bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
         across = group["low"][0].as_py() != group["high"][0].as_py()
-        found, nearest = [], {}
+        names = np.unique(root, return_inverse=True)[1].astype(np.int64)
+        # a pair's rows, and before them what these differ in; its components
+        codes, keys, added = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def nearest() -> None:
+            code, key = np.concatenate(codes), np.concatenate(keys)
+            order = np.lexsort((code, key))
+            order = order[np.diff(key[order], prepend=-1) > 0]
+            codes[:], keys[:] = [code[order]], [key[order]]
+
         for i in range(len(node)):
             asked = (root != root[i]) & (index | index[i]) & ((own > own[i]) if across else (node > node[i]))
             js = np.flatnonzero(asked & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             odd = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
             near = odd * (100 + percent) <= (100 - percent) * (n[js] + n[i])
+            js, odd = js[near], odd[near]
+            codes.append(i * len(node) + js if every else odd * len(node) ** 2 + i * len(node) + js)
             if every:
-                found += [(node[i], node[j]) for j in js[near]]
                 continue
-            for j, d in zip(js[near].tolist(), odd[near].tolist(), strict=True):
-                pair = (root[i], root[j]) if root[i] < root[j] else (root[j], root[i])
-                if pair not in nearest or d < nearest[pair][0]:
-                    nearest[pair] = d, node[i], node[j]
-        found += [(a, b) for _, a, b in nearest.values()]
-        return pa.table({"node": pa.array([a for a, _ in found], pa.int64()), "pivot": pa.array([b for _, b in found], pa.int64())})
+            keys.append(np.minimum(names[js], names[i]) * len(node) + np.maximum(names[js], names[i]))
+            added += len(js)
+            if added >= COUNTED:
+                nearest()
+                added = 0
+        if not every:
+            nearest()
+        first, second = np.divmod(np.concatenate(codes) % max(1, len(node) ** 2), max(1, len(node)))
+        return pa.table({"node": pa.array(node[first], pa.int64()), "pivot": pa.array(node[second], pa.int64())})
 
     return with_signs.groupBy("region", "low", "high").applyInArrow(compare, "node bigint, pivot bigint").distinct()
 
@@ -370,14 +383,15 @@ def joined(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    tables = shingle_levels(docs, shingle)
-    common.release(docs.sparkSession)
-    rows = prefixes(docs, tables, shingle, percent).withColumn("place", F.monotonically_increasing_id())
-    rows = common.stored(rows, "prefixes")
-    named = rows.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("node"))
-    named = common.checkpointed(named)
-    firsts = rows.select(F.col("place").alias("node"), "n_shingles", "keys", "n_index")
-    roots = joined(named.join(firsts, "node"), docs, shingle, percent)
+    with common.small_batches(docs.sparkSession):
+        tables = shingle_levels(docs, shingle)
+        common.release(docs.sparkSession)
+        rows = prefixes(docs, tables, shingle, percent).withColumn("place", F.monotonically_increasing_id())
+        rows = common.stored(rows, "prefixes")
+        named = rows.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("node"))
+        named = common.checkpointed(named)
+        firsts = rows.select(F.col("place").alias("node"), "n_shingles", "keys", "n_index")
+        roots = joined(named.join(firsts, "node"), docs, shingle, percent)
     placed = rooted(named, roots)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = placed.join(least, "root").select("name", "component_id")
